@@ -46,12 +46,12 @@ def records(frame: DataFrame) -> DataFrame:
         "timestamp",
         feeds.feature().alias("name"),
         feeds.device().alias("device"),
-        F.timestamp_micros(F.col("arrival.a0")).alias("broker_time"),
+        F.timestamp_micros(F.col("arrival.us")).alias("broker_time"),
     ).select(
         F.encode("device", "utf-8").alias("key"),
         F.encode(message, "utf-8").alias("value"),
         F.col("broker_time").alias("timestamp"),
-        F.lit(0).alias("partition"),
+        (F.col("event_id") % 8).cast("int").alias("partition"),
         F.col("event_id").alias("offset"),
     )
 
@@ -69,9 +69,8 @@ def broker_time(spark: SparkSession, folder: str) -> DataFrame:
     ordered = with_arrival(decode(records(feeds.events(spark, folder))))
     return ordered.select(
         F.col("offset").alias("event_id"),
-        F.col("arrival.a0").alias("arrival_us"),
-        F.col("arrival.a1").alias("source"),
-        F.col("arrival.a2").alias("position"),
+        F.col("arrival.us").alias("arrival_us"),
+        F.col("arrival.tie").alias("tie"),
     )
 
 
@@ -95,7 +94,7 @@ def parsed_readings(spark: SparkSession, folder: str) -> DataFrame:
 def parsed_people(spark: SparkSession, folder: str) -> DataFrame:
     people = feeds.person_columns(feeds.events(spark, folder))
     text = people.select(
-        F.col("arrival.a1").alias("event_id"),
+        F.col("arrival.tie").alias("event_id"),
         F.to_json(
             F.struct("name", "sex", "age", F.unix_seconds("timestamp").alias("timestamp"))
         ).alias("json_value"),
@@ -126,7 +125,7 @@ def rejected(spark: SparkSession, folder: str) -> DataFrame:
 
 def renamed(spark: SparkSession, folder: str) -> DataFrame:
     return feeds.device_readings(feeds.events(spark, folder)).select(
-        F.col("arrival.a1").alias("event_id"), F.col("name").alias("feature"), "device", "value"
+        F.col("arrival.tie").alias("event_id"), F.col("name").alias("feature"), "device", "value"
     )
 
 
@@ -139,7 +138,7 @@ def struct_access(spark: SparkSession, folder: str) -> DataFrame:
 
 def cast_age(spark: SparkSession, folder: str) -> DataFrame:
     people = feeds.person_columns(feeds.events(spark, folder))
-    return people.select(F.col("arrival.a1").alias("event_id"), F.col("age").cast("double").alias("age"))
+    return people.select(F.col("arrival.tie").alias("event_id"), F.col("age").cast("double").alias("age"))
 
 
 def _people_rows(spark: SparkSession, folder: str) -> DataFrame:
@@ -149,7 +148,7 @@ def _people_rows(spark: SparkSession, folder: str) -> DataFrame:
 
 def key_settings(spark: SparkSession, folder: str) -> DataFrame:
     return _people_rows(spark, folder).select(
-        F.col("arrival.a1").alias("event_id"), "key", "step_ms", "latest", "watermark_ms"
+        F.col("arrival.tie").alias("event_id"), "key", "step_ms", "latest", "watermark_ms"
     )
 
 
@@ -163,7 +162,7 @@ def coarse_grained(spark: SparkSession, folder: str) -> DataFrame:
 
 def one_key(spark: SparkSession, folder: str) -> DataFrame:
     return only_key(_people_rows(spark, folder), "m").select(
-        F.col("arrival.a1").alias("event_id"), "key", "value"
+        F.col("arrival.tie").alias("event_id"), "key", "value"
     )
 
 
@@ -174,14 +173,14 @@ def _vector_rows(spark: SparkSession, folder: str) -> DataFrame:
 
 def fanned_out(spark: SparkSession, folder: str) -> DataFrame:
     return _vector_rows(spark, folder).select(
-        F.col("arrival.a1").alias("event_id"), F.col("key").alias("vector"), "feature", "bucket_ms"
+        F.col("arrival.tie").alias("event_id"), F.col("key").alias("vector"), "feature", "bucket_ms"
     )
 
 
 def comma_list(spark: SparkSession, folder: str) -> DataFrame:
     """Fan-out with the vectors given as a comma list on every reading."""
     listed = feeds.device_readings(feeds.events(spark, folder)).select(
-        F.col("arrival.a1").alias("event_id"),
+        F.col("arrival.tie").alias("event_id"),
         F.when(F.col("device") == "d2", "v2,v3").otherwise("v1").alias("vector"),
     )
     return split_list(listed, "vector")
@@ -189,7 +188,7 @@ def comma_list(spark: SparkSession, folder: str) -> DataFrame:
 
 def membership(spark: SparkSession, folder: str) -> DataFrame:
     return _vector_rows(spark, folder).select(
-        F.col("arrival.a1").alias("event_id"), F.col("key").alias("vector"), "feature", "is_member"
+        F.col("arrival.tie").alias("event_id"), F.col("key").alias("vector"), "feature", "is_member"
     )
 
 
@@ -289,7 +288,7 @@ def key_windows(spark: SparkSession, folder: str) -> DataFrame:
 
 def late_filter(spark: SparkSession, folder: str) -> DataFrame:
     return _vector_job(spark).judged(_readings(spark, folder)).select(
-        F.col("key").alias("vector"), F.col("arrival.a1").alias("event_id"), "bucket_ms", "accepted"
+        F.col("key").alias("vector"), F.col("arrival.tie").alias("event_id"), "bucket_ms", "accepted"
     )
 
 
@@ -342,13 +341,15 @@ def messages(spark: SparkSession, folder: str) -> DataFrame:
 
 def arrival_order(spark: SparkSession, folder: str) -> DataFrame:
     rows = _vector_rows(spark, folder).select(
-        "key", F.col("arrival.a1").alias("event_id"), F.col("arrival.a0").alias("arrival_us")
+        "key", F.col("arrival.tie").alias("event_id"), F.col("arrival.us").alias("arrival_us")
     )
     return order_breaks(rows, ["event_id"], "arrival_us", "n_unsorted")
 
 
 def value_order(spark: SparkSession, folder: str) -> DataFrame:
-    return order_breaks(_vector_rows(spark, folder), ["arrival"], "value", "n_falling")
+    return order_breaks(
+        _vector_rows(spark, folder), ["arrival.us", "arrival.tie"], "value", "n_falling"
+    )
 
 
 def late_counts(spark: SparkSession, folder: str) -> DataFrame:
@@ -359,7 +360,7 @@ def late_counts(spark: SparkSession, folder: str) -> DataFrame:
 def late_table(spark: SparkSession, folder: str) -> DataFrame:
     rows = _people_rows(spark, folder)
     return late_rows(judge(rows, closing_points(rows))).select(
-        "key", F.col("arrival.a1").alias("event_id"), "bucket_ms", "value"
+        "key", F.col("arrival.tie").alias("event_id"), "bucket_ms", "value"
     )
 
 

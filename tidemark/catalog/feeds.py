@@ -27,7 +27,7 @@ def timed(frame: DataFrame) -> DataFrame:
     ts = F.col("ts").cast("timestamp")
     delayed = F.when(F.col("event_id") % 17 == 0, ts + F.expr("INTERVAL 8 HOURS")).otherwise(ts)
     return frame.withColumn("timestamp", ts).withColumn(
-        "arrival", arrival(event_us(delayed), "event_id")
+        "arrival", arrival(event_us(delayed), F.col("event_id"))
     )
 
 

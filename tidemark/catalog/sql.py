@@ -175,7 +175,7 @@ FROM opened o JOIN values_ v USING (key, bucket_ms) WHERE emit_reason = 'closed'
 SQL = {
     "s2_decode": "SELECT event_id, event_type AS key, props AS json_value FROM events",
     "s3_broker_time": f"""WITH {READINGS}
-SELECT event_id, arrival_us, CAST(0 AS BIGINT) AS source, event_id AS position FROM readings""",
+SELECT event_id, arrival_us, (event_id % 8) * 70368744177664 + event_id AS tie FROM readings""",
     "s4_json_parse": r"""SELECT event_id, CAST(regexp_extract(props, '"k": *(-?[0-9]+)', 1) AS INTEGER) AS k
 FROM events""",
     "s5_flatten": f"""WITH {READINGS}

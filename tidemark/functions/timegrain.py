@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
@@ -35,14 +35,33 @@ def bucket_timestamp(bucket_ms: Column) -> Column:
     return F.timestamp_millis(bucket_ms)
 
 
-def arrival(*parts: str | Column) -> Column:
-    """Total arrival order: arrival time first, then tie-breakers.
+def arrival(time_us: Column, tie: Column) -> Column:
+    """Total arrival order: arrival time, then a tie-breaker unique within that time.
 
     Structs compare field by field, so the order needs no global numbering.
     """
-    columns = [F.col(p) if isinstance(p, str) else p for p in parts]
-    return F.struct(*[c.cast("bigint").alias(f"a{i}") for i, c in enumerate(columns)])
+    return F.struct(time_us.cast("bigint").alias("us"), tie.cast("bigint").alias("tie"))
 
 
-def arrival_fields(frame: DataFrame, column: str = "arrival") -> list[str]:
-    return frame.schema[column].dataType.fieldNames()
+# Twice the span of a bigint, so that no tie-breaker reaches the next time.
+_RANK_STEP = "20000000000000000000"
+
+
+def arrival_rank(time_us: Column, tie: Column) -> Column:
+    """The same order as one decimal.
+
+    Minimum and maximum of a decimal are hash aggregates; those of a struct sort
+    their whole input first.
+    """
+    step = F.lit(_RANK_STEP).cast("decimal(20,0)")
+    return time_us.cast("decimal(19,0)") * step + tie.cast("decimal(19,0)")
+
+
+def rank_of(arrived: str = "arrival") -> Column:
+    return arrival_rank(F.col(f"{arrived}.us"), F.col(f"{arrived}.tie"))
+
+
+def rank_after(time_us: Column) -> Column:
+    """A rank above every arrival at ``time_us`` and below every later one."""
+    step = F.lit(_RANK_STEP).cast("decimal(20,0)")
+    return time_us.cast("decimal(19,0)") * step + F.lit("10000000000000000000").cast("decimal(20,0)")

@@ -14,7 +14,7 @@ after that point is late. The closing point depends on (key, bucket) only, so
 2. a running minimum over that small table, newest bucket first, gives the
    closing point of each bucket;
 3. readings are compared with the closing point of their bucket. Only buckets
-   that did receive late readings take part in that join.
+   whose last arrival is not before it take part in that join.
 
 A bucket with a closing point is *closed*; one without is still open at the end.
 """
@@ -27,6 +27,7 @@ from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from tidemark.config import ROW_OVERHEAD_BYTES
+from tidemark.functions.timegrain import rank_after, rank_of
 from tidemark.operators.lookup import BROADCAST_BYTES
 from tidemark.operators.scan import SEGMENT_BUCKETS, Segments, lowest, running
 from tidemark.session import materialise
@@ -38,9 +39,10 @@ HOT_ROWS = 1_000_000
 
 @dataclass(frozen=True)
 class Closings:
-    """Per (key, bucket): when it closed, whether it was opened, whether rows came late.
+    """Per (key, bucket): when it closed, whether it was opened, whether rows may be late.
 
-    Columns ``key, bucket_ms, watermark_ms, n_rows, closes_at, opened, dirty``.
+    Columns ``key, bucket_ms, watermark_ms, n_rows, closes_at, opened, dirty``;
+    ``closes_at`` is an arrival rank.
     """
 
     frame: DataFrame
@@ -50,18 +52,19 @@ class Closings:
 
 
 def bucket_marks(rows: DataFrame) -> DataFrame:
-    """First and last arrival per (key, bucket).
+    """First and last arrival per (key, bucket), as ranks.
 
     The newest bucket starts at the epoch, so buckets at or below
     ``-watermark_ms`` are late from the start and never counted.
     """
+    rank = rank_of("arrival")
     return (
         rows.where(F.col("bucket_ms") > -F.col("watermark_ms"))
-        .groupBy("key", "bucket_ms")
+        .groupBy("bucket_ms", "key")
         .agg(
-            F.min("arrival").alias("first_any"),
-            F.max("arrival").alias("last_any"),
-            F.min(F.when(F.col("is_member"), F.col("arrival"))).alias("first_member"),
+            F.min(F.when(F.col("is_member"), rank)).alias("first_member"),
+            F.min(F.when(~F.col("is_member"), rank)).alias("first_foreign"),
+            F.max("arrival.us").alias("last_us"),
             F.count("*").alias("n_rows"),
             F.max("watermark_ms").alias("watermark_ms"),
             F.min("step_ms").alias("step_ms"),
@@ -93,8 +96,8 @@ def closing_points(
     base = totals["base"] or 0
     segments = Segments.over(base, totals["top"] or base, totals["step"] or 1, segment_buckets)
 
-    opener = "first_member" if only_member_buckets else "first_any"
-    kept = ["watermark_ms", "n_rows", "last_any", opener]
+    first = F.col("first_member")
+    opener = first if only_member_buckets else F.least(first, F.col("first_foreign"))
     # One pass turns each bucket into its own mark and into a probe at the
     # position whose arrival closes it.
     missing = F.lit(None)
@@ -108,9 +111,9 @@ def closing_points(
         missing.cast(table.schema["first_member"].dataType).alias("mark"),
         F.col("bucket_ms").alias("bucket_ms"),
     )
-    points = table.select("key", *kept, F.explode(F.array(mark, probe)).alias("p")).select(
-        "key", *kept, "p.*"
-    )
+    kept = ["key", "watermark_ms", "n_rows", "last_us", "opener"]
+    points = table.withColumn("opener", opener)
+    points = points.select(*kept, F.explode(F.array(mark, probe)).alias("p")).select(*kept, "p.*")
     closed = (
         running(points, ["key"], "position", segments, lowest("mark"), "closes_at", descending=True)
         if segments.count <= 1
@@ -123,10 +126,10 @@ def closing_points(
         "n_rows",
         "closes_at",
         (
-            F.col(opener).isNotNull()
-            & (F.col("closes_at").isNull() | (F.col(opener) < F.col("closes_at")))
+            F.col("opener").isNotNull()
+            & (F.col("closes_at").isNull() | (F.col("opener") < F.col("closes_at")))
         ).alias("opened"),
-        F.coalesce(F.col("last_any") > F.col("closes_at"), F.lit(False)).alias("dirty"),
+        F.coalesce(rank_after(F.col("last_us")) > F.col("closes_at"), F.lit(False)).alias("dirty"),
     )
     size = (totals["buckets"] or 0) * (ROW_OVERHEAD_BYTES * 2) + (totals["key_bytes"] or 0)
     return Closings(frame, segments, size, totals["rows"] or 0)
@@ -165,7 +168,7 @@ def judge(rows: DataFrame, closings: Closings, broadcast_bytes: int = BROADCAST_
         joined = rows.join(F.broadcast(dirty.drop("n_rows")), ["key", "bucket_ms"], "left")
     else:
         joined = _salted_join(rows, dirty, closings.total_rows)
-    in_time = F.col("closes_at").isNull() | (F.col("arrival") < F.col("closes_at"))
+    in_time = F.col("closes_at").isNull() | (rank_of("arrival") < F.col("closes_at"))
     return joined.withColumn(
         "accepted", (F.col("bucket_ms") > -F.col("watermark_ms")) & in_time
     ).drop("closes_at")

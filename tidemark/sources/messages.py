@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
 
 from tidemark.functions.timegrain import arrival, event_us
 
 _CORRUPT = "_corrupt"
+_OFFSET_BITS = 46
+_PARTITION_BITS = 17
 
 
 def decode(records: DataFrame) -> DataFrame:
@@ -23,8 +25,15 @@ def with_arrival(decoded: DataFrame) -> DataFrame:
 
     The time keeps its full precision; partition and offset make the order total.
     """
-    return decoded.withColumn(
-        "arrival", arrival(event_us(F.col("timestamp")), "partition", "offset")
+    return decoded.withColumn("arrival", arrival(event_us(F.col("timestamp")), _record_tie()))
+
+
+def _record_tie() -> Column:
+    """Partition and offset in one number; a record that does not fit is an error."""
+    partition, offset = F.col("partition").cast("bigint"), F.col("offset")
+    fits = offset.between(0, 2**_OFFSET_BITS - 1) & partition.between(0, 2**_PARTITION_BITS - 1)
+    return F.when(fits, F.shiftleft(partition, _OFFSET_BITS) + offset).otherwise(
+        F.raise_error(F.lit("partition or offset out of range")).cast("bigint")
     )
 
 

@@ -6,7 +6,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.config import KeySettings, Lookup, VectorSettings
-from tidemark.functions.timegrain import arrival_fields
 from tidemark.operators.enrich import enrich_keyed, enrich_vectors
 from tidemark.operators.lookup import lookup_join
 from tidemark.operators.vectors import to_messages
@@ -16,11 +15,10 @@ VALUE = "value"
 
 
 def _flat(rows: DataFrame) -> DataFrame:
-    """Arrival order as three numbers; missing tie-breakers become 0."""
-    fields = [F.col("arrival").getField(f) for f in arrival_fields(rows)]
-    fields += [F.lit(0).cast("bigint")] * (3 - len(fields))
-    names = ["arrival_us", "source", "position"]
-    return rows.select("*", *[f.alias(n) for f, n in zip(fields, names)]).drop("arrival")
+    """Arrival order as two numbers."""
+    return rows.select(
+        "*", F.col("arrival.us").alias("arrival_us"), F.col("arrival.tie").alias("tie")
+    ).drop("arrival")
 
 
 def keyed_stream_rows(readings: DataFrame, settings: KeySettings) -> DataFrame:

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
-from tidemark.streaming.stages import Alarm, BucketStage, CarryStage, Values
+from tidemark.streaming.stages import ARRIVAL, Alarm, BucketStage, CarryStage, Values
 
 CLEANUP_MS = 5 * 60 * 1000
 
@@ -180,7 +180,7 @@ class CarryProcessor(_Timed):
 
 def combine_inactive(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """Map-side partial aggregates per (key, bucket), so that a hot bucket shuffles few rows."""
-    order = ["ts_us", "arrival_us", "source", "position"]
+    order = ["ts_us", *ARRIVAL]
     for batch in batches:
         if batch.empty:
             continue
@@ -194,7 +194,7 @@ def combine_inactive(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 COMBINED_ROWS = (
     "key string, bucket_ms bigint, total double, n bigint, latest boolean, timeout_ms bigint, "
-    "ts_us bigint, arrival_us bigint, source bigint, position bigint, value double"
+    "ts_us bigint, arrival_us bigint, tie bigint, value double"
 )
 
 
@@ -207,17 +207,17 @@ class InactiveBucketProcessor(StatefulProcessor):
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.cell = handle.getValueState(
             "cell",
-            "total double, n bigint, latest boolean, ts_us bigint, arrival_us bigint, "
-            "source bigint, position bigint, value double",
+            "total double, n bigint, latest boolean, ts_us bigint, arrival_us bigint, tie bigint, "
+            "value double",
         )
         self.alarm = Alarm(handle, "flush_at")
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        order = ["ts_us", "arrival_us", "source", "position"]
+        order = ["ts_us", *ARRIVAL]
         total, n, best, value = 0.0, 0, None, None
         if self.cell.exists():
             old = self.cell.get()
-            total, n, best, value = old[0], old[1], tuple(old[3:7]), old[7]
+            total, n, best, value = old[0], old[1], tuple(old[3:6]), old[6]
         for batch in rows:
             total += float(batch["total"].sum())
             n += int(batch["n"].sum())
@@ -272,7 +272,7 @@ def chained(
 def inactive(rows: DataFrame) -> DataFrame:
     """``(key, bucket_ms, value)`` of buckets that have gone quiet, rows with nulls dropped."""
     partial = rows.select(
-        "key", "bucket_ms", "ts_us", "arrival_us", "source", "position", "value", "latest", "timeout_ms"
+        "key", "bucket_ms", "ts_us", *ARRIVAL, "value", "latest", "timeout_ms"
     ).mapInPandas(combine_inactive, COMBINED_ROWS)
     return (
         partial.groupBy("key", "bucket_ms")

@@ -11,7 +11,7 @@ import pandas as pd
 from pyspark.sql.streaming.stateful_processor import StatefulProcessorHandle
 
 Values = dict[str, float | None]
-ARRIVAL = ["arrival_us", "source", "position"]
+ARRIVAL = ["arrival_us", "tie"]
 OPENED = ""
 
 
