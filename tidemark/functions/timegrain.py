@@ -43,25 +43,39 @@ def arrival(time_us: Column, tie: Column) -> Column:
     return F.struct(time_us.cast("bigint").alias("us"), tie.cast("bigint").alias("tie"))
 
 
-# Twice the span of a bigint, so that no tie-breaker reaches the next time.
-_RANK_STEP = "20000000000000000000"
+# A tie-breaker lies within plus or minus the half step, so that none
+# reaches the ranks of the next time.
+_STEP = "20000000000000000000"
+_HALF_STEP = "10000000000000000000"
 
 
-def arrival_rank(time_us: Column, tie: Column) -> Column:
+def _whole(text: str) -> Column:
+    return F.lit(text).cast("decimal(20,0)")
+
+
+def arrival_rank(arrived: Column) -> Column:
     """The same order as one decimal.
 
     Minimum and maximum of a decimal are hash aggregates; those of a struct sort
     their whole input first.
     """
-    step = F.lit(_RANK_STEP).cast("decimal(20,0)")
-    return time_us.cast("decimal(19,0)") * step + tie.cast("decimal(19,0)")
-
-
-def rank_of(arrived: str = "arrival") -> Column:
-    return arrival_rank(F.col(f"{arrived}.us"), F.col(f"{arrived}.tie"))
+    time_us, tie = arrived.getField("us"), arrived.getField("tie")
+    return time_us.cast("decimal(19,0)") * _whole(_STEP) + tie.cast("decimal(19,0)")
 
 
 def rank_after(time_us: Column) -> Column:
     """A rank above every arrival at ``time_us`` and below every later one."""
-    step = F.lit(_RANK_STEP).cast("decimal(20,0)")
-    return time_us.cast("decimal(19,0)") * step + F.lit("10000000000000000000").cast("decimal(20,0)")
+    return time_us.cast("decimal(19,0)") * _whole(_STEP) + _whole(_HALF_STEP)
+
+
+def arrival_of(rank: Column) -> Column:
+    """The arrival a rank was made from."""
+    tie = F.pmod(rank + _whole(_HALF_STEP), _whole(_STEP)) - _whole(_HALF_STEP)
+    return arrival(F.call_function("div", rank - tie, _whole(_STEP)), tie)
+
+
+def arrived_before(arrived: Column, other: Column) -> Column:
+    """Whether ``arrived`` comes before ``other``."""
+    time_us, limit_us = arrived.getField("us"), other.getField("us")
+    same = (time_us == limit_us) & (arrived.getField("tie") < other.getField("tie"))
+    return (time_us < limit_us) | same

@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from tidemark.config import ROW_OVERHEAD_BYTES
-from tidemark.functions.timegrain import rank_after, rank_of
+from tidemark.functions.timegrain import arrival_of, arrival_rank, arrived_before, rank_after
 from tidemark.operators.lookup import BROADCAST_BYTES
 from tidemark.operators.scan import SEGMENT_BUCKETS, Segments, lowest, running
 from tidemark.session import materialise
@@ -57,7 +57,7 @@ def bucket_marks(rows: DataFrame) -> DataFrame:
     The newest bucket starts at the epoch, so buckets at or below
     ``-watermark_ms`` are late from the start and never counted.
     """
-    rank = rank_of("arrival")
+    rank = arrival_rank(F.col("arrival"))
     return (
         rows.where(F.col("bucket_ms") > -F.col("watermark_ms"))
         .groupBy("bucket_ms", "key")
@@ -150,7 +150,9 @@ def judge(rows: DataFrame, closings: Closings, broadcast_bytes: int = BROADCAST_
     broadcast and the rows are not shuffled at all; otherwise the join shuffles,
     with the buckets holding most rows split by salt.
     """
-    dirty = closings.frame.where("dirty").select("key", "bucket_ms", "closes_at", "n_rows")
+    dirty = closings.frame.where("dirty").select(
+        "key", "bucket_ms", arrival_of(F.col("closes_at")).alias("closed_by"), "n_rows"
+    )
     if closings.size > broadcast_bytes:
         counted = Observation()
         dirty = materialise(
@@ -168,10 +170,11 @@ def judge(rows: DataFrame, closings: Closings, broadcast_bytes: int = BROADCAST_
         joined = rows.join(F.broadcast(dirty.drop("n_rows")), ["key", "bucket_ms"], "left")
     else:
         joined = _salted_join(rows, dirty, closings.total_rows)
-    in_time = F.col("closes_at").isNull() | (rank_of("arrival") < F.col("closes_at"))
+    closed_by = F.col("closed_by")
+    in_time = closed_by.isNull() | arrived_before(F.col("arrival"), closed_by)
     return joined.withColumn(
         "accepted", (F.col("bucket_ms") > -F.col("watermark_ms")) & in_time
-    ).drop("closes_at")
+    ).drop("closed_by")
 
 
 def _salted_join(rows: DataFrame, dirty: DataFrame, total_rows: int) -> DataFrame:
