@@ -15,7 +15,16 @@ from tidemark.operators.enrich import enrich_keyed
 from tidemark.plans.keyed import window_buckets
 from tidemark.sources import kafka
 from tidemark.sources.files import stream_folder, stream_table
-from tidemark.streaming.jobs import inactive_stream, keyed_stream, vector_messages, vector_stream
+from tidemark.streaming.jobs import (
+    chained,
+    fused,
+    inactive_stream,
+    keyed_stream,
+    spread,
+    vector_messages,
+    vector_stream,
+    vector_stream_rows,
+)
 from tidemark.streaming.listener import OffsetListener, end_offsets
 from tidemark.streaming.run import (
     await_any,
@@ -75,14 +84,14 @@ def vector_rows(frame):
     )
 
 
-@pytest.mark.parametrize("slices, two_steps", [(1, False), (3, False), (12, False), (3, True)])
-def test_stream_equals_replay_for_any_slicing(spark, tmp_path, slices, two_steps):
+@pytest.mark.parametrize("slices, form", [(1, fused), (12, fused), (3, chained), (1, spread), (5, spread)])
+def test_stream_equals_replay_for_any_slicing(spark, tmp_path, slices, form):
     readings = random_readings(random.Random(11), 240)
     feed = Feed(spark, tmp_path, DEVICE)
     for part in sliced(readings, slices):
         feed.add(part)
     out = run_bounded(
-        vector_stream(feed.stream(), VectorSettings.from_maps(spark), timers=False, report_late=True, two_steps=two_steps),
+        vector_stream(feed.stream(), VectorSettings.from_maps(spark), timers=False, report_late=True, form=form),
         "sliced",
     )
     rows, late = replay_vectors(readings)
@@ -136,18 +145,14 @@ class Live:
         self.query.stop()
 
 
-@pytest.mark.parametrize("two_steps", [False, True])
-def test_inactivity_flushes_restarts_and_cleans_up(spark, tmp_path, two_steps):
+@pytest.mark.parametrize("form", [fused, chained, spread])
+def test_inactivity_flushes_restarts_and_cleans_up(spark, tmp_path, form):
     settings = VectorSettings.from_maps(spark, timeout_ms=1500)
     feed = Feed(spark, tmp_path, DEVICE)
     feed.add([("f1", "d0", 1.0, 5_000_000), ("f1", "d0", 2.0, 30_000_000), ("f2", "d1", 3.0, 31_000_000)])
-    from tidemark.streaming.jobs import vector_stream_rows
-    from tidemark.streaming.processors import chained, fused
-
-    run = chained if two_steps else fused
     rows = vector_stream_rows(feed.stream(), settings)
     columns = ("bucket_ms", "bucket_index", "values", "filled", "emit_reason")
-    with Live(run(rows, cleanup_ms=15_000)) as live:
+    with Live(form(rows, cleanup_ms=15_000)) as live:
         first = live.wait(2, *columns)
         assert first[0] == (5000, 0, {"f1": 1.0, "f2": None}, {"f1": 1.0, "f2": None}, "closed")
         assert first[1] == (30_000, 1, {"f1": 2.0, "f2": 3.0}, {"f1": 2.0, "f2": 3.0}, "timeout")

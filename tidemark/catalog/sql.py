@@ -246,6 +246,7 @@ SELECT key AS vector, bucket_ms, feature, round(filled, 6) AS filled, emit_reaso
     )
     + "SELECT key AS vector, bucket_ms, feature, round(filled, 6) AS filled FROM cells",
     "t8_vectors_stream": STREAMED_VECTORS,
+    "t8_spread_stream": STREAMED_VECTORS,
     "t12_chained_stream": STREAMED_VECTORS,
     "t10_arrival_order": breaks("event_id", "arrival_us", "n_unsorted"),
     "t10_value_order": breaks("arrival_us, event_id", "value", "n_falling"),

@@ -11,7 +11,7 @@ from tidemark.session import use_stream_settings
 from tidemark.operators.enrich import enrich_keyed
 from tidemark.sources.files import stream_table
 from tidemark.sources.messages import person_readings
-from tidemark.streaming.jobs import keyed_stream, vector_stream
+from tidemark.streaming.jobs import chained, fused, keyed_stream, spread, vector_stream
 from tidemark.streaming.run import run_bounded, start_all, to_parquet, writer
 from tidemark.streaming.watermark import windowed, windowed_union
 from tidemark.session import scratch_path
@@ -61,9 +61,9 @@ def numbered_stream(spark: SparkSession, folder: str) -> DataFrame:
     return run_bounded(out, "keyed").select("key", "bucket_ms", "bucket_index", rounded())
 
 
-def _vectors(spark: SparkSession, folder: str, two_steps: bool) -> DataFrame:
+def _vectors(spark: SparkSession, folder: str, form) -> DataFrame:
     readings = feeds.device_readings(_events(spark, folder))
-    out = vector_stream(readings, feeds.vector_settings(spark), timers=False, two_steps=two_steps)
+    out = vector_stream(readings, feeds.vector_settings(spark), timers=False, form=form)
     cells = run_bounded(out, "vectors").select(
         F.col("key").alias("vector"), "bucket_ms", "bucket_index", F.explode("filled")
     )
@@ -77,11 +77,15 @@ def _vectors(spark: SparkSession, folder: str, two_steps: bool) -> DataFrame:
 
 
 def fused_vectors(spark: SparkSession, folder: str) -> DataFrame:
-    return _vectors(spark, folder, two_steps=False)
+    return _vectors(spark, folder, form=fused)
 
 
 def chained_vectors(spark: SparkSession, folder: str) -> DataFrame:
-    return _vectors(spark, folder, two_steps=True)
+    return _vectors(spark, folder, form=chained)
+
+
+def spread_vectors(spark: SparkSession, folder: str) -> DataFrame:
+    return _vectors(spark, folder, form=spread)
 
 
 def late_stream(spark: SparkSession, folder: str) -> DataFrame:
@@ -97,6 +101,7 @@ QUERIES = {
     "u1_union_stream": union_watermark,
     "t7_numbered_stream": numbered_stream,
     "t8_vectors_stream": fused_vectors,
+    "t8_spread_stream": spread_vectors,
     "t12_chained_stream": chained_vectors,
     "t11_late_stream": late_stream,
 }

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.types import StructType
 
 # Upper bound (one file at least) on what a micro-batch reads.
-MAX_BYTES_PER_TRIGGER = 1024**3
+MAX_BYTES_PER_TRIGGER = 128 * 1024**2
 
 
 def read_table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -16,10 +16,14 @@ def read_table(spark: SparkSession, folder: str, name: str) -> DataFrame:
 def stream_table(
     spark: SparkSession, folder: str, name: str, schema: StructType | None = None
 ) -> DataFrame:
-    """The same table as a stream. Files are taken by age, oldest first."""
+    """The same table as a stream. Files are taken by age, oldest first.
+
+    The path is given as a pattern: the table may be a folder or, as a stream path
+    otherwise may not, a single file.
+    """
     known = schema or read_table(spark, folder, name).schema
     reader = spark.readStream.schema(known).option("maxBytesPerTrigger", MAX_BYTES_PER_TRIGGER)
-    return reader.option("pathGlobFilter", f"{name}.parquet").parquet(folder)
+    return reader.parquet(f"{folder}/{name}[.]parquet")
 
 
 def stream_folder(

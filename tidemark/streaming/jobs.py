@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -10,6 +12,9 @@ from tidemark.operators.enrich import enrich_keyed, enrich_vectors
 from tidemark.operators.lookup import lookup_join
 from tidemark.operators.vectors import to_messages
 from tidemark.streaming.processors import chained, fused, inactive
+from tidemark.streaming.spread import spread
+
+__all__ = ["chained", "fused", "spread", "inactive_stream", "keyed_stream", "vector_stream"]
 
 VALUE = "value"
 
@@ -60,11 +65,13 @@ def vector_stream(
     settings: VectorSettings,
     timers: bool = True,
     report_late: bool = False,
-    two_steps: bool = False,
+    form: Callable[..., DataFrame] = fused,
 ) -> DataFrame:
-    """``(key, bucket_ms, bucket_index, values, filled, emit_reason, n_late)``."""
-    run = chained if two_steps else fused
-    return run(vector_stream_rows(readings, settings), timers, report_late)
+    """``(key, bucket_ms, bucket_index, values, filled, emit_reason, n_late)``.
+
+    ``form`` is :func:`fused`, :func:`chained` or, for very busy keys, :func:`spread`.
+    """
+    return form(vector_stream_rows(readings, settings), timers, report_late)
 
 
 def vector_messages(emitted: DataFrame) -> DataFrame:
