@@ -20,10 +20,10 @@ VALUE = "value"
 
 
 def _flat(rows: DataFrame) -> DataFrame:
-    """Arrival order as two numbers."""
+    """Arrival order as two numbers; columns no processor reads are dropped."""
     return rows.select(
         "*", F.col("arrival.us").alias("arrival_us"), F.col("arrival.tie").alias("tie")
-    ).drop("arrival")
+    ).drop("arrival", "step_ms", "latest")
 
 
 def keyed_stream_rows(readings: DataFrame, settings: KeySettings) -> DataFrame:
@@ -85,4 +85,7 @@ def vector_messages(emitted: DataFrame) -> DataFrame:
 
 def inactive_stream(readings: DataFrame, settings: KeySettings) -> DataFrame:
     """One state per (key, bucket), emitted after the key's timeout without rows."""
-    return inactive(keyed_stream_rows(readings, settings))
+    rows = enrich_keyed(readings, settings).withColumn("key", F.col("key").cast("string"))
+    return inactive(
+        rows.withColumn("arrival_us", F.col("arrival.us")).withColumn("tie", F.col("arrival.tie"))
+    )
