@@ -334,9 +334,9 @@ def members_only(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def messages(spark: SparkSession, folder: str) -> DataFrame:
-    """Vectors as text messages; readings are cut to whole numbers so that text is exact."""
+    """Vectors as text messages; readings are cut to whole numbers so that sums are exact."""
     whole = _readings(spark, folder).withColumn("value", F.floor("value").cast("double"))
-    return _vector_job(spark).messages(whole.where(F.col("device") == "d2"))
+    return _vector_job(spark).messages(whole)
 
 
 def arrival_order(spark: SparkSession, folder: str) -> DataFrame:

@@ -205,9 +205,10 @@ FROM readings""",
     "p10_membership": f"WITH {VECTOR_ROWS} SELECT event_id, key AS vector, feature, is_member FROM rows_",
     "p11_na_drop": "SELECT event_id, event_type, value FROM events WHERE event_id % 5 <> 0 AND event_id % 7 <> 0",
     "p12_messages": f"""{cells(rows=WHOLE_NUMBER_ROWS)}
-SELECT key, '{{"bucket":"' || strftime(make_timestamp(bucket_ms * 1000), '%Y-%m-%dT%H:%M:%S') || '.000Z","values":{{"'
-  || feature || '":' || coalesce(CAST(filled AS VARCHAR), 'null') || '}}}}' AS value
-FROM cells WHERE key <> 'v1'""",
+SELECT key, '{{"bucket":"' || strftime(make_timestamp(bucket_ms * 1000), '%Y-%m-%dT%H:%M:%S') || '.000Z","values":{{'
+  || string_agg('"' || feature || '":' || coalesce(CAST(filled AS VARCHAR), 'null'), ',' ORDER BY feature)
+  || '}}}}' AS value
+FROM cells GROUP BY key, bucket_ms""",
     "a1_window_average": f"""WITH {PEOPLE}
 SELECT bucket_ms, round(avg(value), 6) AS value FROM rows_ WHERE key = 'f'
 GROUP BY ts_us // 1000 // 7200000, bucket_ms""",
