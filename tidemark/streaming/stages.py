@@ -21,10 +21,15 @@ def parse_layout(layout: str) -> dict[str, bool]:
     return {feature: latest == "true" for feature, latest in pairs}
 
 
-def in_arrival_order(batches: list[pd.DataFrame]) -> pd.DataFrame:
-    rows = pd.concat(batches, ignore_index=True)
-    order = np.lexsort([rows[name].to_numpy() for name in reversed(ARRIVAL)])
-    return rows.iloc[order]
+def in_arrival_order(batches: list[pd.DataFrame], names: list[str]) -> dict[str, np.ndarray]:
+    """Columns of all batches as arrays, rows in arrival order.
+
+    Plain arrays: with many keys a group holds few rows, and the fixed cost of data
+    frame operations would exceed the work.
+    """
+    arrays = {n: np.concatenate([b[n].to_numpy() for b in batches]) for n in [*names, *ARRIVAL]}
+    order = np.lexsort([arrays[name] for name in reversed(ARRIVAL)])
+    return {name: arrays[name][order] for name in names}
 
 
 class BucketStage:
@@ -46,13 +51,13 @@ class BucketStage:
 
     def update(self, batches: list[pd.DataFrame]) -> tuple[list[tuple[int, Values]], dict[int, int]]:
         """Take in one batch; return closed buckets in order, and late rows per bucket."""
-        rows = in_arrival_order(batches)
-        watermark = int(rows["watermark_ms"].iloc[-1])
-        layout = rows["layout"].iloc[-1]
-        newest = self.progress.get()[0] if self.progress.exists() else 0
+        rows = in_arrival_order(batches, ["bucket_ms", "feature", "ts_us", "value", "is_member"])
+        watermark = int(batches[-1]["watermark_ms"].iat[-1])
+        layout = batches[-1]["layout"].iat[-1]
+        newest = (self.progress.get() or (0,))[0]
 
-        bucket = rows["bucket_ms"].to_numpy()
-        member = rows["is_member"].to_numpy(dtype=bool)
+        bucket = rows["bucket_ms"]
+        member = rows["is_member"].astype(bool)
         # Late rows never raise the maximum, so it may run over all member rows.
         seen = np.maximum.accumulate(np.r_[newest, np.where(member, bucket, 0)])
         accepted = seen[:-1] - watermark < bucket
@@ -63,7 +68,8 @@ class BucketStage:
         merged = dict(known)
         for start in np.unique(bucket[accepted]):
             merged.setdefault((int(start), OPENED), (0.0, 0, 0, 0.0))
-        for cell, part in self._partials(rows[accepted & member]):
+        kept = accepted & member
+        for cell, part in self._partials(*(rows[n][kept] for n in ("bucket_ms", "feature", "ts_us", "value"))):
             merged[cell] = self._merge(merged.get(cell), part)
 
         limit = newest - watermark
@@ -80,9 +86,10 @@ class BucketStage:
 
     def flush(self) -> list[tuple[int, Values]]:
         """Emit every open bucket in order and forget the key."""
-        if not self.progress.exists():
+        progress = self.progress.get()
+        if progress is None:
             return []
-        layout = self.progress.get()[2]
+        layout = progress[2]
         known = {(e[0][0], e[0][1]): tuple(e[1]) for e in self.open.iterator()}
         emitted = [(b, self._values(known, b, layout)) for b in sorted({b for b, _ in known})]
         self.open.clear()
@@ -90,17 +97,20 @@ class BucketStage:
         return emitted
 
     @staticmethod
-    def _partials(rows: pd.DataFrame):
+    def _partials(bucket: np.ndarray, feature: np.ndarray, ts: np.ndarray, value: np.ndarray):
         """Sum, count and latest value per (bucket, feature); rows come in arrival order."""
-        if rows.empty:
+        if not len(bucket):
             return
-        groups = rows.reset_index(drop=True).groupby(["bucket_ms", "feature"], sort=False)
-        sums = groups["value"].agg(["sum", "count"])
-        # idxmax takes the first of equal times, which is the first arrival.
-        newest = rows.reset_index(drop=True).loc[groups["ts_us"].idxmax()]
-        latest = newest.set_index(["bucket_ms", "feature"])[["ts_us", "value"]]
-        for cell, total, n, us, value in sums.join(latest).itertuples():
-            yield (int(cell[0]), cell[1]), (float(total), int(n), int(us), float(value))
+        names, code = np.unique(feature.astype(str), return_inverse=True)
+        # The sort is stable: of equal event times the first arrival leads its cell.
+        order = np.lexsort([-ts, code, bucket])
+        b, c, v = bucket[order], code[order], value[order]
+        start = np.flatnonzero(np.r_[True, (b[1:] != b[:-1]) | (c[1:] != c[:-1])])
+        totals = np.add.reduceat(v, start)
+        counts = np.diff(np.r_[start, len(v)])
+        for at, total, n in zip(start, totals, counts):
+            cell = (int(b[at]), str(names[c[at]]))
+            yield cell, (float(total), int(n), int(ts[order[at]]), float(v[at]))
 
     @staticmethod
     def _merge(old: tuple | None, new: tuple) -> tuple:
@@ -129,7 +139,7 @@ class CarryStage:
         """``(bucket, index, filled values)``; buckets come in ascending order."""
         if not buckets:
             return []
-        index = self.next_index.get()[0] if self.next_index.exists() else 0
+        index = (self.next_index.get() or (0,))[0]
         before = {e[0][0]: e[1][0] for e in self.last.iterator()}
         last = dict(before)
         out = []
@@ -167,7 +177,7 @@ class Alarm:
         self.expiry.update((at_ms,))
 
     def at(self) -> int | None:
-        return self.expiry.get()[0] if self.expiry.exists() else None
+        return (self.expiry.get() or (None,))[0]
 
     def clear(self) -> None:
         self.expiry.clear()
