@@ -20,6 +20,13 @@ def documents(spark: SparkSession, folder: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/documents.parquet")
 
 
+def vocabulary(name: str) -> str:
+    """Path of a public tokenizer's file, which every worker has."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
 def text_or_empty(name: str = "text") -> Column:
     return F.coalesce(F.col(name), F.lit(""))
 

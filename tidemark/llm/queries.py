@@ -4,14 +4,22 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.llm import exact_dedup, mixing
-from tidemark.llm.common import documents
+from tidemark.llm import exact_dedup, mixing, packing, token_files
+from tidemark.llm.common import documents, vocabulary
 
 
 def op2_mixing(spark: SparkSession, folder: str) -> DataFrame:
     return mixing.per_document(documents(spark, folder))
 
 
+def op4_token_files(spark: SparkSession, folder: str) -> DataFrame:
+    return token_files.round_trip(documents(spark, folder), vocabulary("byte_bpe_50k.json"))
+
+
+def op7_packing(spark: SparkSession, folder: str) -> DataFrame:
+    return packing.packed(documents(spark, folder), vocabulary("word_bpe_49k.json"))
+
+
 def op10_exact_dedup(spark: SparkSession, folder: str) -> DataFrame:
     # A pattern: a stream may not read a single file by its plain name.
     return exact_dedup.decisions(spark, f"{folder}/documents[.]parquet")
@@ -19,5 +27,7 @@ def op10_exact_dedup(spark: SparkSession, folder: str) -> DataFrame:
 
 QUERIES = {
     "op2_mixing": op2_mixing,
+    "op4_token_files": op4_token_files,
+    "op7_packing": op7_packing,
     "op10_exact_dedup": op10_exact_dedup,
 }
