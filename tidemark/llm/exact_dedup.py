@@ -37,6 +37,8 @@ STATE = {
     # Native memory of all stores of an executor together.
     "spark.sql.streaming.stateStore.rocksdb.boundedMemoryUsage": "true",
     "spark.sql.streaming.stateStore.rocksdb.maxMemoryUsageMB": "256",
+    # Else each store sets aside several MB of disk for its logs before it has any.
+    "spark.sql.streaming.stateStore.rocksdb.allowFAllocate": "false",
     # Without watermark or timers a batch without data has nothing to do.
     "spark.sql.streaming.noDataMicroBatches.enabled": "false",
     "spark.sql.streaming.metricsEnabled": "false",
