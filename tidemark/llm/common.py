@@ -20,6 +20,10 @@ def documents(spark: SparkSession, folder: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/documents.parquet")
 
 
+def labels(spark: SparkSession, folder: str) -> DataFrame:
+    return spark.read.parquet(f"{folder}/labels.parquet")
+
+
 def vocabulary(name: str) -> str:
     """Path of a public tokenizer's file, which every worker has."""
     import public_tokenizers

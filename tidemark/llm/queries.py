@@ -4,8 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.llm import exact_dedup, mixing, packing, token_files
-from tidemark.llm.common import documents, vocabulary
+from tidemark.llm import exact_dedup, mixing, packing, quality, token_files, toxicity
+from tidemark.llm.common import documents, labels, vocabulary
 
 
 def op2_mixing(spark: SparkSession, folder: str) -> DataFrame:
@@ -16,10 +16,20 @@ def op4_token_files(spark: SparkSession, folder: str) -> DataFrame:
     return token_files.round_trip(documents(spark, folder), vocabulary("byte_bpe_50k.json"))
 
 
+def op6_toxicity(spark: SparkSession, folder: str) -> DataFrame:
+    docs = documents(spark, folder)
+    return toxicity.classified(docs, *toxicity.fit(docs, labels(spark, folder)))
+
+
 def op7_packing(spark: SparkSession, folder: str) -> DataFrame:
     return packing.packed(documents(spark, folder), vocabulary("word_bpe_49k.json"))
 
 
+def op8_quality(spark: SparkSession, folder: str) -> DataFrame:
+    docs = documents(spark, folder)
+    return quality.classified(docs, quality.fit(docs, labels(spark, folder)))
+
+
 def op10_exact_dedup(spark: SparkSession, folder: str) -> DataFrame:
     # A pattern: a stream may not read a single file by its plain name.
     return exact_dedup.decisions(spark, f"{folder}/documents[.]parquet")
@@ -28,6 +38,8 @@ def op10_exact_dedup(spark: SparkSession, folder: str) -> DataFrame:
 QUERIES = {
     "op2_mixing": op2_mixing,
     "op4_token_files": op4_token_files,
+    "op6_toxicity": op6_toxicity,
     "op7_packing": op7_packing,
+    "op8_quality": op8_quality,
     "op10_exact_dedup": op10_exact_dedup,
 }
