@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -45,10 +46,17 @@ def sample(
     return pd.concat(parts, ignore_index=True)
 
 
-def shuffled(n: int, seed: int):
-    import numpy as np
-
-    return np.random.default_rng(seed).permutation(n)
+def batches(y: np.ndarray, size: int, n: int, seed: int) -> Iterator[np.ndarray]:
+    """``n`` batches of row numbers, half of each label; a label's rows come round in shuffled laps."""
+    rng = np.random.default_rng(seed)
+    half = size // 2
+    laps = []
+    for label in (0, 1):
+        rows = np.nonzero(y == label)[0]
+        n_laps = -(-n * half // len(rows))
+        laps.append(np.concatenate([rng.permutation(rows) for _ in range(n_laps)]))
+    for i in range(n):
+        yield np.concatenate([rows[i * half : (i + 1) * half] for rows in laps])
 
 
 def scored(

@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm.common import as_row, joined_bytes, text_or_empty
-from tidemark.llm.labelled import sample, scored, shuffled
+from tidemark.llm.labelled import batches, sample, scored
 
 EMBEDDING = 6
 WIDTH = 12
@@ -32,7 +32,7 @@ STRIDE = 4
 FILTERS = 24
 HIDDEN = 16
 CHUNK = 512
-EPOCHS = 6
+STEPS = 650
 BATCH = 48
 RATE = 4e-3
 SEED = 8
@@ -168,26 +168,21 @@ def gradients(model: dict, texts: list[bytes], y: np.ndarray) -> dict[str, np.nd
     }
 
 
-def train(texts: list[bytes], y: np.ndarray, epochs: int = EPOCHS, seed: int = SEED) -> dict[str, np.ndarray]:
+def train(texts: list[bytes], y: np.ndarray, n_steps: int = STEPS, seed: int = SEED) -> dict[str, np.ndarray]:
     """A network trained by Adam on the given documents."""
     if len(set(y.tolist())) < 2:
         return {"constant": np.float64(y.mean() if len(y) else 0.5)}
     model = new_model(np.random.default_rng(seed))
     mean = {k: np.zeros_like(v) for k, v in model.items()}
     square = {k: np.zeros_like(v) for k, v in model.items()}
-    step, n_steps = 0, epochs * -(-len(texts) // BATCH)
-    for epoch in range(epochs):
-        order = shuffled(len(texts), seed + epoch)
-        for a in range(0, len(order), BATCH):
-            rows = order[a : a + BATCH]
-            found = gradients(model, [texts[i] for i in rows], y[rows].astype(np.float32))
-            step += 1
-            rate = RATE * (1 - 0.9 * step / n_steps)
-            for name, g in found.items():
-                mean[name] = 0.9 * mean[name] + 0.1 * g
-                square[name] = 0.99 * square[name] + 0.01 * g * g
-                change = (mean[name] / (1 - 0.9**step)) / (np.sqrt(square[name] / (1 - 0.99**step)) + 1e-6)
-                model[name] = (model[name] - rate * change).astype(np.float32)
+    for step, rows in enumerate(batches(y, BATCH, n_steps, seed), 1):
+        found = gradients(model, [texts[i] for i in rows], y[rows].astype(np.float32))
+        rate = RATE * (1 - 0.9 * step / n_steps)
+        for name, g in found.items():
+            mean[name] = 0.9 * mean[name] + 0.1 * g
+            square[name] = 0.99 * square[name] + 0.01 * g * g
+            change = (mean[name] / (1 - 0.9**step)) / (np.sqrt(square[name] / (1 - 0.99**step)) + 1e-6)
+            model[name] = (model[name] - rate * change).astype(np.float32)
     return model
 
 
