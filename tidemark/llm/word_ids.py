@@ -14,7 +14,7 @@ import re
 import numpy as np
 
 # Pieces a worker remembers; beyond, it forgets all and starts anew.
-MOST_PIECES = 500_000
+MOST_PIECES = 1_000_000
 
 # Letters up to Latin Extended-B with a tail of punctuation: the library sees them as two words.
 WORD_AND_TAIL = re.compile("(\n?)([A-Za-zÀ-ÖØ-öø-ɏ]+)([.,!?;:]*)")
