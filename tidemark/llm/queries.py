@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.llm import exact_dedup, mixing, packing, quality, token_files, toxicity
+from tidemark.llm import exact_dedup, mixing, packing, quality, simhash, token_files, toxicity, vptree
 from tidemark.llm.common import documents, labels, vocabulary
 
 
@@ -12,10 +12,18 @@ def op2_mixing(spark: SparkSession, folder: str) -> DataFrame:
     return mixing.per_document(documents(spark, folder))
 
 
+def op3_simhash(spark: SparkSession, folder: str) -> DataFrame:
+    return simhash.grouped(documents(spark, folder))
+
+
 def op4_token_files(spark: SparkSession, folder: str) -> DataFrame:
     return token_files.round_trip(documents(spark, folder), vocabulary("byte_bpe_50k.json"))
 
 
+def op5_nearest(spark: SparkSession, folder: str) -> DataFrame:
+    return vptree.search_every(spark.read.parquet(f"{folder}/embeddings.parquet"))
+
+
 def op6_toxicity(spark: SparkSession, folder: str) -> DataFrame:
     docs = documents(spark, folder)
     return toxicity.classified(docs, *toxicity.fit(docs, labels(spark, folder)))
@@ -37,7 +45,9 @@ def op10_exact_dedup(spark: SparkSession, folder: str) -> DataFrame:
 
 QUERIES = {
     "op2_mixing": op2_mixing,
+    "op3_simhash": op3_simhash,
     "op4_token_files": op4_token_files,
+    "op5_nearest": op5_nearest,
     "op6_toxicity": op6_toxicity,
     "op7_packing": op7_packing,
     "op8_quality": op8_quality,

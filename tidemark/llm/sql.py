@@ -44,6 +44,23 @@ JOIN shares s ON d.source IS NOT DISTINCT FROM s.source
 LEFT JOIN times t ON d.doc_id IS NOT DISTINCT FROM t.doc_id AND d.nth = t.nth
 """
 
+OP5 = """
+WITH usable AS (
+  SELECT vec_id, min(embedding) AS v FROM embeddings
+  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL
+    AND len([x FOR x IN embedding IF x IS NULL OR NOT isfinite(x)]) = 0
+    AND len([x FOR x IN embedding IF x <> 0]) > 0
+  GROUP BY vec_id
+), vectors AS (SELECT vec_id, CAST(v AS DOUBLE[]) AS v FROM usable
+), pairs AS (
+  SELECT q.vec_id AS query_id, c.vec_id, list_inner_product(q.v, c.v) AS score
+  FROM vectors q JOIN vectors c ON q.vec_id % 20 = 0 AND q.vec_id <> c.vec_id
+), ranked AS (
+  SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank FROM pairs
+)
+SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= 20
+"""
+
 OP10 = """
 SELECT doc_id, max(doc_id) OVER same AS keep_id, count(*) OVER same AS group_size,
        doc_id = max(doc_id) OVER same AS kept, sha256(coalesce(text, '')) AS text_sha256
@@ -51,4 +68,4 @@ FROM documents
 WINDOW same AS (PARTITION BY coalesce(text, ''))
 """
 
-SQL = {"op2_mixing": OP2, "op10_exact_dedup": OP10}
+SQL = {"op2_mixing": OP2, "op5_nearest": OP5, "op10_exact_dedup": OP10}
