@@ -4,10 +4,14 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.llm import exact_dedup, mixing, packing, quality, simhash, token_files, toxicity, vptree
+from tidemark.llm import exact_dedup, mixing, packing, quality, simhash, suffix_dedup, token_files, toxicity, vptree
 from tidemark.llm.common import documents, labels, vocabulary
 
 
+def op1_suffix_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    return suffix_dedup.digests(documents(spark, folder))
+
+
 def op2_mixing(spark: SparkSession, folder: str) -> DataFrame:
     return mixing.per_document(documents(spark, folder))
 
@@ -44,6 +48,7 @@ def op10_exact_dedup(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_suffix_dedup": op1_suffix_dedup,
     "op2_mixing": op2_mixing,
     "op3_simhash": op3_simhash,
     "op4_token_files": op4_token_files,
