@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.llm import exact_dedup, mixing, packing, quality, simhash, suffix_dedup, token_files, toxicity, vptree
+from tidemark.llm import exact_dedup, mixing, packing, quality, secrets_scan, simhash, suffix_dedup, token_files, toxicity, vptree
 from tidemark.llm.common import documents, labels, vocabulary
 
 
@@ -42,6 +42,10 @@ def op8_quality(spark: SparkSession, folder: str) -> DataFrame:
     return quality.classified(docs, quality.fit(docs, labels(spark, folder)))
 
 
+def op9_secrets(spark: SparkSession, folder: str) -> DataFrame:
+    return secrets_scan.digests(documents(spark, folder))
+
+
 def op10_exact_dedup(spark: SparkSession, folder: str) -> DataFrame:
     # A pattern: a stream may not read a single file by its plain name.
     return exact_dedup.decisions(spark, f"{folder}/documents[.]parquet")
@@ -56,5 +60,6 @@ QUERIES = {
     "op6_toxicity": op6_toxicity,
     "op7_packing": op7_packing,
     "op8_quality": op8_quality,
+    "op9_secrets": op9_secrets,
     "op10_exact_dedup": op10_exact_dedup,
 }
