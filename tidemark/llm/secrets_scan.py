@@ -6,10 +6,9 @@ overlap, each by itself; matches that are too short are dropped.
 *Models.* Two first-order Markov chains over characters are trained from labelled samples:
 one on random strings - what the patterns matched in the table - and one on ordinary
 identifiers - the words of a bounded sample of documents outside all matches. Both are
-plain counts with one added to each transition. A run of ``TOKEN`` characters that no
+counts of transitions, smoothed by how often the second character occurs at all. A run of ``TOKEN`` characters that no
 pattern touches is a secret (kind ``random``) if its log-likelihood ratio per transition
-exceeds both zero and what all but a ``TAIL`` share of the ordinary identifiers of at least
-``LEAST`` characters reach.
+is above ``RATIO``: with zero, if random is the likelier of the two.
 
 Everything is a Spark function over whole texts, read in one pass; the models have at most
 one number for each pair of characters, which is all that comes to the driver.
@@ -38,8 +37,7 @@ KINDS = {
 }
 RANDOM = "random"
 TOKEN = r"[A-Za-z0-9+/_-]{20,}"
-LEAST = 8
-TAIL = 1e-4
+RATIO = 0.0
 
 # Documents whose words train the model of ordinary identifiers, and the longest one taken.
 SAMPLE_DOCS = 2000
@@ -151,11 +149,11 @@ def ordinary(docs: DataFrame, rows: int = SAMPLE_DOCS) -> DataFrame:
     return words.select(F.regexp_replace("word", "[^A-Za-z0-9+/_-]", "").alias("token")).where("length(token) > 1")
 
 
-def train(found: DataFrame, docs: DataFrame) -> tuple[list[float], float] | None:
-    """Log-likelihood ratio of each transition, and the least ratio per transition of a secret."""
+def train(found: DataFrame, docs: DataFrame) -> list[float] | None:
+    """Log-likelihood ratio of each transition; None without any labelled random string."""
     n = len(ALPHABET) + 1
     random = found.select(F.explode("base").alias("m")).select(F.col("m")["value"].alias("token"))
-    words = materialise(ordinary(docs), "identifiers")
+    words = ordinary(docs)
     counts = []
     for tokens in (random, words):
         pairs = tokens.select(F.explode(transitions(F.col("token"))).alias("pair"))
@@ -164,13 +162,12 @@ def train(found: DataFrame, docs: DataFrame) -> tuple[list[float], float] | None
         return None
     logs = []
     for seen in counts:
-        rows = [sum(seen.get(a * n + b, 0) for b in range(n)) + n for a in range(n)]
-        logs.append([math.log((seen.get(i, 0) + 1) / rows[i // n]) for i in range(n * n)])
+        into = [sum(seen.get(a * n + b, 0) for a in range(n)) + 1 for b in range(n)]
+        out_of = [sum(seen.get(a * n + b, 0) for b in range(n)) + n for a in range(n)]
+        share = [i / sum(into) for i in into]
+        logs.append([math.log((seen.get(i, 0) + n * share[i % n]) / out_of[i // n]) for i in range(n * n)])
     table = [a - b for a, b in zip(*logs, strict=True)]
-    usual = words.where(F.length("token") >= LEAST).agg(
-        F.percentile_approx(ratio(F.col("token"), table), F.lit(1 - TAIL), F.lit(100_000))
-    ).head()[0]
-    return table, max(0.0, usual or 0.0)
+    return table
 
 
 def ratio(token: Column, table: list[float]) -> Column:
@@ -182,11 +179,10 @@ def ratio(token: Column, table: list[float]) -> Column:
 def scan(docs: DataFrame) -> DataFrame:
     """doc_id, base and added: arrays of (start, place, end, kind, value) of every document."""
     found = materialise(found_by_pattern(docs), "matches")
-    model = train(found, docs)
-    if model is None:
+    table = train(found, docs)
+    if table is None:
         return found.select("doc_id", "base", F.slice("tokens", 1, 0).alias("added"))
-    table, least = model
-    added = F.filter("tokens", lambda t: ratio(t["value"], table) > least)
+    added = F.filter("tokens", lambda t: ratio(t["value"], table) > RATIO)
     return found.select("doc_id", "base", added.alias("added"))
 
 
