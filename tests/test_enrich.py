@@ -44,8 +44,15 @@ def test_integer_timestamp_is_epoch_seconds(spark):
 def test_record_order(spark):
     rows = with_arrival(decode(records(spark, ["a", "b", "c"]))).orderBy(F.col("arrival").desc())
     assert [r.offset for r in rows.collect()] == [2, 1, 0]
-    with pytest.raises(Exception, match="out of range"):
-        with_arrival(records(spark, ["a"]).withColumn("offset", F.lit(2**50))).collect()
+
+
+def test_record_without_arrival_is_rejected(spark):
+    text = '{"name": "f1", "device": "d0", "value": 1, "timestamp": 5}'
+    far = records(spark, [text, text]).withColumn("offset", F.when(F.col("offset") == 0, 2**50).otherwise(F.col("offset")))
+    parsed = parse(with_arrival(decode(far)), READING, "offset", "arrival")
+    settings = VectorSettings.from_maps(spark)
+    assert [(r.offset, r[REJECT]) for r in unfit(tag_vectors(parsed, settings)).collect()] == [(2**50, "no_arrival")]
+    assert enrich_vectors(parsed, settings).count() == 1
 
 
 def test_unknown_key_is_rejected(spark):

@@ -62,3 +62,32 @@ def test_vector_json_keeps_nulls_in_name_order(spark):
     text = spark.range(1).select(vector_json(F.timestamp_millis(F.lit(5000)), sorted_map(entries))).first()[0]
     assert text == '{"bucket":"1970-01-01T00:00:05.000Z","values":{"f1":1.5,"f2":null}}'
     assert json.loads(text)["values"]["f2"] is None
+
+
+def test_times_do_not_depend_on_the_zone_of_the_session(spark):
+    """Messages are written and read, and the table's times taken, as UTC."""
+    from tidemark.catalog import batch, feeds
+    from tidemark.schemas import READING
+    from tidemark.sources.messages import parse
+
+    folder = "/root/testdata/sf0.001"
+
+    def seen():
+        one = spark.range(1).select(
+            vector_json(F.timestamp_millis(F.lit(5000)), F.create_map(F.lit("f1"), F.lit(1.0))).alias("json")
+        ).head()[0]
+        text = spark.createDataFrame([('{"timestamp": "1970-01-01T00:00:08"}',)], "json_value string")
+        read = parse(text, READING).select(F.unix_seconds("timestamp")).head()[0]
+        events = feeds.timed(feeds.events(spark, folder)).select(F.sum(F.unix_micros("timestamp").cast("decimal(38,0)"))).head()[0]
+        emitted = sorted(map(tuple, batch.QUERIES["t2_closed_buckets"](spark, folder).collect()))
+        return one, read, events, emitted
+
+    utc = seen()
+    assert utc[0] == '{"bucket":"1970-01-01T00:00:05.000Z","values":{"f1":1.0}}' and utc[1] == 8
+    for zone in ("Asia/Kolkata", "America/New_York"):
+        spark.conf.set("spark.sql.session.timeZone", zone)
+        try:
+            assert seen() == utc
+            assert spark.conf.get("spark.sql.session.timeZone") == zone
+        finally:
+            spark.conf.set("spark.sql.session.timeZone", "UTC")

@@ -1,18 +1,22 @@
 import os
 import random
+from functools import partial
 import time
 import uuid
 
+import duckdb
 import pyarrow as pa
 import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+from tests.check_oracle import table
 from tests.replay import random_readings, replay_vectors, shaped_devices, shaped_keys
+from tidemark.catalog import sql, streams
 from tidemark.config import KeySettings, VectorSettings
 from tidemark.operators.enrich import enrich_keyed
-from tidemark.plans.keyed import window_buckets
+from tidemark.plans.keyed import KeyedJob, window_buckets
 from tidemark.sources import kafka
 from tidemark.sources.files import stream_folder, stream_table
 from tidemark.streaming.jobs import (
@@ -244,6 +248,7 @@ def test_kafka_options(spark):
     assert kafka.source_options("host:1", "in", 5) == {
         "kafka.bootstrap.servers": "host:1", "subscribe": "in", "maxOffsetsPerTrigger": "5",
     }
+    assert "maxOffsetsPerTrigger" not in kafka.source_options()
     assert kafka.sink_options() == {"kafka.bootstrap.servers": "localhost:9092", "topic": "test-out"}
 
 
@@ -254,6 +259,84 @@ def test_table_as_stream(spark):
     assert counted.count() == spark.read.parquet("/root/testdata/sf0.001/events.parquet").count()
 
 
+STREAMS = [name for name in streams.QUERIES]
+
+
+@pytest.fixture(scope="module")
+def several_files(tmp_path_factory):
+    """The events in five files, oldest first; rows within a file are not in order."""
+    folder = tmp_path_factory.mktemp("events")
+    table = folder / "events.parquet"
+    table.mkdir()
+    events = pq.read_table("/root/testdata/sf0.001/events.parquet").sort_by("event_id")
+    size = -(-len(events) // 5)
+    for i in range(5):
+        part = events.slice(i * size, size).sort_by("value")
+        path = table / f"part-{i}.parquet"
+        pq.write_table(part, path)
+        os.utime(path, (time.time() - 1000 + i,) * 2)
+    return str(folder)
+
+
+@pytest.mark.parametrize("name", STREAMS)
+def test_stream_of_several_micro_batches_equals_sql(spark, several_files, monkeypatch, name):
+    monkeypatch.setattr(streams, "stream_table", partial(stream_table, files_per_trigger=1))
+    connection = duckdb.connect()
+    connection.execute(f"CREATE VIEW events AS SELECT * FROM read_parquet('{several_files}/events.parquet/*.parquet')")
+    answer = connection.execute(sql.SQL[name])
+    names = [d[0] for d in answer.description]
+    frame = streams.QUERIES[name](spark, several_files)
+    assert sorted(frame.columns) == sorted(names)
+    assert table(frame.columns, [tuple(r) for r in frame.collect()]) == table(names, answer.fetchall())
+
+
+@pytest.mark.parametrize("form", [fused, chained, spread])
+def test_restart_from_the_checkpoint(spark, tmp_path, form):
+    readings = random_readings(random.Random(23), 160)
+    (tmp_path / "in").mkdir()
+    feed = Feed(spark, tmp_path / "in", DEVICE)
+    parts = sliced(readings, 6)
+
+    def run():
+        """One life of the query, on an interval trigger, until it has taken all files."""
+        out = vector_stream(feed.stream(), VectorSettings.from_maps(spark), timers=False, form=form)
+        started = to_parquet(
+            writer(out, "restarted", str(tmp_path / "checkpoint"), trigger="1 second"), str(tmp_path / "out")
+        ).start()
+        try:
+            started.processAllAvailable()
+        finally:
+            started.stop()
+            started.awaitTermination()
+
+    for part in parts[:3]:
+        feed.add(part)
+    run()
+    for part in parts[3:]:
+        feed.add(part)
+    run()
+    schema = vector_stream(feed.stream(), VectorSettings.from_maps(spark), timers=False, form=form).schema
+    written = spark.read.schema(schema).parquet(str(tmp_path / "out"))
+    rows, _ = replay_vectors(readings)
+    assert vector_rows(written) == sorted(rows, key=repr)
+
+
+@pytest.mark.parametrize("form", [fused, spread])
+def test_one_key_with_most_rows(spark, tmp_path, form):
+    rng = random.Random(9)
+    rows = [("m" if rng.random() < 0.9 else "f", float(i), rng.randrange(0, 4_000) * 100_000) for i in range(600)]
+    feed = Feed(spark, tmp_path, KEYED)
+    for part in sliced(rows, 4):
+        feed.add(part)
+    out = run_bounded(
+        keyed_stream(feed.stream(), KeySettings.from_maps(spark), timers=False, form=form, salts=5), "busy"
+    )
+    feed_all = spark.read.schema("key string, value double, ts_us bigint, seq bigint").parquet(str(tmp_path))
+    job = KeyedJob(KeySettings.from_maps(spark))
+    want = {(r.key, r.bucket_ms, round(r.value, 9)) for r in job.buckets(shaped_keys(feed_all)).collect()}
+    assert {(r.key, r.bucket_ms, round(r.value, 9)) for r in out.collect()} == want and want
+
+
 def test_layout():
     assert parse_layout("a=b=true,f2=false") == {"a=b": True, "f2": False}
     assert parse_layout("") == {}

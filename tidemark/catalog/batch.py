@@ -281,7 +281,8 @@ def _keyed_job(spark: SparkSession, **options) -> KeyedJob:
 
 
 def key_windows(spark: SparkSession, folder: str) -> DataFrame:
-    return window_buckets(_people(spark, folder), feeds.people_settings(spark)).select(
+    people = person_readings(feeds.person_columns(feeds.events(spark, folder), late=False))
+    return window_buckets(people, feeds.people_settings(spark)).select(
         "key", "bucket_ms", rounded()
     )
 
@@ -340,10 +341,8 @@ def messages(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def arrival_order(spark: SparkSession, folder: str) -> DataFrame:
-    rows = _vector_rows(spark, folder).select(
-        "key", F.col("arrival.tie").alias("event_id"), F.col("arrival.us").alias("arrival_us")
-    )
-    return order_breaks(rows, ["event_id"], "arrival_us", "n_unsorted")
+    rows = _vector_rows(spark, folder).select("key", "arrival", "ts_us")
+    return order_breaks(rows, ["arrival.us", "arrival.tie"], "ts_us", "n_unsorted")
 
 
 def value_order(spark: SparkSession, folder: str) -> DataFrame:

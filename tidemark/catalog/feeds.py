@@ -1,7 +1,8 @@
 """The ``events`` table as readings.
 
 Devices and features follow the shape of the original message generator. Events
-come in order, so lateness is made: every 17th event arrives eight hours late.
+come in order and are delivered in that order; lateness is made by moving the event
+time of every 17th reading back by eight hours.
 """
 
 from __future__ import annotations
@@ -10,24 +11,33 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.config import KeySettings, VectorSettings
-from tidemark.functions.timegrain import arrival, event_us
+from tidemark.functions.timegrain import arrival
 from tidemark.sources.files import read_table
 
 # One unit of the original settings (a second) becomes 12 minutes.
 SCALE = 720
 
+LATE_US = 8 * 3600 * 1_000_000
+
 
 def events(spark: SparkSession, folder: str) -> DataFrame:
-    spark.conf.set("spark.sql.session.timeZone", "UTC")
     return read_table(spark, folder, "events")
 
 
-def timed(frame: DataFrame) -> DataFrame:
-    """Adds ``timestamp`` (event time) and ``arrival``."""
-    ts = F.col("ts").cast("timestamp")
-    delayed = F.when(F.col("event_id") % 17 == 0, ts + F.expr("INTERVAL 8 HOURS")).otherwise(ts)
-    return frame.withColumn("timestamp", ts).withColumn(
-        "arrival", arrival(event_us(delayed), F.col("event_id"))
+def utc_us(ts: str) -> Column:
+    """Microseconds of a time without zone, read as UTC whatever the session's zone."""
+    seconds = F.expr(
+        f"unix_date(CAST({ts} AS DATE)) * 86400L + hour({ts}) * 3600 + minute({ts}) * 60"
+    )
+    return seconds * 1_000_000 + F.expr(f"CAST(extract(SECOND FROM {ts}) * 1000000 AS BIGINT)")
+
+
+def timed(frame: DataFrame, late: bool = True) -> DataFrame:
+    """Adds ``timestamp`` (event time) and ``arrival``; without ``late`` no event time is moved."""
+    us = utc_us("ts")
+    happened = F.when(F.col("event_id") % 17 == 0, us - LATE_US).otherwise(us) if late else us
+    return frame.withColumn("timestamp", F.timestamp_micros(happened)).withColumn(
+        "arrival", arrival(us, F.col("event_id"))
     )
 
 
@@ -52,9 +62,9 @@ def device_readings(frame: DataFrame) -> DataFrame:
     )
 
 
-def person_columns(frame: DataFrame) -> DataFrame:
+def person_columns(frame: DataFrame, late: bool = True) -> DataFrame:
     """``name, sex, age, timestamp, arrival``."""
-    return timed(frame).select(
+    return timed(frame, late).select(
         F.concat(F.lit("p"), F.col("user_id").cast("string")).alias("name"),
         F.when(F.col("user_id") % 2 == 0, "m").otherwise("f").alias("sex"),
         F.floor("value").cast("int").alias("age"),

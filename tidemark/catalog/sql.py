@@ -6,15 +6,23 @@ from __future__ import annotations
 
 EVENT_COLUMNS = """
   event_id, user_id, event_type, value, ts,
-  epoch_us(ts) AS ts_us, epoch_us(ts) // 1000 AS ts_ms,
-  epoch_us(CASE WHEN event_id % 17 = 0 THEN ts + INTERVAL 8 HOUR ELSE ts END) AS arrival_us,
+  epoch_us(ts) AS ts_us, epoch_us(ts) // 1000 AS ts_ms, arrival_us,
   'd' || (user_id % 3) AS device,
   CASE WHEN user_id % 3 = 0 THEN 'f1' WHEN user_id % 3 = 1 THEN 'f2'
        WHEN event_type IN ('click', 'view', 'error') THEN 'f3' ELSE 'f4' END AS feature,
   CASE WHEN user_id % 2 = 0 THEN 'm' ELSE 'f' END AS sex
 """
 
-READINGS = f"readings AS (SELECT {EVENT_COLUMNS} FROM events)"
+# Every 17th reading is late: its event time lies eight hours before its arrival.
+MOVED = "CASE WHEN event_id % 17 = 0 THEN ts - INTERVAL 8 HOUR ELSE ts END"
+
+
+def readings(moved: str = MOVED) -> str:
+    return f"""readings AS (
+  SELECT {EVENT_COLUMNS} FROM (SELECT * REPLACE ({moved} AS ts), epoch_us(ts) AS arrival_us FROM events))"""
+
+
+READINGS = readings()
 
 VECTOR_SETTINGS = """
 device_vector(device, vector) AS (VALUES ('d0', 'v1'), ('d1', 'v1'), ('d2', 'v2'), ('d2', 'v3')),
@@ -38,9 +46,9 @@ rows_ AS (
 """
 
 
-def people_rows(event_time: str = "ts") -> str:
+def people_rows(event_time: str = "ts", moved: str = MOVED) -> str:
     return f"""
-{READINGS},
+{readings(moved)},
 key_config(key, step_ms, latest, watermark_ms) AS (
   VALUES ('m', 3600000, true, 14400000), ('f', 7200000, false, 21600000)),
 rows_ AS (
@@ -54,6 +62,8 @@ rows_ AS (
 
 TIED = people_rows("date_trunc('hour', ts)")
 PEOPLE = people_rows()
+# For the built-in watermark, which drops late rows by micro-batch: no late rows at all.
+IN_ORDER = people_rows(moved="ts")
 
 JUDGED = """
 judged AS (
@@ -101,7 +111,7 @@ cells AS (
 
 def closed_windows(limit: str) -> str:
     """Windows ended at or before the watermark; ``limit`` is the set of watermarks per key."""
-    return f"""WITH {PEOPLE},
+    return f"""WITH {IN_ORDER},
 marks AS (SELECT key, max(ts_us) // 1000 - max(watermark_ms) AS mark_ms FROM rows_ GROUP BY key),
 ranked AS (
   SELECT *, ts_us // 1000 // step_ms * step_ms AS window_ms, row_number() OVER (
@@ -172,6 +182,15 @@ SELECT o.key, o.bucket_ms, round(v.value, 6) AS value, o.emit_reason
 FROM opened o JOIN values_ v USING (key, bucket_ms) WHERE emit_reason = 'closed'
 """
 
+NUMBERED_STREAM = f"""{VALUED_PEOPLE}, {NUMBERED}
+SELECT key, bucket_ms, bucket_index, round(v.value, 6) AS value
+FROM numbered JOIN values_ v USING (key, bucket_ms)"""
+
+MEMBERS_ONLY = (
+    cells(opened="member_opened").replace("\ncells AS", f"{MEMBER_OPENED},\ncells AS")
+    + "SELECT key AS vector, bucket_ms, feature, round(filled, 6) AS filled FROM cells"
+)
+
 SQL = {
     "s2_decode": "SELECT event_id, event_type AS key, props AS json_value FROM events",
     "s3_broker_time": f"""WITH {READINGS}
@@ -194,9 +213,9 @@ WHERE reject_reason IS NOT NULL""",
     "p2_struct": "SELECT event_id, event_type AS kind, value AS amount FROM events",
     "p3_cast": "SELECT event_id, floor(value) AS age FROM events",
     "p4_key_settings": f"WITH {PEOPLE} SELECT event_id, key, step_ms, latest, watermark_ms FROM rows_",
-    "p5_coarse_grain": """SELECT event_id, ts_ms, ts_ms // step_ms * step_ms AS bucket_ms FROM (
-SELECT event_id, epoch_us(ts) // 1000 - 1705500000000 AS ts_ms,
-       CASE WHEN user_id % 2 = 0 THEN 5000 ELSE 10000 END AS step_ms FROM events)""",
+    "p5_coarse_grain": f"""WITH {READINGS} SELECT event_id, ts_ms, ts_ms // step_ms * step_ms AS bucket_ms FROM (
+SELECT event_id, ts_ms - 1705500000000 AS ts_ms,
+       CASE WHEN user_id % 2 = 0 THEN 5000 ELSE 10000 END AS step_ms FROM readings)""",
     "p8_fan_out": f"WITH {VECTOR_ROWS} SELECT event_id, key AS vector, feature, bucket_ms FROM rows_",
     "p8_comma_list": f"""WITH {READINGS}
 SELECT event_id, unnest(string_split(CASE WHEN device = 'd2' THEN 'v2,v3' ELSE 'v1' END, ',')) AS vector
@@ -236,20 +255,18 @@ SELECT key, bucket_ms, round(v.value, 6) AS value, emit_reason
 FROM opened JOIN values_ v USING (key, bucket_ms)""",
     "t6_quiet_buckets": mean_or_latest(PEOPLE, LAST_ARRIVAL, counted=False),
     "t7_numbered": f"{JUDGED_PEOPLE}, {NUMBERED} SELECT key, bucket_ms, bucket_index FROM numbered",
-    "t7_numbered_stream": f"""{VALUED_PEOPLE}, {NUMBERED}
-SELECT key, bucket_ms, bucket_index, round(v.value, 6) AS value
-FROM numbered JOIN values_ v USING (key, bucket_ms)""",
+    "t7_numbered_stream": NUMBERED_STREAM,
+    "t7_spread_stream": NUMBERED_STREAM,
     "t8_filled": f"{cells()} SELECT key AS vector, bucket_ms, feature, round(filled, 6) AS filled FROM cells",
     "t8_filled_all": f"""{cells("true")}
 SELECT key AS vector, bucket_ms, feature, round(filled, 6) AS filled, emit_reason FROM cells""",
-    "t8_members_only": cells(opened="member_opened").replace(
-        "\ncells AS", f"{MEMBER_OPENED},\ncells AS"
-    )
-    + "SELECT key AS vector, bucket_ms, feature, round(filled, 6) AS filled FROM cells",
+    "t8_members_only": MEMBERS_ONLY,
+    "t8_members_stream": MEMBERS_ONLY,
+    "t8_members_spread_stream": MEMBERS_ONLY,
     "t8_vectors_stream": STREAMED_VECTORS,
     "t8_spread_stream": STREAMED_VECTORS,
     "t12_chained_stream": STREAMED_VECTORS,
-    "t10_arrival_order": breaks("event_id", "arrival_us", "n_unsorted"),
+    "t10_arrival_order": breaks("arrival_us, event_id", "ts_us", "n_unsorted"),
     "t10_value_order": breaks("arrival_us, event_id", "value", "n_falling"),
     "t11_late_counts": f"""WITH {VECTOR_ROWS}, {JUDGED}
 SELECT key AS vector, count(*) FILTER (accepted) AS n_accepted, count(*) FILTER (NOT accepted) AS n_late

@@ -24,13 +24,13 @@ WINDOWS = {
 
 
 def _events(spark: SparkSession, folder: str) -> DataFrame:
-    spark.conf.set("spark.sql.session.timeZone", "UTC")
     use_stream_settings(spark)
     return stream_table(spark, folder, "events")
 
 
 def _people_rows(spark: SparkSession, folder: str) -> DataFrame:
-    readings = person_readings(feeds.person_columns(_events(spark, folder)))
+    """Readings without late ones: a built-in watermark drops those by micro-batch."""
+    readings = person_readings(feeds.person_columns(_events(spark, folder), late=False))
     return enrich_keyed(readings, feeds.people_settings(spark))
 
 
@@ -55,15 +55,23 @@ def union_watermark(spark: SparkSession, folder: str) -> DataFrame:
     return run_bounded(out, "windows-union").select("key", "bucket_ms", rounded())
 
 
-def numbered_stream(spark: SparkSession, folder: str) -> DataFrame:
+def _numbered(spark: SparkSession, folder: str, form) -> DataFrame:
     readings = person_readings(feeds.person_columns(_events(spark, folder)))
-    out = keyed_stream(readings, feeds.people_settings(spark), timers=False)
+    out = keyed_stream(readings, feeds.people_settings(spark), timers=False, form=form)
     return run_bounded(out, "keyed").select("key", "bucket_ms", "bucket_index", rounded())
 
 
-def _vectors(spark: SparkSession, folder: str, form) -> DataFrame:
+def numbered_stream(spark: SparkSession, folder: str) -> DataFrame:
+    return _numbered(spark, folder, form=fused)
+
+
+def numbered_spread(spark: SparkSession, folder: str) -> DataFrame:
+    return _numbered(spark, folder, form=spread)
+
+
+def _vectors(spark: SparkSession, folder: str, form, **options) -> DataFrame:
     readings = feeds.device_readings(_events(spark, folder))
-    out = vector_stream(readings, feeds.vector_settings(spark), timers=False, form=form)
+    out = vector_stream(readings, feeds.vector_settings(spark), timers=False, form=form, **options)
     cells = run_bounded(out, "vectors").select(
         F.col("key").alias("vector"), "bucket_ms", "bucket_index", F.explode("filled")
     )
@@ -88,19 +96,31 @@ def spread_vectors(spark: SparkSession, folder: str) -> DataFrame:
     return _vectors(spark, folder, form=spread)
 
 
+def member_vectors(spark: SparkSession, folder: str) -> DataFrame:
+    """Buckets that member features opened only."""
+    return _vectors(spark, folder, form=fused, only_member_buckets=True).drop("bucket_index")
+
+
+def member_spread(spark: SparkSession, folder: str) -> DataFrame:
+    return _vectors(spark, folder, form=spread, only_member_buckets=True).drop("bucket_index")
+
+
 def late_stream(spark: SparkSession, folder: str) -> DataFrame:
-    """Late rows per key, as reported by the stream itself."""
+    """Late rows per vector and bucket. The stream itself reports an increment per micro-batch."""
     readings = feeds.device_readings(_events(spark, folder))
     out = vector_stream(readings, feeds.vector_settings(spark), timers=False, report_late=True)
     late = run_bounded(out, "late").where(F.col("emit_reason") == "late")
-    return late.select(F.col("key").alias("vector"), "bucket_ms", "n_late")
+    return late.groupBy(F.col("key").alias("vector"), "bucket_ms").agg(F.sum("n_late").alias("n_late"))
 
 
 QUERIES = {
     "w1_key_watermarks_stream": key_watermarks,
     "u1_union_stream": union_watermark,
     "t7_numbered_stream": numbered_stream,
+    "t7_spread_stream": numbered_spread,
     "t8_vectors_stream": fused_vectors,
+    "t8_members_stream": member_vectors,
+    "t8_members_spread_stream": member_spread,
     "t8_spread_stream": spread_vectors,
     "t12_chained_stream": chained_vectors,
     "t11_late_stream": late_stream,

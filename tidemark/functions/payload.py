@@ -12,7 +12,8 @@ def sorted_map(entries: Column) -> Column:
 
 
 def vector_json(bucket: Column, values: Column) -> Column:
-    """JSON text of one vector; features without a value appear as null."""
+    """JSON text of one vector, its time in UTC; features without a value appear as null."""
     return F.to_json(
-        F.struct(bucket.alias("bucket"), values.alias("values")), {"ignoreNullFields": "false"}
+        F.struct(bucket.alias("bucket"), values.alias("values")),
+        {"ignoreNullFields": "false", "timeZone": "UTC"},
     )

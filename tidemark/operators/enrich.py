@@ -39,9 +39,11 @@ def _unfit(value: Column, *required: Column) -> list[tuple[Column, str]]:
 
 
 def _parse_reason(readings: DataFrame) -> list[tuple[Column, str]]:
+    """What messages can suffer before their fields count."""
+    lost = [(F.col("arrival").isNull(), "no_arrival")] if "arrival" in readings.columns else []
     if "bad_json" in readings.columns:
-        return [(F.col("bad_json"), "bad_json")]
-    return []
+        return [(F.col("bad_json"), "bad_json"), *lost]
+    return lost
 
 
 def bucket_columns() -> list[Column]:

@@ -10,19 +10,17 @@ SERVERS = "localhost:9092"
 TOPIC = "test"
 TOPIC_OUT = "test-out"
 
-# Upper bound on what one micro-batch, and so one key within it, can hold.
-MAX_OFFSETS_PER_TRIGGER = 10_000_000
-
 
 def source_options(
-    servers: str = SERVERS, topic: str = TOPIC, max_offsets: int = MAX_OFFSETS_PER_TRIGGER
+    servers: str = SERVERS, topic: str = TOPIC, max_offsets: int | None = None
 ) -> dict[str, str]:
-    """Offsets default to latest."""
-    return {
-        "kafka.bootstrap.servers": servers,
-        "subscribe": topic,
-        "maxOffsetsPerTrigger": str(max_offsets),
-    }
+    """Offsets default to latest.
+
+    ``max_offsets`` bounds what one micro-batch takes, and with it what a busy key can
+    hold at once; by default nothing does.
+    """
+    bound = {"maxOffsetsPerTrigger": str(max_offsets)} if max_offsets else {}
+    return {"kafka.bootstrap.servers": servers, "subscribe": topic, **bound}
 
 
 def sink_options(servers: str = SERVERS, topic: str = TOPIC_OUT) -> dict[str, str]:

@@ -23,24 +23,26 @@ def decode(records: DataFrame) -> DataFrame:
 def with_arrival(decoded: DataFrame) -> DataFrame:
     """Arrival order from the record's time, partition and offset.
 
-    The time keeps its full precision; partition and offset make the order total.
+    The time keeps its full precision; partition and offset make the order total. Where
+    these are out of range there is no arrival, and the record is rejected as such.
     """
-    return decoded.withColumn("arrival", arrival(event_us(F.col("timestamp")), _record_tie()))
+    tie = _record_tie()
+    return decoded.withColumn(
+        "arrival", F.when(tie.isNotNull(), arrival(event_us(F.col("timestamp")), tie))
+    )
 
 
 def _record_tie() -> Column:
-    """Partition and offset in one number; a record that does not fit is an error."""
+    """Partition and offset in one number; null for a record that does not fit."""
     partition, offset = F.col("partition").cast("bigint"), F.col("offset")
     fits = offset.between(0, 2**_OFFSET_BITS - 1) & partition.between(0, 2**_PARTITION_BITS - 1)
-    return F.when(fits, F.shiftleft(partition, _OFFSET_BITS) + offset).otherwise(
-        F.raise_error(F.lit("partition or offset out of range")).cast("bigint")
-    )
+    return F.when(fits, F.shiftleft(partition, _OFFSET_BITS) + offset)
 
 
 def parse(decoded: DataFrame, schema: StructType, *kept: str) -> DataFrame:
     """Message fields as columns, with ``bad_json`` set where the text is no such message."""
     marked = StructType([*schema.fields, StructField(_CORRUPT, StringType())])
-    parsed = F.from_json("json_value", marked, {"columnNameOfCorruptRecord": _CORRUPT})
+    parsed = F.from_json("json_value", marked, {"columnNameOfCorruptRecord": _CORRUPT, "timeZone": "UTC"})
     names = [f"r.{field.name}" for field in schema.fields]
     bad = F.col("json_value").isNull() | F.col(f"r.{_CORRUPT}").isNotNull()
     return decoded.select(parsed.alias("r"), "json_value", *kept).select(

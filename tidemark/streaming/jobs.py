@@ -45,11 +45,23 @@ def vector_stream_rows(readings: DataFrame, settings: VectorSettings) -> DataFra
     return _flat(lookup_join(rows, Lookup(layouts, settings.members.size), ["key"]))
 
 
+def _run(form: Callable[..., DataFrame], rows: DataFrame, timers: bool, report_late: bool, salts: int | None):
+    if form is not spread:
+        return form(rows, timers, report_late)
+    partitions = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return spread(rows, timers, report_late, salts=salts or max(2, partitions))
+
+
 def keyed_stream(
-    readings: DataFrame, settings: KeySettings, timers: bool = True, report_late: bool = False
+    readings: DataFrame,
+    settings: KeySettings,
+    timers: bool = True,
+    report_late: bool = False,
+    form: Callable[..., DataFrame] = fused,
+    salts: int | None = None,
 ) -> DataFrame:
-    """``(key, bucket_ms, bucket_index, value, emit_reason, n_late)``."""
-    out = fused(keyed_stream_rows(readings, settings), timers, report_late)
+    """``(key, bucket_ms, bucket_index, value, emit_reason, n_late)``; forms as below."""
+    out = _run(form, keyed_stream_rows(readings, settings), timers, report_late, salts)
     return out.select(
         "key",
         "bucket_ms",
@@ -66,12 +78,19 @@ def vector_stream(
     timers: bool = True,
     report_late: bool = False,
     form: Callable[..., DataFrame] = fused,
+    salts: int | None = None,
+    only_member_buckets: bool = False,
 ) -> DataFrame:
     """``(key, bucket_ms, bucket_index, values, filled, emit_reason, n_late)``.
 
-    ``form`` is :func:`fused`, :func:`chained` or, for very busy keys, :func:`spread`.
+    ``form`` is :func:`fused`, :func:`chained` or, for very busy keys, :func:`spread`,
+    which works on a key in ``salts`` tasks (default: as many as shuffle partitions).
+    With ``only_member_buckets`` foreign features open no buckets, and are not reported
+    as late.
     """
-    return form(vector_stream_rows(readings, settings), timers, report_late)
+    rows = vector_stream_rows(readings, settings)
+    rows = rows.where("is_member") if only_member_buckets else rows
+    return _run(form, rows, timers, report_late, salts)
 
 
 def vector_messages(emitted: DataFrame) -> DataFrame:
