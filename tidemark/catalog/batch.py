@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from tidemark.catalog import feeds
 from tidemark.config import split_list
 from tidemark.functions.timegrain import coarse_grain, event_ms, event_us
-from tidemark.operators.aggregate import by_setting, latest_first, latest_last, latest_larger, mean
+from tidemark.operators.aggregate import by_setting, latest_first, latest_last, mean
 from tidemark.operators.diagnostics import order_breaks
 from tidemark.operators.enrich import (
     REJECT,
@@ -24,6 +25,7 @@ from tidemark.plans.keyed import KeyedJob, inactive_buckets, window_buckets
 from tidemark.plans.vectors import VectorJob
 from tidemark.schemas import PERSON, READING
 from tidemark.sources.messages import decode, parse, person_readings, with_arrival
+from tidemark.streaming.watermark import windowed
 
 
 def rounded(name: str = "value") -> Column:
@@ -76,7 +78,7 @@ def broker_time(spark: SparkSession, folder: str) -> DataFrame:
 
 def parsed_props(spark: SparkSession, folder: str) -> DataFrame:
     text = feeds.events(spark, folder).select("event_id", F.col("props").alias("json_value"))
-    return text.select("event_id", F.from_json("json_value", "k INT").alias("r")).select("event_id", "r.*")
+    return parse(text, StructType.fromDDL("k INT"), "event_id").select("event_id", "k")
 
 
 def parsed_readings(spark: SparkSession, folder: str) -> DataFrame:
@@ -210,24 +212,17 @@ def _tied_rows(spark: SparkSession, folder: str) -> DataFrame:
     return enrich_keyed(person_readings(cut), feeds.people_settings(spark))
 
 
+def _windowed(rows: DataFrame, key: str) -> DataFrame:
+    """All windows of one key; over a table the watermark has no effect."""
+    return windowed(rows, key, *feeds.WINDOWS[key]).select("bucket_ms", rounded())
+
+
 def window_average(spark: SparkSession, folder: str) -> DataFrame:
-    rows = _people_rows(spark, folder).withColumn("ts", F.timestamp_micros("ts_us"))
-    return (
-        only_key(rows, "f")
-        .groupBy(F.window("ts", "7200 seconds"), "bucket_ms")
-        .agg(mean().alias("value"))
-        .select("bucket_ms", rounded())
-    )
+    return _windowed(_people_rows(spark, folder), "f")
 
 
 def window_latest(spark: SparkSession, folder: str) -> DataFrame:
-    rows = _tied_rows(spark, folder).withColumn("ts", F.timestamp_micros("ts_us"))
-    return (
-        only_key(rows, "m")
-        .groupBy(F.window("ts", "3600 seconds"), "bucket_ms")
-        .agg(latest_larger().alias("value"))
-        .select("bucket_ms", "value")
-    )
+    return _windowed(_tied_rows(spark, folder), "m")
 
 
 def first_arrival_latest(spark: SparkSession, folder: str) -> DataFrame:

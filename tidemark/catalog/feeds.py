@@ -17,6 +17,12 @@ from tidemark.sources.files import read_table
 # One unit of the original settings (a second) becomes 12 minutes.
 SCALE = 720
 
+# key -> step, delay, latest; the people settings at the scale of the table.
+WINDOWS = {
+    "m": (5000 * SCALE, 20_000 * SCALE, True),
+    "f": (10_000 * SCALE, 30_000 * SCALE, False),
+}
+
 LATE_US = 8 * 3600 * 1_000_000
 
 

@@ -16,12 +16,6 @@ from tidemark.streaming.run import run_bounded, start_all, to_parquet, writer
 from tidemark.streaming.watermark import windowed, windowed_union
 from tidemark.session import scratch_path
 
-# key -> step, delay, latest; the people settings at the scale of the table.
-WINDOWS = {
-    "m": (5000 * feeds.SCALE, 20_000 * feeds.SCALE, True),
-    "f": (10_000 * feeds.SCALE, 30_000 * feeds.SCALE, False),
-}
-
 
 def _events(spark: SparkSession, folder: str) -> DataFrame:
     use_stream_settings(spark)
@@ -38,20 +32,20 @@ def key_watermarks(spark: SparkSession, folder: str) -> DataFrame:
     """One watermarked query per key, all running at once."""
     rows = _people_rows(spark, folder)
     outs, paths = [], []
-    for key, setting in WINDOWS.items():
+    for key, setting in feeds.WINDOWS.items():
         base = scratch_path(spark, f"windows-{key}")
         out = writer(windowed(rows, key, *setting), f"windows-{key}", f"{base}/checkpoint", "bounded")
         outs.append(to_parquet(out, f"{base}/out"))
         paths.append(f"{base}/out")
     for query in start_all(outs):
         query.awaitTermination()
-    schema = windowed(rows, "m", *WINDOWS["m"]).schema
+    schema = windowed(rows, "m", *feeds.WINDOWS["m"]).schema
     return spark.read.schema(schema).parquet(*paths).select("key", "bucket_ms", rounded())
 
 
 def union_watermark(spark: SparkSession, folder: str) -> DataFrame:
     """All keys in one query under one watermark."""
-    out = windowed_union(_people_rows(spark, folder), WINDOWS)
+    out = windowed_union(_people_rows(spark, folder), feeds.WINDOWS)
     return run_bounded(out, "windows-union").select("key", "bucket_ms", rounded())
 
 

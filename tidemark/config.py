@@ -13,6 +13,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidemark.session import materialise
+
 LATEST = "latest"
 AVERAGE = "average"
 
@@ -39,12 +41,30 @@ class Lookup:
     size: int
 
     @classmethod
-    def measure(cls, frame: DataFrame) -> Lookup:
-        texts = [f.name for f in frame.schema.fields if f.dataType.typeName() == "string"]
+    def checked(cls, frame: DataFrame, key: list[str], positive: list[str], table: str) -> Lookup:
+        """Written to the shared folder once, then checked and measured by one aggregate."""
+        stored = materialise(frame, "settings")
+        bad = F.lit(False)
+        for name in positive:
+            bad = bad | F.col(name).isNull() | (F.col(name) <= 0)
+        texts = [f.name for f in stored.schema.fields if f.dataType.typeName() == "string"]
         width = sum((F.coalesce(F.octet_length(t), F.lit(0)) for t in texts), F.lit(0))
-        row = frame.agg(F.count("*").alias("n"), F.sum(width.cast("bigint")).alias("bytes")).first()
-        overhead = ROW_OVERHEAD_BYTES + 8 * len(frame.columns)
-        return cls(frame, row.n * overhead + (row.bytes or 0))
+        per_key = stored.groupBy(*key).agg(
+            F.count("*").alias("n"), F.count_if(bad).alias("bad"), F.sum(width.cast("bigint")).alias("bytes")
+        )
+        totals = per_key.agg(F.sum("n").alias("n"), F.max("n").alias("most"), F.sum("bad").alias("bad"), F.sum("bytes").alias("bytes"))
+        row = totals.head()
+        if row.bad:
+            raise ValueError(f"{table}: {', '.join(positive)} must be positive")
+        if (row.most or 0) > 1:
+            raise ValueError(f"{table}: more than one row for a {'/'.join(key)}")
+        overhead = ROW_OVERHEAD_BYTES + 8 * len(stored.columns)
+        return cls(stored, (row.n or 0) * overhead + (row.bytes or 0))
+
+    @classmethod
+    def measure(cls, frame: DataFrame) -> Lookup:
+        """A table of which only its rows must differ."""
+        return cls.checked(frame, frame.columns, [], "lookup")
 
     @classmethod
     def of(cls, spark: SparkSession, columns: dict[str, list]) -> Lookup:
@@ -55,17 +75,6 @@ class Lookup:
         )
 
 
-def _check(frame: DataFrame, key: list[str], positive: list[str], table: str) -> None:
-    bad = F.lit(False)
-    for name in positive:
-        bad = bad | F.col(name).isNull() | (F.col(name) <= 0)
-    totals = frame.agg(F.count_if(bad).alias("bad")).first()
-    if totals.bad:
-        raise ValueError(f"{table}: {', '.join(positive)} must be positive")
-    if frame.groupBy(*key).count().where("count > 1").limit(1).count():
-        raise ValueError(f"{table}: more than one row for a {'/'.join(key)}")
-
-
 @dataclass(frozen=True)
 class KeySettings:
     """``key -> step_ms, latest, watermark_ms, timeout_ms`` for one-value jobs."""
@@ -83,8 +92,7 @@ class KeySettings:
             watermark_ms.alias("watermark_ms"),
             watermark_ms.alias("timeout_ms"),
         )
-        _check(shaped, ["key"], ["step_ms", "watermark_ms"], "key settings")
-        return cls(Lookup.measure(shaped))
+        return cls(Lookup.checked(shaped, ["key"], ["step_ms", "watermark_ms"], "key settings"))
 
     @classmethod
     def from_maps(
@@ -153,17 +161,18 @@ class VectorSettings:
             F.col("step_ms").cast("bigint").alias("step_ms"),
             (F.col("agg") == F.lit(LATEST)).alias("latest"),
         )
-        members = split_list(vector_feature, "feature").join(features.drop("step_ms"), "feature")
+        vectors = Lookup.checked(vectors, ["vector"], ["watermark_ms", "timeout_ms"], "vector settings").frame
+        known = Lookup.checked(features, ["feature"], ["step_ms"], "feature settings")
+        members = split_list(vector_feature, "feature").join(known.frame.drop("step_ms"), "feature")
         fan_out = split_list(device_vector, "vector").join(vectors, "vector")
-        _check(vectors, ["vector"], ["watermark_ms", "timeout_ms"], "vector settings")
-        _check(features, ["feature"], ["step_ms"], "feature settings")
-        _check(fan_out, ["device", "vector"], [], "device vectors")
-        _check(members, ["vector", "feature"], [], "vector features")
         return cls(
-            Lookup.measure(fan_out.select("device", "vector", "watermark_ms", "timeout_ms")),
-            Lookup.measure(features),
-            Lookup.measure(members.select("vector", "feature", "latest")),
-        )
+            Lookup.checked(
+                fan_out.select("device", "vector", "watermark_ms", "timeout_ms"),
+                ["device", "vector"], [], "device vectors",
+            ),
+            known,
+            Lookup.checked(members.select("vector", "feature", "latest"), ["vector", "feature"], [], "vector features"),
+        )
 
     @classmethod
     def from_maps(

@@ -4,6 +4,9 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -18,6 +21,8 @@ STREAM_SETTINGS = {
 
 CHECKPOINT_DIR = "spark.checkpoint.dir"
 
+_SCOPE: ContextVar[str | None] = ContextVar("tidemark_job_scope", default=None)
+
 
 def build_session(app_name: str = "tidemark", master: str | None = None, **settings: str) -> SparkSession:
     """Create a session with UTC time, adaptive execution and the stream settings.
@@ -62,9 +67,33 @@ def shared_dir(spark: SparkSession) -> str:
     return spark.sparkContext.getCheckpointDir().rstrip("/")
 
 
+def _application_dir(spark: SparkSession) -> str:
+    return f"{shared_dir(spark)}/tidemark/{spark.sparkContext.applicationId}"
+
+
 def scratch_path(spark: SparkSession, label: str) -> str:
-    """A fresh path below the shared folder, grouped by application."""
-    return f"{shared_dir(spark)}/tidemark/{spark.sparkContext.applicationId}/{label}-{uuid.uuid4().hex}"
+    """A fresh path below the shared folder, grouped by application and, in one, by job scope."""
+    return f"{_SCOPE.get() or _application_dir(spark)}/{label}-{uuid.uuid4().hex}"
+
+
+@contextmanager
+def job_scope(spark: SparkSession) -> Iterator[str]:
+    """Intermediate tables made within the block belong to it and are deleted at its end.
+
+    Frames built within the block must be used up (written, collected) there too.
+    """
+    folder = scratch_path(spark, "job")
+    token = _SCOPE.set(folder)
+    try:
+        yield folder
+    finally:
+        _SCOPE.reset(token)
+        _delete(spark, folder)
+
+
+def _delete(spark: SparkSession, folder: str) -> None:
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def materialise(frame: DataFrame, label: str) -> DataFrame:
@@ -81,9 +110,5 @@ def materialise(frame: DataFrame, label: str) -> DataFrame:
 
 
 def drop_scratch(spark: SparkSession) -> None:
-    """Delete this application's intermediate tables."""
-    jvm = spark.sparkContext._jvm
-    path = jvm.org.apache.hadoop.fs.Path(
-        f"{shared_dir(spark)}/tidemark/{spark.sparkContext.applicationId}"
-    )
-    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+    """Delete all intermediate tables of this application, those of running jobs included."""
+    _delete(spark, _application_dir(spark))
