@@ -32,7 +32,7 @@ STRIDE = 4
 FILTERS = 24
 HIDDEN = 16
 CHUNK = 512
-STEPS = 650
+STEPS = 1000
 BATCH = 48
 RATE = 4e-3
 SEED = 8
@@ -60,19 +60,21 @@ def new_model(rng: np.random.Generator) -> dict[str, np.ndarray]:
     }
 
 
-def chunks_of(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """All bytes, the first window of each chunk (in strides), chunks and size of each text.
+def chunks_of(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """All bytes, first window (in strides) and end of each chunk, chunks and size of each text.
 
-    A text takes a whole number of strides and is followed by zero bytes, so that no
-    window reaches the next one.
+    A text takes a whole number of strides and is followed by zero bytes. Windows start
+    within their text (the only one of an empty text, behind it), so none reaches the next.
     """
     padded = [t + b"\0" * (-len(t) % STRIDE) for t in texts]
     data, starts, lengths = joined_bytes(padded, gap=-(-WIDTH // STRIDE) * STRIDE)
     n_chunks = np.maximum(1, -(-lengths // CHUNK))
-    first = np.repeat(starts // STRIDE, n_chunks)
+    begin = np.repeat(starts // STRIDE, n_chunks)
+    end = begin + np.repeat(np.maximum(1, lengths // STRIDE), n_chunks)
     nth = np.arange(int(n_chunks.sum())) - np.repeat(np.cumsum(n_chunks) - n_chunks, n_chunks)
     sizes = np.log2(1 + np.fromiter(map(len, texts), np.float32, len(texts))) / 10
-    return data, first + nth * (CHUNK // STRIDE), n_chunks, sizes
+    first = begin + nth * (CHUNK // STRIDE)
+    return data, first, np.minimum(first + CHUNK // STRIDE, end), n_chunks, sizes
 
 
 def _activations(model: dict, data: np.ndarray, a: int, b: int) -> np.ndarray:
@@ -84,29 +86,30 @@ def _activations(model: dict, data: np.ndarray, a: int, b: int) -> np.ndarray:
     return flat @ model["filters"]
 
 
-def chunk_maxima(model: dict, data: np.ndarray, first: np.ndarray, n_windows: int) -> np.ndarray:
+def _maxima(outputs: np.ndarray, first: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """Maxima from ``first`` to ``end``; ``outputs`` stops where the last range does."""
+    cuts = np.column_stack((first, end)).ravel()[:-1]
+    return np.maximum.reduceat(outputs, cuts, axis=0)[::2]
+
+
+def chunk_maxima(model: dict, data: np.ndarray, first: np.ndarray, end: np.ndarray) -> np.ndarray:
     """The largest output of each filter in each chunk."""
-    out = np.empty((len(first), FILTERS), np.float32)
-    stops = np.append(first[1:], n_windows)
+    out = np.empty((len(first), FILTERS), model["filters"].dtype)
     i = 0
     while i < len(first):
-        j = max(i + 1, int(np.searchsorted(stops, first[i] + BLOCK, side="right")))
-        a, b = int(first[i]), int(stops[j - 1])
-        out[i:j] = np.maximum.reduceat(_activations(model, data, a, b), first[i:j] - a, axis=0)
+        j = max(i + 1, int(np.searchsorted(end, first[i] + BLOCK, side="right")))
+        a, b = int(first[i]), int(end[j - 1])
+        out[i:j] = _maxima(_activations(model, data, a, b), first[i:j] - a, end[i:j] - a)
         i = j
     return out
 
 
-def _windows(data: np.ndarray) -> int:
-    return max(1, (len(data) - WIDTH) // STRIDE + 1)
-
-
 def _head(model: dict, pooled: np.ndarray, n_chunks: np.ndarray, sizes: np.ndarray):
     begins = np.cumsum(n_chunks) - n_chunks
     seen = np.maximum(pooled + model["filter_bias"], 0)
     both = np.hstack(
         (np.maximum.reduceat(seen, begins, axis=0), np.add.reduceat(seen, begins, axis=0) / n_chunks[:, None])
-    ).astype(np.float32)
+    ).astype(seen.dtype)
     hidden = np.maximum(both @ model["hidden"] + np.outer(sizes, model["length"]) + model["hidden_bias"], 0)
     return seen, both, hidden, hidden @ model["out"] + model["out_bias"]
 
@@ -117,16 +120,16 @@ def score(model: dict, texts: list[bytes]) -> np.ndarray:
         return np.full(len(texts), float(model["constant"]))
     if not texts:
         return np.zeros(0)
-    data, first, n_chunks, sizes = chunks_of(texts)
-    pooled = chunk_maxima(model, data, first, _windows(data))
+    data, first, end, n_chunks, sizes = chunks_of(texts)
+    pooled = chunk_maxima(model, data, first, end)
     logits = _head(model, pooled, n_chunks, sizes)[-1].astype(np.float64)
     return 1 / (1 + np.exp(-np.clip(logits, -40, 40)))
 
 
 def gradients(model: dict, texts: list[bytes], y: np.ndarray) -> dict[str, np.ndarray]:
-    data, first, n_chunks, sizes = chunks_of(texts)
-    outputs = _activations(model, data, 0, _windows(data))
-    pooled = np.maximum.reduceat(outputs, first, axis=0)
+    data, first, end, n_chunks, sizes = chunks_of(texts)
+    outputs = _activations(model, data, 0, int(end[-1]))
+    pooled = _maxima(outputs, first, end)
     seen, both, hidden, logits = _head(model, pooled, n_chunks, sizes)
     d_logit = ((1 / (1 + np.exp(-logits)) - y) * np.take(COSTS, y.astype(int)) / len(y)).astype(np.float32)
     d_hidden = np.outer(d_logit, model["out"]) * (hidden > 0)
@@ -140,8 +143,9 @@ def gradients(model: dict, texts: list[bytes], y: np.ndarray) -> dict[str, np.nd
     d_seen += d_both[owner, FILTERS:] / n_chunks[owner, None]
     d_seen = (d_seen * (seen > 0)).astype(np.float32)
     # ... and within a chunk the window of the maximum.
-    chunk_of = np.repeat(np.arange(len(first)), np.diff(np.append(first, len(outputs))))
-    rows, cols = np.nonzero(outputs == pooled[chunk_of])
+    chunk_of = np.searchsorted(first, np.arange(len(outputs)), side="right") - 1
+    within = np.arange(len(outputs)) < end[chunk_of]
+    rows, cols = np.nonzero((outputs == pooled[chunk_of]) & within[:, None])
     window = np.zeros(pooled.shape, np.int64)
     window[chunk_of[rows], cols] = rows
     at = (window[:, :, None] * STRIDE + np.arange(WIDTH)).reshape(-1, WIDTH)
