@@ -16,8 +16,12 @@ import numpy as np
 # Pieces a worker remembers; beyond, it forgets all and starts anew.
 MOST_PIECES = 1_000_000
 
-# Letters up to Latin Extended-B with a tail of punctuation: the library sees them as two words.
-WORD_AND_TAIL = re.compile("(\n?)([A-Za-zÀ-ÖØ-öø-ɏ]+)([.,!?;:]*)")
+# Letters up to Latin Extended-B with a tail of ASCII punctuation (but apostrophes, which start
+# words such as 's): the library sees them as two words.
+WORD_AND_TAIL = re.compile("(\n?)([A-Za-zÀ-ÖØ-öø-ɏ]+)([!-&(-/:-@\\[-`{-~]*)")
+
+# Words that the library gets in one text.
+WORDS_AT_ONCE = 1000
 
 # White space other than single blanks and line feeds, where cutting at blanks is not safe.
 DOUBTFUL = re.compile(r"\s\s|[^\S \n]")
@@ -53,10 +57,13 @@ class WordIds:
 
     def __init__(self, path: str, end_id: int, blanks: bool):
         self.tokenizer, self.end_id, self.blanks = load(path), end_id, blanks
+        self.mark = "\n" if blanks else " 0 "
+        self.feed = self._library(["\n"])[0]
+        (self.mark_id,) = self.tokenizer.encode(self.mark, add_special_tokens=False).ids
         self._forget()
 
     def _forget(self) -> None:
-        self.pieces, self.words = _Pieces(), {}
+        self.pieces, self.words = _Pieces(), {"": b""}
         self.pool = np.zeros(1 << 16, np.uint16)
         self.pool[0] = self.end_id
         self.used = 1
@@ -74,23 +81,52 @@ class WordIds:
         found = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
         return [np.array(x.ids, np.uint16).tobytes() for x in found]
 
+    def _library_words(self, words: list[str]) -> list[bytes]:
+        """Ids of plain words, many in one text: a mark that is a word of its own, and one id, parts them."""
+        out: list[bytes] = []
+        for at in range(0, len(words), WORDS_AT_ONCE):
+            some = words[at : at + WORDS_AT_ONCE]
+            ids = self.tokenizer.encode_batch_fast([self.mark.join(some)], add_special_tokens=False)[0].ids
+            ids = np.array(ids, np.uint16)
+            ends = np.append(np.nonzero(ids == self.mark_id)[0], len(ids))
+            if len(ends) != len(some):
+                out += self._library(some)
+                continue
+            raw = ids.tobytes()
+            begins = np.concatenate(([0], ends[:-1] + 1))
+            out += [raw[2 * a : 2 * b] for a, b in zip(begins.tolist(), ends.tolist(), strict=True)]
+        return out
+
     def _of_unknown(self, pieces: list[str]) -> list[bytes]:
         """Ids of new pieces: those of their words where these are plain, else of the whole piece."""
-        parts, wanted = [], {}
+        words, blanks, plain = self.words, self.blanks, WORD_AND_TAIL.fullmatch
+        heads, tails, new_words, new_others = [], [], {}, {}
         for piece in pieces:
-            plain = WORD_AND_TAIL.fullmatch(piece)
-            if not plain or (plain[1] and not self.blanks):
-                made = (piece if piece[:1] == "\n" or not self.blanks else " " + piece,)
-            elif self.blanks:
-                made = (plain[1], plain[2] if plain[1] else " " + plain[2], plain[3])
+            match = plain(piece)
+            if match is None:
+                head = piece if piece[:1] == "\n" or not blanks else " " + piece
+                tail = ""
+                if head not in words:
+                    new_others[head] = None
             else:
-                made = (plain[2].lower(), plain[3])
-            parts.append(made)
-            for part in made:
-                if part not in self.words:
-                    wanted[part] = None
-        self.words.update(zip(wanted, self._library(list(wanted)), strict=True))
-        return [b"".join(map(self.words.__getitem__, made)) for made in parts]
+                led, word, tail = match.groups()
+                # A word behind a line feed has no blank; the line feed counts with it.
+                head = (word if led else " " + word) if blanks else word.lower()
+                if head not in words:
+                    new_words[head] = None
+                if tail and tail not in words:
+                    new_others[tail] = None
+                if led and blanks:
+                    tail = "\n" + tail
+            heads.append(head)
+            tails.append(tail)
+        words.update(zip(new_words, self._library_words(list(new_words)), strict=True))
+        words.update(zip(new_others, self._library(list(new_others)), strict=True))
+        feed = self.feed
+        return [
+            words[h] + words[t] if t[:1] != "\n" else feed + words[h] + words[t[1:]]
+            for h, t in zip(heads, tails, strict=True)
+        ]
 
     def _store(self, found: list[bytes], first: int) -> None:
         sizes = np.fromiter(map(len, found), np.int64, len(found)) // 2
