@@ -100,3 +100,13 @@ def test_keep_one(spark, edge, empty):
     groups = {c for _, _, c in expected([r[:2] for r in edge_rows()])}
     assert sorted(r.doc_id for r in kept.collect() if r.doc_id is not None) == sorted(g for g in groups if g is not None)
     assert S.keep_one(empty).count() == 0
+
+
+def test_keep_one_of_each_component_whatever_the_ids(spark):
+    rng = random.Random(8)
+    plain = [" ".join("".join(rng.choices("abcdefghij", k=6)) for _ in range(40)) for _ in range(7)]
+    rows = [(None, plain[0]), (None, plain[1]), (None, plain[1]), (None, plain[2]), (1, plain[2])]  # 2: the null id goes
+    rows += [(5, plain[3]), (5, plain[4]), (5, plain[4]), (4, plain[4]), (6, plain[5]), (6, plain[6])]
+    kept = S.keep_one(spark.createDataFrame(rows, "doc_id bigint, text string").repartition(3)).collect()
+    want = [(None, 0), (None, 1), (1, 2), (5, 3), (4, 4), (6, 5), (6, 6)]
+    assert Counter(map(tuple, kept)) == Counter((i, plain[k]) for i, k in want)

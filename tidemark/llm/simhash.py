@@ -31,7 +31,7 @@ from itertools import product
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm.common import text_or_empty
@@ -70,15 +70,18 @@ def fingerprint(text: bytes, shingle: int = SHINGLE, seed: int = SEED) -> int:
 
 
 def fingerprints(docs: DataFrame, shingle: int = SHINGLE, seed: int = SEED) -> DataFrame:
-    """doc_id and fp (the 64 bits as a signed number) of every document."""
+    """doc_id, body (hash of the text) and fp (the 64 bits as a signed number) of every document."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = np.fromiter((fingerprint(t.as_py(), shingle, seed) for t in batch.column(1)), np.uint64, len(batch))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found.view(np.int64))], names=["doc_id", "fp"])
+            found = np.fromiter((fingerprint(t.as_py(), shingle, seed) for t in batch.column(2)), np.uint64, len(batch))
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), batch.column(1), pa.array(found.view(np.int64))], names=["doc_id", "body", "fp"]
+            )
 
-    rows = docs.select("doc_id", text_or_empty().cast("binary").alias("text"))
-    return rows.mapInArrow(run, "doc_id bigint, fp bigint")
+    text = text_or_empty()
+    rows = docs.select("doc_id", F.xxhash64(text).alias("body"), text.cast("binary").alias("text"))
+    return rows.mapInArrow(run, "doc_id bigint, body bigint, fp bigint")
 
 
 def _counts(fp: Column, parts: int) -> list[Column]:
@@ -200,7 +203,7 @@ def grouped(
     docs: DataFrame, shingle: int = SHINGLE, radius: int = RADIUS, parts: int = PARTS, tile_rows: int = TILE
 ) -> DataFrame:
     """doc_id, fingerprint (16 hex digits), component_id of every document."""
-    prints = materialise(fingerprints(docs, shingle), "fingerprints")
+    prints = materialise(fingerprints(docs, shingle).select("doc_id", "fp"), "fingerprints")
     distinct = materialise(prints.groupBy("fp").agg(F.min("doc_id").alias("first_id")), "distinct-fingerprints")
     roots = components(links(distinct.select("fp"), radius, parts, tile_rows))
     rooted = distinct.join(roots.withColumnRenamed("node", "fp"), "fp", "left")
@@ -211,15 +214,25 @@ def grouped(
     return prints.join(by_print, "fp").select("doc_id", named, "component_id")
 
 
-def keep_one(docs: DataFrame, shingle: int = SHINGLE, radius: int = RADIUS) -> DataFrame:
-    """The document with the smallest id of each component, with all its columns.
+def survivors(docs: DataFrame, rooted: DataFrame) -> DataFrame:
+    """The row with the smallest id of each root, with all its columns.
 
-    Of rows that repeat that id in one component a single one stays, the one with the
-    smallest text.
+    ``rooted`` has ``doc_id``, ``body`` (hash of the text) and ``root`` of every row; rows
+    of one text have one root. A null id comes after every other; of rows that repeat the
+    id in one component the one with the smallest hash of its text stays, of rows that
+    repeat both a single one.
     """
-    stays = grouped(docs, shingle, radius).where("doc_id <=> component_id").select("doc_id", "fingerprint").distinct()
-    stays = stays.select(F.col("doc_id").alias("keep_id"))
+    order = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "body")
+    least = rooted.groupBy("root").agg(F.min(order).alias("least"))
+    stays = least.select(F.col("least.doc_id").alias("keep_id"), F.col("least.body").alias("keep_body"))
     rows = docs.select(F.struct("*").alias("_row"), "doc_id", F.xxhash64(text_or_empty()).alias("body"))
-    one = F.row_number().over(Window.partitionBy("doc_id").orderBy("body"))
-    kept = rows.join(stays.distinct(), F.expr("doc_id <=> keep_id"), "left_semi")
-    return kept.withColumn("_nth", one).where("_nth = 1").select("_row.*")
+    kept = rows.join(stays, F.expr("doc_id <=> keep_id and body = keep_body"), "left_semi")
+    return kept.dropDuplicates(["doc_id", "body"]).select("_row.*")
+
+
+def keep_one(docs: DataFrame, shingle: int = SHINGLE, radius: int = RADIUS) -> DataFrame:
+    """One document of each component of linked fingerprints, chosen by :func:`survivors`."""
+    prints = materialise(fingerprints(docs, shingle), "fingerprints")
+    roots = components(links(prints.select("fp").distinct(), radius)).withColumnRenamed("node", "fp")
+    rooted = prints.join(roots, "fp", "left").select("doc_id", "body", F.coalesce("root", "fp").alias("root"))
+    return survivors(docs, rooted)
