@@ -49,19 +49,24 @@ BITS = 64
 PAIRS = 1 << 20
 
 
-def fingerprint(text: bytes, shingle: int = SHINGLE, seed: int = SEED) -> int:
+def shingle_hashes(text: bytes, shingle: int = SHINGLE, seed: int = SEED) -> np.ndarray:
+    """XXH64 values of a text's shingles in their order; a shorter text is one shingle."""
     from xxhash import xxh64_intdigest as digest
 
     words = text.lower().split()
-    if not words:
-        return 0
     joined = b" ".join(words)
     if len(words) <= shingle:
-        return digest(joined, seed)
+        return np.array([digest(joined, seed)], "<u8")
     ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
     starts = np.concatenate(([0], ends[:-1] + 1))
     spans = zip(starts[: len(words) - shingle + 1].tolist(), ends[shingle - 1 :].tolist(), strict=True)
-    hashes = np.array([digest(joined[a:b], seed) for a, b in spans], "<u8")
+    return np.array([digest(joined[a:b], seed) for a, b in spans], "<u8")
+
+
+def fingerprint(text: bytes, shingle: int = SHINGLE, seed: int = SEED) -> int:
+    if not text.split():
+        return 0
+    hashes = shingle_hashes(text, shingle, seed)
     ones = np.zeros(BITS, np.int64)
     for at in range(0, len(hashes), 1 << 16):
         part = hashes[at : at + (1 << 16)]
