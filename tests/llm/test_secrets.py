@@ -74,6 +74,12 @@ def test_ratio_against_plain_sums(spark):
         assert math.isclose(got[t], want, abs_tol=1e-9)
 
 
+def test_ordinary_words_of_all_documents_and_whole_texts(spark):
+    rows = [(i, "ab cd token=Xy12Zw34Q") for i in range(2100)] + [(None, "of"), (5000, "word " * 5000 + "end")]
+    found = S.ordinary(spark.createDataFrame(rows, "doc_id bigint, text string")).groupBy("token").count()
+    assert dict(found.collect()) == {"ab": 2100, "cd": 2100, "of": 1, "word": 5000, "end": 1}
+
+
 @pytest.mark.parametrize("chunk", [1, 2, 256])
 def test_positions_for_any_chunk(spark, monkeypatch, chunk):
     monkeypatch.setattr(S, "CHUNK", chunk)

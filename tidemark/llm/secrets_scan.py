@@ -5,8 +5,8 @@ overlap, each by itself; matches that are too short are dropped.
 
 *Models.* Two first-order Markov chains over characters are trained from labelled samples:
 one on random strings - what the patterns matched in the table - and one on ordinary
-identifiers - the words of a bounded sample of documents outside all matches. Both are
-counts of transitions, smoothed by how often the second character occurs at all. A run of ``TOKEN`` characters that no
+identifiers - the words of all documents outside all matches. Both are
+counts of transitions over the whole table, smoothed by how often the second character occurs at all. A run of ``TOKEN`` characters that no
 pattern touches is a secret (kind ``random``) if its log-likelihood ratio per transition
 is above ``RATIO``: with zero, if random is the likelier of the two.
 
@@ -39,10 +39,6 @@ RANDOM = "random"
 TOKEN = r"[A-Za-z0-9+/_-]{20,}"
 RATIO = 0.0
 
-# Documents whose words train the model of ordinary identifiers, and the longest one taken.
-SAMPLE_DOCS = 2000
-MOST_BYTES = 16_384
-
 ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_-"
 
 # Matches whose widths are summed together.
@@ -134,15 +130,9 @@ def transitions(token: Column) -> Column:
     return let(codes(token), pairs)
 
 
-def ordinary(docs: DataFrame, rows: int = SAMPLE_DOCS) -> DataFrame:
-    """token: words, reduced to token characters, of the documents with the smallest hash of the id."""
-    few = (
-        docs.where(F.col("doc_id").isNotNull() & (F.octet_length("text") <= MOST_BYTES))
-        .select("doc_id", F.xxhash64("doc_id").alias("order"))
-        .distinct().orderBy("order", "doc_id").limit(rows).select("doc_id")
-    )
-    # At most SAMPLE_DOCS ids.
-    chosen = docs.join(F.broadcast(few), "doc_id").select(text_or_empty().alias("text"))
+def ordinary(docs: DataFrame) -> DataFrame:
+    """token: words of all documents outside all matches, reduced to token characters."""
+    chosen = docs.select(text_or_empty().alias("text"))
     for pattern, _, _ in KINDS.values():
         chosen = chosen.select(F.regexp_replace("text", pattern, " ").alias("text"))
     words = chosen.select(F.explode(F.regexp_extract_all("text", F.lit(WORD), F.lit(0))).alias("word"))
@@ -156,8 +146,9 @@ def train(found: DataFrame, docs: DataFrame) -> list[float] | None:
     words = ordinary(docs)
     counts = []
     for tokens in (random, words):
-        pairs = tokens.select(F.explode(transitions(F.col("token"))).alias("pair"))
-        counts.append(dict(pairs.groupBy("pair").count().collect()))  # at most n * n rows
+        each = tokens.groupBy("token").agg(F.count(F.lit(1)).alias("times"))
+        pairs = each.select("times", F.explode(transitions(F.col("token"))).alias("pair"))
+        counts.append(dict(pairs.groupBy("pair").agg(F.sum("times")).collect()))  # at most n * n rows
     if not counts[0]:
         return None
     logs = []
