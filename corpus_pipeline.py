@@ -2,8 +2,8 @@
 
 1. ``quality``: documents that the byte network scores below its threshold go.
 2. ``exact_dedup``: of equal texts the document with the largest id stays.
-3. ``near_dedup``: of documents whose sets of five-word shingles have a Jaccard similarity
-   of 0.8 or more, directly or through others, the one with the smallest id stays.
+3. ``near_dedup``: of documents whose SimHash fingerprints (three-word shingles) differ in
+   two bits or fewer, directly or through others, the one with the smallest id stays.
 4. ``mixing``: documents are dropped or repeated (up to three times) towards the sources'
    target weights.
 5. ``packing``: what is left is packed into sequences of at most 2048 tokens.
@@ -20,7 +20,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.llm import exact_dedup, mixing, packing, quality, similar
+from tidemark.llm import exact_dedup, mixing, packing, quality, simhash
 from tidemark.llm.common import documents, labels, vocabulary
 from tidemark.session import materialise
 
@@ -34,7 +34,7 @@ def drop_copies(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
-    return similar.keep_one(docs)
+    return simhash.keep_one(docs, simhash.SHINGLE, simhash.RADIUS)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
