@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.llm import exact_dedup, mixing, packing, quality, secrets_scan, simhash, suffix_dedup, token_files, toxicity, vptree
+from tidemark.llm import (
+    exact_dedup, fill_middle, mixing, packing, quality, secrets_scan, simhash, spelling, suffix_dedup, token_files, toxicity, vptree,
+)
 from tidemark.llm.common import documents, labels, vocabulary
 
 
@@ -51,6 +53,14 @@ def op10_exact_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return exact_dedup.decisions(spark, f"{folder}/documents[.]parquet")
 
 
+def op12_spelling(spark: SparkSession, folder: str) -> DataFrame:
+    return spelling.variants(documents(spark, folder))
+
+
+def op13_fill_middle(spark: SparkSession, folder: str) -> DataFrame:
+    return fill_middle.digests(documents(spark, folder))
+
+
 QUERIES = {
     "op1_suffix_dedup": op1_suffix_dedup,
     "op2_mixing": op2_mixing,
@@ -62,4 +72,6 @@ QUERIES = {
     "op8_quality": op8_quality,
     "op9_secrets": op9_secrets,
     "op10_exact_dedup": op10_exact_dedup,
+    "op12_spelling": op12_spelling,
+    "op13_fill_middle": op13_fill_middle,
 }

@@ -68,4 +68,31 @@ FROM documents
 WINDOW same AS (PARTITION BY coalesce(text, ''))
 """
 
-SQL = {"op2_mixing": OP2, "op5_nearest": OP5, "op10_exact_dedup": OP10}
+OP13 = r"""
+WITH drawn AS (
+  SELECT doc_id, coalesce(text, '') AS body, sha256('7:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS h FROM documents
+), lined AS (
+  SELECT *, regexp_extract_all(body, '[^\n]*\n|[^\n]+') AS lines,
+         [('0x' || substr(h, 8 * i + 1, 8))::BIGINT FOR i IN range(4)] AS d
+  FROM drawn
+), counted AS (
+  SELECT *, len(lines) AS n, d[1] % (len(lines) + 1) AS one, d[2] % (len(lines) + 1) AS other,
+         CASE WHEN body = '' OR regexp_matches(body, '<[PSM]>') OR d[3] % 100 >= 100 THEN 'plain'
+              WHEN d[4] % 100 < 50 THEN 'spm' ELSE 'psm' END AS form
+  FROM lined
+), parts AS (
+  SELECT *, coalesce(array_to_string(lines[1:least(one, other)], ''), '') AS prefix,
+         coalesce(array_to_string(lines[least(one, other) + 1:greatest(one, other)], ''), '') AS middle,
+         coalesce(array_to_string(lines[greatest(one, other) + 1:], ''), '') AS suffix
+  FROM counted
+)
+SELECT doc_id, CAST(n AS BIGINT) AS n, form,
+       CASE WHEN form <> 'plain' THEN CAST(length(prefix) AS BIGINT) END AS prefix_chars,
+       CASE WHEN form <> 'plain' THEN CAST(length(middle) AS BIGINT) END AS middle_chars,
+       sha256(CASE form WHEN 'plain' THEN body WHEN 'psm' THEN '<P>' || prefix || '<S>' || suffix || '<M>' || middle
+                        ELSE '<S>' || suffix || '<P>' || prefix || '<M>' || middle END) AS output_sha256,
+       sha256(body) AS restored_sha256
+FROM parts
+"""
+
+SQL = {"op2_mixing": OP2, "op5_nearest": OP5, "op10_exact_dedup": OP10, "op13_fill_middle": OP13}
