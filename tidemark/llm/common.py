@@ -64,6 +64,13 @@ def settings(spark: SparkSession, values: dict[str, str]) -> Iterator[None]:
                 spark.conf.set(name, value)
 
 
+def mixed(x: np.ndarray) -> np.ndarray:
+    """64-bit numbers spread over all 64-bit numbers, one to one."""
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))
+
+
 def joined_bytes(texts: list[bytes], gap: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """All texts in one byte array with ``gap`` zero bytes after each; starts and lengths."""
     lengths = np.fromiter(map(len, texts), np.int64, len(texts))

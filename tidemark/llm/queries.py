@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from tidemark.llm import (
-    exact_dedup, fill_middle, mixing, packing, quality, secrets_scan, simhash, spelling, suffix_dedup, token_files, toxicity, vptree,
+    exact_dedup, fill_middle, language_id, mixing, packing, quality, secrets_scan, simhash, spelling, suffix_dedup, token_files, toxicity, vptree,
 )
 from tidemark.llm.common import documents, labels, vocabulary
 
@@ -53,6 +53,11 @@ def op10_exact_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return exact_dedup.decisions(spark, f"{folder}/documents[.]parquet")
 
 
+def op11_language(spark: SparkSession, folder: str) -> DataFrame:
+    docs = documents(spark, folder)
+    return language_id.identified(docs, *language_id.fit(docs))
+
+
 def op12_spelling(spark: SparkSession, folder: str) -> DataFrame:
     return spelling.variants(documents(spark, folder))
 
@@ -72,6 +77,7 @@ QUERIES = {
     "op8_quality": op8_quality,
     "op9_secrets": op9_secrets,
     "op10_exact_dedup": op10_exact_dedup,
+    "op11_language": op11_language,
     "op12_spelling": op12_spelling,
     "op13_fill_middle": op13_fill_middle,
 }

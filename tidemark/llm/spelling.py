@@ -33,6 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.llm.common import mixed
 from tidemark.session import materialise
 
 RUN = "[A-Za-z\\u00C0-\\u00FF]+"
@@ -71,12 +72,6 @@ def vocabulary(docs: DataFrame, least_chars: int = LEAST_CHARS, least_times: int
     return long.groupBy("word").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= least_times)
 
 
-def mixed(x: np.ndarray) -> np.ndarray:
-    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-    return x ^ (x >> np.uint64(31))
-
-
 def reduced(words: np.ndarray, symbols: int) -> np.ndarray:
     """Symbols of code points."""
     spread = (words.astype(np.uint64) * np.uint64(0x9E3779B1)) & np.uint64(0xFFFFFFFF)
