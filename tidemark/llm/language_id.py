@@ -19,7 +19,8 @@ all lookups of one window share, and each shard scores its own windows in a pass
 An eighth of the documents to learn from are not counted but calibrate: the ``score`` is the
 share of right answers among those with a like lead over the second language (monotone);
 a prediction is ``accepted`` if the score is at least ``LEAST_SCORE`` and the cross-entropy
-is no higher than all but ``ALPHA`` of that language's documents of like length have it.
+is no higher than all but ``ALPHA`` of that language's documents of like length have it (of
+like length or shorter, of any length, of any language where those are fewer than ``LEAST_ROWS``).
 
 Defined cases: ``und`` with score 0 for null texts, texts without a letter, and all texts if
 nothing can be learned; rows with a null ``doc_id`` or null ``lang`` teach nothing; rows that
@@ -412,6 +413,17 @@ def rising(right: np.ndarray, total: np.ndarray) -> np.ndarray:
     return np.concatenate([np.full(int(n), r / t) for r, t, n in pools])
 
 
+def first_with_enough(*counts: np.ndarray) -> np.ndarray:
+    """The first that counts ``LEAST_ROWS`` rows, or the last."""
+    return next((c for c in counts if c.sum() >= LEAST_ROWS), counts[-1])
+
+
+def highest_bin(counts: np.ndarray, alpha: float) -> int:
+    """The lowest bin with at most a share ``alpha`` of the rows above it; without rows, the highest there is."""
+    above = counts.sum() - np.cumsum(counts)
+    return int(np.argmax(above <= alpha * counts.sum())) if counts.any() else BITS_BINS
+
+
 @dataclass
 class Calibration:
     """Score by bin of the lead; highest accepted bin of bits by language and bin of length."""
@@ -436,15 +448,15 @@ def calibrate(docs: DataFrame, trained: Trained, alpha: float = ALPHA) -> Calibr
         hits[r[0]] += r[2]
     seen = np.flatnonzero(total >= 0.5)
     shares = np.interp(np.arange(LEAD_BINS), seen, rising(hits[seen], total[seen]))
-    highest = np.full((len(languages), LENGTH_BINS), BITS_BINS)
+    counts = np.zeros((len(languages), LENGTH_BINS, BITS_BINS), np.int64)
     own = bins.where("right").groupBy("best", "length", "bits").agg(F.sum("count").alias("n")).toPandas()
-    for (best, length), group in own.groupby(["best", "length"]):
-        group = group.sort_values("bits", ascending=False)
-        n = int(group.n.sum())
-        if n >= LEAST_ROWS:
-            above = group.n.cumsum() - group.n  # rows in higher bins
-            highest[best, length] = int(group.bits[above <= alpha * n].min())
-    return Calibration([float(x) for x in shares], [int(x) for x in highest.ravel()])
+    np.add.at(counts, (own.best, own.length, own.bits), own.n)
+    highest = [
+        highest_bin(first_with_enough(lang[b], lang[: b + 1].sum(0), lang.sum(0), counts.sum((0, 1))), alpha)
+        for lang in counts
+        for b in range(LENGTH_BINS)
+    ]
+    return Calibration([float(x) for x in shares], highest)
 
 
 def fit(docs: DataFrame, order: int = ORDER, most_bytes: int = BROADCAST_BYTES) -> tuple[Trained, Calibration | None]:
