@@ -3,6 +3,7 @@ import zlib
 
 import numpy as np
 import pytest
+from tokenizers import Tokenizer
 
 from tests.llm.conftest import edge_rows
 from tidemark.llm import packing, queries, token_files
@@ -11,7 +12,7 @@ from tidemark.llm.common import vocabulary
 
 ODD = [
     "", " ", "\n", "a", " a", "a ", "\na", "a\n\nb", "a  b", "a \n b", "x\ty", "don't stop, it's O'Neil's 42nd!!  ",
-    "<|endoftext|> hi", "naïve café Ünïcode ǅ Σίσυφος ΣΑΣ", "日本語 テスト 🎉🎉 á ́b", "İstanbul ŉ", "a b",
+    "<|endoftext|> hi", "a <|endoftext|> b", "x<|startoftext|>y <|ENDOFTEXT|>", "<|endoftext|", "<|end oftext|>", "naïve café Ünïcode ǅ Σίσυφος ΣΑΣ", "日本語 テスト 🎉🎉 á ́b", "İstanbul ŉ", "a b",
     "1234 5,6.7", "hello.\nWorld", "é" * 400, "éa É,", "\x1c a\x1cb",
 ]
 KINDS = [("byte_bpe_50k.json", 0, True), ("word_bpe_49k.json", 1, False)]
@@ -26,7 +27,8 @@ def test_ids_equal_those_of_whole_texts(documents, monkeypatch, name, end, blank
     monkeypatch.setattr(W, "MOST_PIECES", 3000)
     texts = ODD + [t for _, t in documents]
     random.Random(1).shuffle(texts)
-    coder, plain = W.WordIds(vocabulary(name), end, blanks), W.load(vocabulary(name))
+    monkeypatch.setattr(W, "MOST_WORDS", 2000)
+    coder, plain = W.WordIds(vocabulary(name), end, blanks), Tokenizer.from_file(vocabulary(name))
     for at in range(0, len(texts), 40):
         ids, counts = coder.encode(texts[at : at + 40])
         parts = np.split(ids, np.cumsum(counts)[:-1])
@@ -66,7 +68,7 @@ def crc(ids):
 
 
 def test_token_files_of_a_table(spark, folder, documents):
-    plain = W.load(vocabulary("byte_bpe_50k.json"))
+    plain = Tokenizer.from_file(vocabulary("byte_bpe_50k.json"))
     expected, start = set(), 0
     for (doc, _), ids in zip(documents, ids_of(plain, [t for _, t in documents], 0), strict=True):
         expected.add((doc, start, len(ids), crc(ids)))
@@ -79,7 +81,7 @@ def test_token_files_of_edge_cases(spark, edge, empty):
     path = vocabulary("byte_bpe_50k.json")
     found = token_files.round_trip(edge, path).collect()
     rows = sorted(edge_rows(), key=lambda r: (r[0] is not None, r[0] or 0, r[1] or ""))
-    all_ids = ids_of(W.load(path), [r[1] or "" for r in rows], 0)
+    all_ids = ids_of(Tokenizer.from_file(path), [r[1] or "" for r in rows], 0)
     starts = np.cumsum([0] + [len(i) for i in all_ids])
     expected = [(r[0], int(s), len(i), crc(i)) for r, s, i in zip(rows, starts, all_ids, strict=False)]
     assert sorted(map(repr, map(tuple, found))) == sorted(map(repr, expected))
@@ -109,7 +111,7 @@ def check_packing(rows, expected_ids):
 
 
 def test_packing_of_a_table(spark, folder, documents):
-    plain = W.load(vocabulary("word_bpe_49k.json"))
+    plain = Tokenizer.from_file(vocabulary("word_bpe_49k.json"))
     ids = ids_of(plain, [t for _, t in documents], 1)
     rows = queries.op7_packing(spark, folder).collect()
     check_packing(rows, {d: i for (d, _), i in zip(documents, ids, strict=True)})
@@ -123,7 +125,7 @@ def test_packing_of_edge_cases(spark, edge, empty):
     path = vocabulary("word_bpe_49k.json")
     numbered = [(k, r[1]) for k, r in enumerate(edge_rows())]
     frame = spark.createDataFrame(numbered, "doc_id bigint, text string").repartition(4)
-    ids = ids_of(W.load(path), [t or "" for _, t in numbered], 1)
+    ids = ids_of(Tokenizer.from_file(path), [t or "" for _, t in numbered], 1)
     check_packing(packing.packed(frame, path).collect(), dict(enumerate(ids)))
     assert packing.packed(edge, path).where("doc_id IS NULL").count() >= 2
     assert packing.packed(empty, path).count() == 0

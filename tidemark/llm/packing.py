@@ -28,6 +28,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
@@ -36,7 +37,7 @@ from tidemark.llm.word_ids import word_ids
 
 TIERS = (256, 512, 1024, 2048)
 STEP_TOKENS = 16_384
-CHUNK_CHARS = 8_000_000
+CHUNK_CHARS = 4_000_000
 END_ID = 1
 
 SCHEMA = (
@@ -142,9 +143,9 @@ def packed(
         coder = word_ids(tokenizer, end_id, blanks=False)
         next_sequence = next_step = TaskContext.get().partitionId() << 36
         for batch in batches:
-            doc_ids, texts = batch.column(0), batch.column(1).to_pylist()
-            for a, b in slices(list(map(len, texts)), CHUNK_CHARS):
-                ids, counts = coder.encode(texts[a:b])
+            doc_ids, texts = batch.column(0), batch.column(1)
+            for a, b in slices(pc.utf8_length(texts).to_pylist(), CHUNK_CHARS):
+                ids, counts = coder.encode(texts.slice(a, b - a).to_pylist())
                 sequences = pack(counts.tolist(), tiers)
                 step_of = steps(sequences, step_tokens)
                 raw = memoryview(ids.astype("<u4").tobytes())

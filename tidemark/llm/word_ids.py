@@ -3,7 +3,8 @@
 A byte-pair tokenizer never merges across the borders its pre-tokenizer draws. Texts are
 therefore cut at borders that hold in any context, every distinct piece is encoded by the
 library once per worker, and the ids of a text are put together from those of its pieces.
-Texts for which a border is in doubt go to the library whole.
+Texts for which a border is in doubt, and those that hold the string of a special token
+(which the library reads as that token wherever it stands), go to the library whole.
 """
 
 from __future__ import annotations
@@ -13,8 +14,10 @@ import re
 
 import numpy as np
 
-# Pieces a worker remembers; beyond, it forgets all and starts anew.
-MOST_PIECES = 1_000_000
+# Pieces, and words without their punctuation, that a worker remembers; beyond, it forgets
+# those and starts anew. Known words make new pieces cheap.
+MOST_PIECES = 400_000
+MOST_WORDS = 600_000
 
 # Letters up to Latin Extended-B with a tail of ASCII punctuation (but apostrophes, which start
 # words such as 's): the library sees them as two words.
@@ -31,9 +34,7 @@ def load(path: str):
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
     from tokenizers import Tokenizer
 
-    tokenizer = Tokenizer.from_file(path)
-    tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
-    return tokenizer
+    return Tokenizer.from_file(path)
 
 
 class _Pieces(dict):
@@ -60,10 +61,13 @@ class WordIds:
         self.mark = "\n" if blanks else " 0 "
         self.feed = self._library(["\n"])[0]
         (self.mark_id,) = self.tokenizer.encode(self.mark, add_special_tokens=False).ids
+        added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.special = re.compile("|".join(map(re.escape, added)) or "(?!)")
+        self.words = {"": b""}
         self._forget()
 
     def _forget(self) -> None:
-        self.pieces, self.words = _Pieces(), {"": b""}
+        self.pieces = _Pieces()
         self.pool = np.zeros(1 << 16, np.uint16)
         self.pool[0] = self.end_id
         self.used = 1
@@ -146,10 +150,12 @@ class WordIds:
         """Ids of all texts one after another (16 bits each), and how many each text has."""
         if len(self.pieces) > MOST_PIECES:
             self._forget()
+        if len(self.words) > MOST_WORDS:
+            self.words = {"": b""}
         known = self.pieces.__getitem__
         numbers, ends, whole = [], [], []
         for text in texts:
-            if self.blanks and DOUBTFUL.search(text):
+            if (self.blanks and DOUBTFUL.search(text)) or self.special.search(text):
                 whole.append((len(numbers), text))
                 numbers.append(0)
             else:
