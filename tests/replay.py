@@ -119,3 +119,82 @@ def random_readings(rng, count: int, spread_s: int = 60, start_s: int = 0) -> li
         second = start_s + i + rng.randint(-spread_s, spread_s // 4)
         out.append((name, device, float(rng.randint(0, 50)), second * 1_000_000))
     return out
+
+
+@dataclass
+class IdleReplay(Replay):
+    """One key whose timeouts run on the clock of arrivals."""
+
+    timeout_ms: int = 0
+    cleanup_ms: int = 0
+    last_ms: int | None = None
+    emitted_ms: int | None = None
+    epoch: int = 0
+
+    def rows(self, at_ms: int, reason: str, everything: bool = False) -> list[tuple]:
+        """``(epoch, bucket, index, feature, value, filled, reason, at)`` of what is due at a time."""
+        due = any(everything or b <= self.newest - self.watermark_ms for b in self.pools)
+        if not due:
+            return []
+        if self.emitted_ms is not None and at_ms - self.emitted_ms > self.cleanup_ms:
+            self.index, self.carried = 0, {}
+        self.emitted_ms = at_ms
+        return [(self.epoch, *row, reason, at_ms) for row in self.emit(everything)]
+
+    def pass_time(self, now_ms: int) -> list[tuple]:
+        """The clock moves on: past the end of the timeout the key is forgotten."""
+        if self.last_ms is None or now_ms <= self.last_ms + self.timeout_ms:
+            return []
+        out = self.rows(self.last_ms + self.timeout_ms, "timeout", everything=True)
+        self.newest, self.last_ms, self.epoch = 0, None, self.epoch + 1
+        return out
+
+    def arrive(self, at_ms: int, feature: str, bucket: int, ts_us: int, value: float) -> list[tuple]:
+        out = self.pass_time(at_ms)
+        self.last_ms = at_ms
+        self.feed(feature, bucket, ts_us, value)
+        return out + self.rows(at_ms, "closed")
+
+
+def replay_idle(
+    readings: list[tuple], timeout_ms: int, cleanup_ms: int, flush: bool = False, delay_ms: int = 0, members: bool = False
+) -> list[tuple]:
+    """``readings`` are ``(name, device, value, ts_us, arrival_us)`` in arrival order.
+
+    Gives ``(vector, epoch, bucket, index, feature, value, filled, reason, emitted_ms)``.
+    """
+    keys = {v: IdleReplay(WATERMARKS[v], LAYOUTS[v], timeout_ms=timeout_ms, cleanup_ms=cleanup_ms) for v in WATERMARKS}
+    rows = []
+    for name, device, value, ts_us, arrival_us in readings:
+        for vector in ROUTES[device]:
+            if members and name not in LAYOUTS[vector]:
+                continue
+            bucket = truncated(ts_us // 1000, STEPS[name])
+            rows += [(vector, *r) for r in keys[vector].arrive(arrival_us // 1000, name, bucket, ts_us, value)]
+    newest = max((r[4] for r in readings), default=0) // 1000
+    for vector, key in keys.items():
+        rows += [(vector, *r) for r in key.pass_time(newest - delay_ms)]
+        if flush and key.last_ms is not None:
+            rows += [(vector, *r) for r in key.rows(key.last_ms + timeout_ms, "timeout", everything=True)]
+    return rows
+
+
+def idle_readings(rng, count: int) -> list[tuple]:
+    """Random readings with pauses between their arrivals, some of them just as long as a timeout."""
+    out, now = [], 1_000_000_000
+    for name, device, value, ts_us in random_readings(rng, count, start_s=100):
+        now += rng.choice([0, 1, 999, 1000, 20_000, 250_000, 3_000_000, 4_999_000, 5_000_000, 5_001_000, 12_000_000])
+        out.append((name, device, value, ts_us, now))
+    return out
+
+
+def idle_frame(spark, readings: list[tuple]):
+    rows = [(n, d, float(v), ts, at, i) for i, (n, d, v, ts, at) in enumerate(readings)]
+    raw = spark.createDataFrame(rows, "name string, device string, value double, ts_us bigint, at_us bigint, seq bigint")
+    return shaped_idle(raw)
+
+
+def shaped_idle(raw):
+    return raw.select(
+        "name", "device", "value", F.timestamp_micros("ts_us").alias("timestamp"), arrival(F.col("at_us"), F.col("seq")).alias("arrival")
+    )

@@ -56,10 +56,26 @@ def lowest(column: str) -> Running:
     )
 
 
-def last_known(column: str, order: str) -> Running:
+def highest(column: str) -> Running:
+    return Running(
+        lambda: F.max(column), lambda: F.max(column), F.max, lambda carry, local: F.greatest(carry, local)
+    )
+
+
+def total_of(column: str) -> Running:
+    return Running(
+        lambda: F.sum(column),
+        lambda: F.sum(column),
+        F.sum,
+        lambda carry, local: F.coalesce(carry, F.lit(0)) + F.coalesce(local, F.lit(0)),
+    )
+
+
+def last_known(column: str, *order: str) -> Running:
+    at = F.col(order[0]) if len(order) == 1 else F.struct(*order)
     return Running(
         lambda: F.last(column, ignorenulls=True),
-        lambda: F.max_by(column, F.when(F.col(column).isNotNull(), F.col(order))),
+        lambda: F.max_by(column, F.when(F.col(column).isNotNull(), at)),
         lambda total: F.last(total, ignorenulls=True),
         lambda carry, local: F.coalesce(local, carry),
     )
@@ -78,40 +94,44 @@ def row_index() -> Running:
 def running(
     frame: DataFrame,
     keys: list[str],
-    order: str,
+    order: str | list[str],
     segments: Segments,
     scan: Running,
     out: str,
     descending: bool = False,
+    before: bool = False,
 ) -> DataFrame:
     """Add the running aggregate ``out`` over ``order`` within ``keys``.
 
-    Rows with equal order see each other. With several segments ``frame`` is read
-    twice, so pass a materialised table.
+    Rows with equal order see each other; segments cut the first column of the order.
+    With ``before`` a row sees the rows before it only, and the order must be unique.
+    With several segments ``frame`` is read twice, so pass a materialised table.
     """
+    columns = [order] if isinstance(order, str) else order
 
-    def ordered(column: str, by: list[str]) -> WindowSpec:
-        direction = F.col(column).desc() if descending else F.col(column).asc()
-        return Window.partitionBy(*by).orderBy(direction)
+    def ordered(names: list[str], by: list[str]) -> WindowSpec:
+        direction = [F.col(c).desc() if descending else F.col(c).asc() for c in names]
+        spec = Window.partitionBy(*by).orderBy(*direction)
+        if before:
+            return spec.rowsBetween(Window.unboundedPreceding, -1)
+        return spec.rangeBetween(Window.unboundedPreceding, Window.currentRow)
 
-    up_to_row = (Window.unboundedPreceding, Window.currentRow)
     if segments.count <= 1:
-        local = scan.local().over(ordered(order, keys).rangeBetween(*up_to_row))
+        local = scan.local().over(ordered(columns, keys))
         return frame.withColumn(out, scan.merge(F.lit(None), local))
 
-    cut = frame.withColumn("_segment", segments.of(F.col(order)))
+    cut = frame.withColumn("_segment", segments.of(F.col(columns[0])))
+    earlier = Window.partitionBy(*keys).orderBy(F.col("_segment").desc() if descending else F.col("_segment").asc())
     carry = (
         cut.groupBy(*keys, "_segment")
         .agg(scan.total().alias("_total"))
         .select(
             *keys,
             "_segment",
-            scan.carry(F.col("_total"))
-            .over(ordered("_segment", keys).rowsBetween(Window.unboundedPreceding, -1))
-            .alias("_carry"),
+            scan.carry(F.col("_total")).over(earlier.rowsBetween(Window.unboundedPreceding, -1)).alias("_carry"),
         )
     )
-    local = scan.local().over(ordered(order, [*keys, "_segment"]).rangeBetween(*up_to_row))
+    local = scan.local().over(ordered(columns, [*keys, "_segment"]))
     return (
         cut.withColumn("_local", local)
         .join(carry, [*keys, "_segment"], "left")

@@ -12,18 +12,18 @@ from tidemark.operators.lookup import lookup_join
 from tidemark.operators.scan import Segments, last_known, row_index, running
 
 
-def assemble(emitted: DataFrame, values: DataFrame, members: Lookup) -> DataFrame:
+def assemble(emitted: DataFrame, values: DataFrame, members: Lookup, also: tuple[str, ...] = ()) -> DataFrame:
     """Long form of the vectors: every feature of every emitted bucket.
 
-    ``value`` is null where the feature was not seen in the bucket.
+    ``value`` is null where the feature was not seen in the bucket. ``also`` names columns
+    that tell apart buckets which a key emits more than once.
     """
     layout = Lookup(
         members.frame.select(F.col("vector").alias("key"), "feature"), members.size
     )
     cells = lookup_join(emitted, layout, ["key"], spread="bucket_ms")
-    return cells.join(
-        values.select("key", "bucket_ms", "feature", "value"), ["key", "bucket_ms", "feature"], "left"
-    )
+    by = ["key", *also, "bucket_ms", "feature"]
+    return cells.join(values.select(*by, "value"), by, "left")
 
 
 def forward_fill(cells: DataFrame, segments: Segments) -> DataFrame:
