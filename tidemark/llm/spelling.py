@@ -188,7 +188,7 @@ def near_pairs(vocab: DataFrame, symbols: int = SYMBOLS) -> DataFrame:
     right = keyed.select(F.col("id").alias("other_id"), F.col("word").alias("other"), F.col("n").alias("m"))
     # Every pair is made from both its words; one is enough to verify (equal ids: a word itself, or a clash).
     once = made.where("id <= other_id").select("id", "other_id").join(left, "id").join(right, "other_id")
-    found = once.where(F.levenshtein("word", "other", 1) == 1)
+    found = once.where((F.levenshtein("word", "other", 1) == 1) & F.expr("id < other_id OR word < other"))
     ways = [F.struct("word", "n", "other", "m"), F.struct(F.col("other").alias("word"), F.col("m").alias("n"), F.col("word").alias("other"), F.col("n").alias("m"))]
     return found.select(F.explode(F.array(*ways)).alias("pair")).select("pair.*")
 
