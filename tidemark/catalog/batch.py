@@ -21,6 +21,7 @@ from tidemark.operators.enrich import (
     unfit,
 )
 from tidemark.operators.lateness import closing_points, judge, late_report, late_rows
+from tidemark.plans.idle import IdleKeyedJob, IdleVectorJob
 from tidemark.plans.keyed import KeyedJob, inactive_buckets, window_buckets
 from tidemark.plans.vectors import VectorJob
 from tidemark.schemas import PERSON, READING
@@ -371,6 +372,23 @@ def many_keys(spark: SparkSession, folder: str) -> DataFrame:
     return job.buckets(feeds.user_readings(frame)).select("key", "bucket_ms", rounded(), "emit_reason")
 
 
+def timeout_buckets(spark: SparkSession, folder: str) -> DataFrame:
+    """One key per user, with pauses longer than a key's timeout; a bucket can come more than once."""
+    frame = feeds.events(spark, folder)
+    job = IdleKeyedJob(feeds.user_settings(frame), feeds.USER_CLOCK)
+    return job.numbered(feeds.user_readings(frame)).select(
+        "key", "epoch", "bucket_ms", "bucket_index", rounded(), "emit_reason", "emitted_ms"
+    )
+
+
+def restarted(spark: SparkSession, folder: str) -> DataFrame:
+    """Vectors whose numbering and known values start anew after a pause of the output."""
+    job = IdleVectorJob(feeds.idle_vector_settings(spark), feeds.VECTOR_CLOCK)
+    return job.filled(_readings(spark, folder)).select(
+        F.col("key").alias("vector"), "epoch", "bucket_ms", "bucket_index", "feature", rounded("filled"), "emit_reason"
+    )
+
+
 QUERIES = {
     "s2_decode": decoded_text,
     "s3_broker_time": broker_time,
@@ -402,11 +420,13 @@ QUERIES = {
     "t2_closed_buckets": closed_buckets,
     "t2_many_keys": many_keys,
     "t4_flushed_buckets": flushed_buckets,
+    "t4_timeout_buckets": timeout_buckets,
     "t6_quiet_buckets": quiet_buckets,
     "t7_numbered": numbered,
     "t8_filled": filled,
     "t8_filled_all": filled_all,
     "t8_members_only": members_only,
+    "t9_restarted": restarted,
     "t10_arrival_order": arrival_order,
     "t10_value_order": value_order,
     "t11_late_counts": late_counts,

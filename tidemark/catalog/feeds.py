@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from tidemark.config import KeySettings, VectorSettings
 from tidemark.functions.timegrain import arrival
+from tidemark.operators.epochs import IdleClock
 from tidemark.sources.files import read_table
 
 # One unit of the original settings (a second) becomes 12 minutes.
@@ -88,6 +89,16 @@ def vector_settings(spark: SparkSession) -> VectorSettings:
     return VectorSettings.from_maps(spark, scale=SCALE)
 
 
+# Pauses at the scale of the table: vectors time out after a quarter of an hour.
+VECTOR_TIMEOUT_MS = 15 * 60 * 1000
+VECTOR_CLOCK = IdleClock(cleanup_ms=3600 * 1000, delay_ms=1000)
+USER_CLOCK = IdleClock(cleanup_ms=24 * 3600 * 1000, delay_ms=1000)
+
+
+def idle_vector_settings(spark: SparkSession) -> VectorSettings:
+    return VectorSettings.from_maps(spark, scale=SCALE, timeout_ms=VECTOR_TIMEOUT_MS)
+
+
 def people_settings(spark: SparkSession) -> KeySettings:
     return KeySettings.from_maps(spark, scale=SCALE)
 

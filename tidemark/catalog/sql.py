@@ -170,26 +170,88 @@ member_opened AS (
 
 WHOLE_NUMBER_ROWS = VECTOR_ROWS.replace("r.value,", "floor(r.value) AS value,")
 
-MANY_KEYS = f"""WITH {READINGS},
+NUMBERED_STREAM = f"""{VALUED_PEOPLE}, {NUMBERED}
+SELECT key, bucket_ms, bucket_index, round(v.value, 6) AS value
+FROM numbered JOIN values_ v USING (key, bucket_ms)"""
+
+MEMBERS_ONLY = (
+    cells(opened="member_opened").replace("\ncells AS", f"{MEMBER_OPENED},\ncells AS")
+    + "SELECT key AS vector, bucket_ms, feature, round(filled, 6) AS filled FROM cells"
+)
+
+USER_ROWS = """
 rows_ AS (
   SELECT user_id AS key, 'value' AS feature, ts_us, value, arrival_us, event_id, true AS is_member,
          user_id % 2 = 0 AS latest,
          CASE WHEN user_id % 2 = 0 THEN 14400000 ELSE 21600000 END AS watermark_ms,
          CASE WHEN user_id % 2 = 0 THEN ts_ms // 3600000 * 3600000
               ELSE ts_ms // 7200000 * 7200000 END AS bucket_ms
-  FROM readings), {JUDGED}, {VALUES_OF_ACCEPTED}
+  FROM readings)"""
+
+MANY_KEYS = f"""WITH {READINGS}, {USER_ROWS}, {JUDGED}, {VALUES_OF_ACCEPTED}
 SELECT o.key, o.bucket_ms, round(v.value, 6) AS value, o.emit_reason
 FROM opened o JOIN values_ v USING (key, bucket_ms) WHERE emit_reason = 'closed'
 """
 
-NUMBERED_STREAM = f"""{VALUED_PEOPLE}, {NUMBERED}
-SELECT key, bucket_ms, bucket_index, round(v.value, 6) AS value
-FROM numbered JOIN values_ v USING (key, bucket_ms)"""
 
-MEMBERS_ONLY = (
-    cells(opened="member_opened").replace("\ncells AS", f"{MEMBER_OPENED},\ncells AS")
-    + "SELECT key AS vector, bucket_ms, feature, round(filled, 6) AS filled FROM cells"
-)
+def timed_out(rows: str, timeout_ms: str, cleanup_ms: int) -> str:
+    """Buckets of every epoch in ``emitted``, with their run; replayed by windows over whole keys."""
+    return f"""WITH {rows},
+paused AS (
+  SELECT *, coalesce(arrival_us // 1000 - lag(arrival_us // 1000) OVER in_order > {timeout_ms}, false) AS pause
+  FROM rows_ WINDOW in_order AS (PARTITION BY key ORDER BY arrival_us, event_id)),
+epochs AS (
+  SELECT *, CAST(sum(CASE WHEN pause THEN 1 ELSE 0 END) OVER (
+    PARTITION BY key ORDER BY arrival_us, event_id ROWS UNBOUNDED PRECEDING) AS BIGINT) AS epoch
+  FROM paused),
+judged AS (
+  SELECT *, greatest(0, coalesce(max(CASE WHEN is_member THEN bucket_ms END) OVER (
+             PARTITION BY key, epoch ORDER BY arrival_us, event_id
+             ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)) - watermark_ms < bucket_ms AS accepted
+  FROM epochs),
+ends AS (
+  SELECT key, epoch, max(arrival_us) // 1000 + max({timeout_ms}) AS expires_ms,
+         epoch < max(epoch) OVER (PARTITION BY key) AS over_
+  FROM epochs GROUP BY key, epoch),
+opened AS (SELECT DISTINCT key, epoch, bucket_ms, watermark_ms FROM judged WHERE accepted),
+closers AS (
+  SELECT o.key, o.epoch, o.bucket_ms, min(e.arrival_us) // 1000 AS closed_ms
+  FROM opened o JOIN epochs e ON e.key = o.key AND e.epoch = o.epoch AND e.is_member
+    AND e.bucket_ms >= o.bucket_ms + o.watermark_ms
+  GROUP BY ALL),
+due AS (
+  SELECT o.key, o.epoch, o.bucket_ms, coalesce(closed_ms, expires_ms) AS emitted_ms,
+         CASE WHEN closed_ms IS NULL THEN 'timeout' ELSE 'closed' END AS emit_reason
+  FROM opened o JOIN ends USING (key, epoch) LEFT JOIN closers USING (key, epoch, bucket_ms)
+  WHERE closed_ms IS NOT NULL OR over_
+     OR expires_ms < (SELECT max(arrival_us) // 1000 - 1000 FROM rows_)),
+quiet AS (
+  SELECT *, coalesce(emitted_ms - lag(emitted_ms) OVER (
+    PARTITION BY key ORDER BY emitted_ms, bucket_ms) > {cleanup_ms}, false) AS quiet FROM due),
+runs AS (
+  SELECT *, sum(CASE WHEN quiet THEN 1 ELSE 0 END) OVER (
+    PARTITION BY key ORDER BY emitted_ms, bucket_ms ROWS UNBOUNDED PRECEDING) AS run FROM quiet),
+emitted AS (
+  SELECT *, CAST(row_number() OVER (
+    PARTITION BY key, run ORDER BY emitted_ms, bucket_ms) - 1 AS INTEGER) AS bucket_index FROM runs),
+ranked AS (
+  SELECT *, row_number() OVER (
+    PARTITION BY key, epoch, bucket_ms, feature ORDER BY ts_us DESC, arrival_us, event_id) AS rank_
+  FROM judged WHERE accepted AND is_member),
+values_ AS (
+  SELECT key, epoch, bucket_ms, feature,
+         CASE WHEN any_value(latest) THEN max(CASE WHEN rank_ = 1 THEN value END) ELSE avg(value) END AS value
+  FROM ranked GROUP BY key, epoch, bucket_ms, feature)
+"""
+
+
+RESTARTED = f"""{timed_out(VECTOR_ROWS, "900000", 3_600_000)}
+SELECT e.key AS vector, e.epoch, e.bucket_ms, e.bucket_index, m.feature,
+       round(last_value(v.value IGNORE NULLS) OVER (
+         PARTITION BY e.key, e.run, m.feature ORDER BY e.emitted_ms, e.bucket_ms
+         ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), 6) AS filled, e.emit_reason
+FROM emitted e JOIN vector_feature m ON m.vector = e.key
+LEFT JOIN values_ v ON v.key = e.key AND v.epoch = e.epoch AND v.bucket_ms = e.bucket_ms AND v.feature = m.feature"""
 
 SQL = {
     "s2_decode": "SELECT event_id, event_type AS key, props AS json_value FROM events",
@@ -253,6 +315,11 @@ FROM opened JOIN values_ v USING (key, bucket_ms) WHERE emit_reason = 'closed'""
     "t4_flushed_buckets": f"""{VALUED_PEOPLE}
 SELECT key, bucket_ms, round(v.value, 6) AS value, emit_reason
 FROM opened JOIN values_ v USING (key, bucket_ms)""",
+    "t4_timeout_buckets": f"""{timed_out(f"{READINGS}, {USER_ROWS}", "watermark_ms", 86_400_000)}
+SELECT key, epoch, bucket_ms, bucket_index, round(v.value, 6) AS value, emit_reason, emitted_ms
+FROM emitted JOIN values_ v USING (key, epoch, bucket_ms)""",
+    "t4_timeout_stream": RESTARTED,
+    "t9_restarted": RESTARTED,
     "t6_quiet_buckets": mean_or_latest(PEOPLE, LAST_ARRIVAL, counted=False),
     "t7_numbered": f"{JUDGED_PEOPLE}, {NUMBERED} SELECT key, bucket_ms, bucket_index FROM numbered",
     "t7_numbered_stream": NUMBERED_STREAM,

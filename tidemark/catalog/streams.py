@@ -11,7 +11,7 @@ from tidemark.session import use_stream_settings
 from tidemark.operators.enrich import enrich_keyed
 from tidemark.sources.files import stream_table
 from tidemark.sources.messages import person_readings
-from tidemark.streaming.jobs import chained, fused, keyed_stream, spread, vector_stream
+from tidemark.streaming.jobs import chained, fused, idle_vector_stream, keyed_stream, spread, vector_stream
 from tidemark.streaming.run import run_bounded, start_all, to_parquet, writer
 from tidemark.streaming.watermark import windowed, windowed_union
 from tidemark.session import scratch_path
@@ -107,9 +107,20 @@ def late_stream(spark: SparkSession, folder: str) -> DataFrame:
     return late.groupBy(F.col("key").alias("vector"), "bucket_ms").agg(F.sum("n_late").alias("n_late"))
 
 
+def timeout_stream(spark: SparkSession, folder: str) -> DataFrame:
+    """Timeouts on the clock of arrivals."""
+    readings = feeds.device_readings(_events(spark, folder))
+    out = idle_vector_stream(readings, feeds.idle_vector_settings(spark), feeds.VECTOR_CLOCK)
+    cells = run_bounded(out, "timeouts").select("*", F.explode("filled").alias("feature", "known"))
+    return cells.select(
+        F.col("key").alias("vector"), "epoch", "bucket_ms", "bucket_index", "feature", F.round("known", 6).alias("filled"), "emit_reason"
+    )
+
+
 QUERIES = {
     "w1_key_watermarks_stream": key_watermarks,
     "u1_union_stream": union_watermark,
+    "t4_timeout_stream": timeout_stream,
     "t7_numbered_stream": numbered_stream,
     "t7_spread_stream": numbered_spread,
     "t8_vectors_stream": fused_vectors,

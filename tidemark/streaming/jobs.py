@@ -9,12 +9,16 @@ from pyspark.sql import functions as F
 
 from tidemark.config import KeySettings, Lookup, VectorSettings
 from tidemark.operators.enrich import enrich_keyed, enrich_vectors
+from tidemark.operators.epochs import IdleClock
 from tidemark.operators.lookup import lookup_join
 from tidemark.operators.vectors import to_messages
+from tidemark.streaming.arrival_clock import arrival_clock
 from tidemark.streaming.processors import chained, fused, inactive
 from tidemark.streaming.spread import spread
 
-__all__ = ["chained", "fused", "spread", "inactive_stream", "keyed_stream", "vector_stream"]
+__all__ = [
+    "chained", "fused", "spread", "inactive_stream", "keyed_stream", "vector_stream", "idle_keyed_stream", "idle_vector_stream",
+]
 
 VALUE = "value"
 
@@ -93,6 +97,26 @@ def vector_stream(
     return _run(form, rows, timers, report_late, salts)
 
 
+def idle_keyed_stream(
+    readings: DataFrame, settings: KeySettings, clock: IdleClock, report_late: bool = False
+) -> DataFrame:
+    """``keyed_stream`` with timeouts on the clock of arrivals, and ``epoch`` and ``emitted_ms``."""
+    out = arrival_clock(keyed_stream_rows(readings, settings), clock, report_late)
+    return out.withColumn("value", F.col("values")[VALUE]).drop("values", "filled")
+
+
+def idle_vector_stream(
+    readings: DataFrame,
+    settings: VectorSettings,
+    clock: IdleClock,
+    report_late: bool = False,
+    only_member_buckets: bool = False,
+) -> DataFrame:
+    """``vector_stream`` with timeouts on the clock of arrivals, and ``epoch`` and ``emitted_ms``."""
+    rows = vector_stream_rows(readings, settings)
+    return arrival_clock(rows.where("is_member") if only_member_buckets else rows, clock, report_late)
+
+
 def vector_messages(emitted: DataFrame) -> DataFrame:
     """``(key, value)`` text messages of the emitted vectors."""
     return to_messages(

@@ -11,8 +11,14 @@ import pandas as pd
 from pyspark.sql.streaming.stateful_processor import StatefulProcessorHandle
 
 Values = dict[str, float | None]
+Cell = tuple[int, str]
 ARRIVAL = ["arrival_us", "tie"]
+STAGED = ["bucket_ms", "feature", "ts_us", "value", "is_member"]
 OPENED = ""
+NOTHING = (0.0, 0, 0, 0.0)
+
+# Pages of open buckets to a watermark.
+PAGES = 128
 
 
 def parse_layout(layout: str) -> dict[str, bool]:
@@ -32,67 +38,114 @@ def in_arrival_order(batches: list[pd.DataFrame], names: list[str]) -> dict[str,
     return {name: arrays[name][order] for name in names}
 
 
+class PagedCells:
+    """``(bucket, feature) -> numbers`` in state, by pages of neighbouring buckets.
+
+    A page is one state entry. A batch reads and writes the pages it needs, each once, so its
+    cost follows the buckets it touches and closes and not those that are open.
+    """
+
+    def __init__(self, handle: StatefulProcessorHandle, name: str, fields: str):
+        self.names = [f.split()[0] for f in fields.split(", ") if f]
+        lists = [f"{n} array<{t}>" for n, t in (f.split() for f in fields.split(", ") if f)]
+        schema = ", ".join(["buckets array<bigint>", "features array<string>", *lists])
+        self.map = handle.getMapState(name, "page bigint", schema)
+        self.reads = 0
+
+    @staticmethod
+    def _cells(entry) -> dict[Cell, tuple]:
+        buckets, features, *lists = entry
+        return dict(zip(zip(buckets, features), zip(*lists) if lists else [()] * len(buckets)))
+
+    def read(self, page: int) -> dict[Cell, tuple]:
+        self.reads += 1
+        entry = self.map.getValue((page,))
+        return {} if entry is None else self._cells(entry)
+
+    def read_all(self) -> dict[Cell, tuple]:
+        found: dict[Cell, tuple] = {}
+        for _, entry in self.map.iterator():
+            found.update(self._cells(entry))
+        return found
+
+    def write(self, page: int, before: dict[Cell, tuple], cells: dict[Cell, tuple]) -> None:
+        """Replace what :meth:`read` gave for the page."""
+        if cells == before:
+            return
+        if not cells:
+            self.map.removeKey((page,))
+            return
+        lists = [list(x) for x in zip(*cells.values())] or [[] for _ in self.names]
+        self.map.updateValue((page,), ([b for b, _ in cells], [f for _, f in cells], *lists))
+
+
 class BucketStage:
     """Accepts rows by the key's own lateness and emits buckets once they close.
 
-    Map entries are ``(bucket, feature) -> sum, count, latest time, latest value``;
-    an entry with an empty feature name marks a bucket as open.
+    Cells are ``(bucket, feature) -> sum, count, latest time, latest value``; a cell with an
+    empty feature name marks a bucket as open. The pages that hold cells are listed in
+    ``progress``; their width is set with the key's first rows, ``PAGES`` to a watermark.
     """
 
     def __init__(self, handle: StatefulProcessorHandle):
         self.progress = handle.getValueState(
-            "progress", "newest_ms bigint, watermark_ms bigint, layout string"
-        )
-        self.open = handle.getMapState(
-            "open",
-            "bucket_ms bigint, feature string",
-            "total double, n bigint, latest_us bigint, latest double",
+            "progress",
+            "newest_ms bigint, watermark_ms bigint, layout string, page_ms bigint, pages array<bigint>",
         )
+        self.open = PagedCells(handle, "open", "total double, n bigint, latest_us bigint, latest double")
 
     def update(self, batches: list[pd.DataFrame]) -> tuple[list[tuple[int, Values]], dict[int, int]]:
         """Take in one batch; return closed buckets in order, and late rows per bucket."""
-        rows = in_arrival_order(batches, ["bucket_ms", "feature", "ts_us", "value", "is_member"])
-        watermark = int(batches[-1]["watermark_ms"].iat[-1])
-        layout = batches[-1]["layout"].iat[-1]
-        newest = (self.progress.get() or (0,))[0]
-
+        rows = in_arrival_order(batches, STAGED)
+        emitted, _, late = self.take(rows, int(batches[-1]["watermark_ms"].iat[-1]), batches[-1]["layout"].iat[-1])
+        return emitted, late
+
+    def take(
+        self, rows: dict[str, np.ndarray], watermark: int, layout: str
+    ) -> tuple[list[tuple[int, Values]], np.ndarray, dict[int, int]]:
+        """Take in rows in arrival order. Beside :meth:`update`'s, the row that closed each bucket."""
+        newest, _, _, page_ms, listed = self.progress.get() or (0, 0, "", max(1, watermark // PAGES), [])
         bucket = rows["bucket_ms"]
         member = rows["is_member"].astype(bool)
         # Late rows never raise the maximum, so it may run over all member rows.
         seen = np.maximum.accumulate(np.r_[newest, np.where(member, bucket, 0)])
         accepted = seen[:-1] - watermark < bucket
         newest = int(seen[-1])
-        self.progress.update((newest, watermark, layout))
+        limit = newest - watermark
 
-        known = {(e[0][0], e[0][1]): tuple(e[1]) for e in self.open.iterator()}
-        merged = dict(known)
-        for start in np.unique(bucket[accepted]):
-            merged.setdefault((int(start), OPENED), (0.0, 0, 0, 0.0))
+        opened = np.unique(bucket[accepted]).tolist()
         kept = accepted & member
-        for cell, part in self._partials(*(rows[n][kept] for n in ("bucket_ms", "feature", "ts_us", "value"))):
-            merged[cell] = self._merge(merged.get(cell), part)
-
-        limit = newest - watermark
-        closed = sorted({b for b, _ in merged if b <= limit})
-        emitted = [(b, self._values(merged, b, layout)) for b in closed]
-        for cell, entry in merged.items():
-            if cell[0] > limit and known.get(cell) != entry:
-                self.open.updateValue(cell, entry)
-        for cell in known:
-            if cell[0] <= limit:
-                self.open.removeKey(cell)
+        parts = list(self._partials(*(rows[n][kept] for n in ("bucket_ms", "feature", "ts_us", "value"))))
+        touched = {b // page_ms for b in opened}
+        known = {p: self.open.read(p) for p in sorted(touched | {p for p in listed if p * page_ms <= limit})}
+        pages = {p: dict(cells) for p, cells in known.items()}
+        for b in opened:
+            pages[b // page_ms].setdefault((b, OPENED), NOTHING)
+        for cell, part in parts:
+            page = pages[cell[0] // page_ms]
+            page[cell] = self._merge(page.get(cell), part)
+
+        due = {cell: entry for cells in pages.values() for cell, entry in cells.items() if cell[0] <= limit}
+        closed = sorted({b for b, _ in due})
+        emitted = [(b, self._values(due, b, layout)) for b in closed]
+        left = set(listed)
+        for p, cells in pages.items():
+            rest = {cell: entry for cell, entry in cells.items() if cell[0] > limit}
+            self.open.write(p, known[p], rest)
+            left = left | {p} if rest else left - {p}
+        self.progress.update((newest, watermark, layout, page_ms, sorted(left)))
+        closers = np.searchsorted(seen[1:], np.array(closed, np.int64) + watermark)
         late, counts = np.unique(bucket[~accepted], return_counts=True)
-        return emitted, dict(zip(late.tolist(), counts.tolist()))
+        return emitted, closers, dict(zip(late.tolist(), counts.tolist()))
 
     def flush(self) -> list[tuple[int, Values]]:
         """Emit every open bucket in order and forget the key."""
         progress = self.progress.get()
         if progress is None:
             return []
-        layout = progress[2]
-        known = {(e[0][0], e[0][1]): tuple(e[1]) for e in self.open.iterator()}
-        emitted = [(b, self._values(known, b, layout)) for b in sorted({b for b, _ in known})]
-        self.open.clear()
+        known = self.open.read_all()
+        emitted = [(b, self._values(known, b, progress[2])) for b in sorted({b for b, _ in known})]
+        self.open.map.clear()
         self.progress.clear()
         return emitted
 
