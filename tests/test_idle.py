@@ -1,14 +1,24 @@
+import os
 import random
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
-from tests.replay import idle_frame, idle_readings, key_frame, replay_idle
+from tests.replay import idle_frame, idle_readings, key_frame, replay_idle, shaped_idle
 from tidemark.config import KeySettings, VectorSettings
 from tidemark.functions.timegrain import arrival
 from tidemark.operators.epochs import IdleClock, find_epochs
 from tidemark.plans.idle import IdleKeyedJob, IdleVectorJob
 from tidemark.plans.keyed import KeyedJob
+from tidemark.sources.files import stream_folder
+from tidemark.streaming import stages
+from tidemark.streaming.jobs import idle_vector_stream
+from tidemark.streaming.run import run_bounded
+from tidemark.streaming.stages import PAGES, BucketStage
 
 TIMEOUT, CLEANUP = 5000, 9000
 
@@ -101,3 +111,120 @@ def test_without_pauses_it_is_the_plain_job(spark):
 def test_empty_table(spark):
     rows = timed_keys(spark, [("m", 1, 1, 1)]).where("false")
     assert IdleKeyedJob(KeySettings.from_maps(spark)).numbered(rows).count() == 0
+
+
+def idle_stream(spark, folder, readings, slices):
+    """A folder with one file per micro-batch; rows within a file are not in order."""
+    size = -(-len(readings) // slices)
+    schema = pa.schema([("name", pa.string()), ("device", pa.string()), ("value", pa.float64()), ("ts_us", pa.int64()), ("at_us", pa.int64()), ("seq", pa.int64())])
+    numbered = [(*r, i) for i, r in enumerate(readings)]
+    for k, at in enumerate(range(0, len(readings), size)):
+        part = numbered[at : at + size]
+        random.Random(k).shuffle(part)
+        path = f"{folder}/part{k}.parquet"
+        pq.write_table(pa.table([pa.array(c, f.type) for c, f in zip(zip(*part), schema)], schema=schema), path)
+        os.utime(path, (1_700_000_000 + k,) * 2)
+    ddl = StructType.fromDDL("name string, device string, value double, ts_us bigint, at_us bigint, seq bigint")
+    return shaped_idle(stream_folder(spark, str(folder), ddl, files_per_trigger=1))
+
+
+def streamed(frame):
+    out = frame.where("emit_reason <> 'late'").collect()
+    return sorted(
+        ((r.key, r.epoch, r.bucket_ms, r.bucket_index, f, r["values"][f], v, r.emit_reason, r.emitted_ms) for r in out for f, v in r.filled.items()),
+        key=repr,
+    )
+
+
+@pytest.mark.parametrize("slices, delay, members", [(1, 1, False), (4, 1000, False), (40, 1, True)])
+def test_stream_equals_replay_for_any_slicing(spark, tmp_path, slices, delay, members):
+    readings = idle_readings(random.Random(slices), 160)
+    clock = IdleClock(CLEANUP, delay)
+    settings = VectorSettings.from_maps(spark, timeout_ms=TIMEOUT)
+    out = idle_vector_stream(idle_stream(spark, tmp_path, readings, slices), settings, clock, only_member_buckets=members)
+    want = replay_idle(readings, TIMEOUT, CLEANUP, False, delay, members)
+    assert streamed(run_bounded(out, "idle")) == sorted(want, key=repr)
+
+
+def test_stream_needs_a_delay(spark, tmp_path):
+    rows = idle_stream(spark, tmp_path, idle_readings(random.Random(0), 5), 1)
+    with pytest.raises(ValueError):
+        idle_vector_stream(rows, VectorSettings.from_maps(spark), IdleClock())
+
+
+class Handle:
+    """State in memory, with the calls that the stages make."""
+
+    class Value:
+        def __init__(self):
+            self.value = None
+
+        def get(self):
+            return self.value
+
+        def update(self, value):
+            self.value = value
+
+        def clear(self):
+            self.value = None
+
+    class Map(dict):
+        def getValue(self, key):
+            return self.get(key)
+
+        def updateValue(self, key, value):
+            self[key] = value
+
+        def removeKey(self, key):
+            del self[key]
+
+        def iterator(self):
+            return iter(self.items())
+
+    def getValueState(self, name, schema):
+        return self.Value()
+
+    def getMapState(self, name, key, value):
+        return self.Map()
+
+
+def arrays(buckets, feature="a"):
+    n = len(buckets)
+    return {
+        "bucket_ms": np.array(buckets, np.int64), "feature": np.array([feature] * n), "ts_us": np.array(buckets, np.int64) * 1000,
+        "value": np.arange(n, dtype=float), "is_member": np.ones(n, bool),
+    }
+
+
+def test_reads_follow_touched_and_closed_buckets():
+    """One key with 100,000 open buckets: a batch reads as few pages as with a hundred."""
+    reads = {}
+    for n in (100, 100_000):
+        stage = BucketStage(Handle())
+        allowance = n * 1000
+        stage.take(arrays([1000 * i for i in range(1, n)]), allowance, "a=false")
+        stage.open.reads = 0
+        emitted, closers, late = stage.take(arrays([1000 * n, 1000 * (n + 1)]), allowance, "a=false")
+        assert [b for b, _ in emitted] == [1000] and closers.tolist() == [1] and not late
+        reads[n] = stage.open.reads
+        assert len(stage.open.map) <= PAGES + 2
+        rest = [b for b, _ in stage.flush()]
+        assert rest == [1000 * i for i in range(2, n + 2)]
+    assert reads[100_000] <= reads[100] + 1 and reads[100_000] <= 4
+
+
+@pytest.mark.parametrize("seed", range(5))
+def test_pages_change_nothing(monkeypatch, seed):
+    """The same buckets, closers and late counts for pages of any width."""
+    results = []
+    for pages in (1, 7, 128, 10**9):
+        rng = random.Random(seed)
+        monkeypatch.setattr(stages, "PAGES", pages)
+        stage, got = BucketStage(Handle()), []
+        for step in range(30):
+            batch = arrays([rng.randrange(-40, 60) * 500 + step * 4000 for _ in range(rng.randrange(1, 9))])
+            batch["is_member"] = np.array([rng.random() < 0.8 for _ in batch["value"]])
+            emitted, closers, late = stage.take(batch, 7000, "a=true")
+            got.append((emitted, closers.tolist(), late))
+        results.append((got, stage.flush()))
+    assert all(r == results[0] for r in results)

@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
 from tidemark.streaming.processors import CLEANUP_MS, NUMBERED_ROWS, _late_frame, _numbered_frame
-from tidemark.streaming.stages import ARRIVAL, OPENED, Alarm, CarryStage, Values, parse_layout
+from tidemark.streaming.stages import ARRIVAL, OPENED, PAGES, Alarm, CarryStage, PagedCells, Values, parse_layout
 
 SALTS = 8
 
@@ -64,14 +64,16 @@ class ClosingProcessor(StatefulProcessor):
         self.salts, self.timers = salts, timers
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.progress = handle.getValueState("progress", "newest_ms bigint, layout string")
-        self.open = handle.getMapState("open", "bucket_ms bigint", "open boolean")
+        self.progress = handle.getValueState(
+            "progress", "newest_ms bigint, layout string, page_ms bigint, pages array<bigint>"
+        )
+        self.open = PagedCells(handle, "open", "")
         self.alarm = Alarm(handle, "flush_at")
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
         marks = pd.concat(list(rows), ignore_index=True)
         watermark, layout = int(marks["watermark_ms"].iloc[-1]), marks["layout"].iloc[-1]
-        newest = self.progress.get()[0] if self.progress.exists() else 0
+        newest, _, page_ms, listed = self.progress.get() or (0, "", max(1, watermark // PAGES), [])
         if self.timers:
             now = timerValues.getCurrentProcessingTimeInMs()
             self.alarm.set(now + int(marks["timeout_ms"].iloc[-1]), set())
@@ -84,8 +86,7 @@ class ClosingProcessor(StatefulProcessor):
         # First arrival of any member bucket at or beyond each position.
         ahead = sorted(member)
         closing_from = list(accumulate((member[b] for b in reversed(ahead)), min))[::-1]
-        known = {e[0][0] for e in self.open.iterator()}
-        opened = set(known)
+        opened = set()
         for bucket, arrived in seen.items():
             at = bisect_left(ahead, bucket + watermark)
             closing = closing_from[at] if at < len(ahead) else None
@@ -96,13 +97,21 @@ class ClosingProcessor(StatefulProcessor):
             if closing is not None:
                 cuts[bucket] = closing
         newest = max([newest, *member])
-        self.progress.update((newest, layout))
+        limit = newest - watermark
 
-        due = sorted(b for b in opened if b <= newest - watermark)
-        for bucket in opened - known - set(due):
-            self.open.updateValue((bucket,), (True,))
-        for bucket in known.intersection(due):
-            self.open.removeKey((bucket,))
+        pages: dict[int, set[int]] = {p: set() for p in listed if p * page_ms <= limit}
+        for bucket in opened:
+            pages.setdefault(bucket // page_ms, set()).add(bucket)
+        due, left = [], set(listed)
+        for page, new in pages.items():
+            known = self.open.read(page)
+            cells = known | {(b, OPENED): () for b in new}
+            due += [b for b, _ in cells if b <= limit]
+            rest = {cell: () for cell in cells if cell[0] > limit}
+            self.open.write(page, known, rest)
+            left = left | {page} if rest else left - {page}
+        due.sort()
+        self.progress.update((newest, layout, page_ms, sorted(left)))
         out = self._orders(key[0], layout, cuts, due, CLOSED)
         if len(out):
             yield out
@@ -112,8 +121,8 @@ class ClosingProcessor(StatefulProcessor):
         if not self.progress.exists():
             return
         layout = self.progress.get()[1]
-        due = sorted(e[0][0] for e in self.open.iterator())
-        self.open.clear()
+        due = sorted(b for b, _ in self.open.read_all())
+        self.open.map.clear()
         self.progress.clear()
         out = self._orders(key[0], layout, {}, due, TIMEOUT)
         if len(out):
@@ -143,13 +152,14 @@ class ClosingProcessor(StatefulProcessor):
 
 
 class PartProcessor(StatefulProcessor):
-    """Per (key, salt): adds up accepted readings until told to hand over."""
+    """Per (key, salt): adds up accepted readings until told to hand over.
+
+    Every bucket is a page of its own: a batch reads those it has rows or orders for.
+    """
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.cells = handle.getMapState(
-            "cells",
-            "bucket_ms bigint, feature string",
-            "total double, n bigint, ts_us bigint, arrival_us bigint, tie bigint, value double",
+        self.cells = PagedCells(
+            handle, "cells", "total double, n bigint, ts_us bigint, arrival_us bigint, tie bigint, value double"
         )
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
@@ -169,18 +179,17 @@ class PartProcessor(StatefulProcessor):
             late = concerned[is_late].groupby("bucket_ms").size()
             data = data.drop(concerned.index[is_late])
 
-        known = {(e[0][0], e[0][1]): tuple(e[1]) for e in self.cells.iterator()}
-        cells = dict(known)
+        parts: dict[int, dict] = {b: {} for b in due}
         for cell, part in summed(data[data["feature"] != OPENED]):
-            cells[cell] = merge_parts(cells.get(cell), part)
+            parts.setdefault(cell[0], {})[cell] = part
         out = []
-        for cell, entry in cells.items():
-            if cell[0] in due:
-                out.append((key[0], *cell, PART, *entry, None))
-                if cell in known:
-                    self.cells.removeKey(cell)
-            elif known.get(cell) != entry:
-                self.cells.updateValue(cell, entry)
+        for bucket, new in parts.items():
+            known = self.cells.read(bucket)
+            cells = known | {cell: merge_parts(known.get(cell), part) for cell, part in new.items()}
+            if bucket in due:
+                out += [(key[0], *cell, PART, *entry, None) for cell, entry in cells.items()]
+                cells = {}
+            self.cells.write(bucket, known, cells)
         if int(key[1]) == 0:
             out += [(key[0], b, OPENED, kind, *NOTHING, text) for b, (kind, text) in due.items()]
         out += [(key[0], b, OPENED, LATE, 0.0, n, *NOTHING[2:], None) for b, n in late.items()]
