@@ -5,18 +5,19 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.parquet as pq
 import pytest
+from pyspark.errors import StreamingQueryException
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from tests.replay import idle_frame, idle_readings, key_frame, replay_idle, shaped_idle
+from tests.replay import idle_frame, idle_readings, key_frame, random_readings, replay_idle, replay_vectors, shaped_idle
 from tidemark.config import KeySettings, VectorSettings
 from tidemark.functions.timegrain import arrival
 from tidemark.operators.epochs import IdleClock, find_epochs
 from tidemark.plans.idle import IdleKeyedJob, IdleVectorJob
 from tidemark.plans.keyed import KeyedJob
 from tidemark.sources.files import stream_folder
-from tidemark.streaming import stages
-from tidemark.streaming.jobs import idle_vector_stream
+from tidemark.streaming import side_output, stages
+from tidemark.streaming.jobs import idle_vector_stream, vector_stream_with_late_rows
 from tidemark.streaming.run import run_bounded
 from tidemark.streaming.stages import PAGES, BucketStage
 
@@ -205,7 +206,7 @@ def test_reads_follow_touched_and_closed_buckets():
         stage.take(arrays([1000 * i for i in range(1, n)]), allowance, "a=false")
         stage.open.reads = 0
         emitted, closers, late = stage.take(arrays([1000 * n, 1000 * (n + 1)]), allowance, "a=false")
-        assert [b for b, _ in emitted] == [1000] and closers.tolist() == [1] and not late
+        assert [b for b, _ in emitted] == [1000] and closers.tolist() == [1] and not late.any()
         reads[n] = stage.open.reads
         assert len(stage.open.map) <= PAGES + 2
         rest = [b for b, _ in stage.flush()]
@@ -225,6 +226,41 @@ def test_pages_change_nothing(monkeypatch, seed):
             batch = arrays([rng.randrange(-40, 60) * 500 + step * 4000 for _ in range(rng.randrange(1, 9))])
             batch["is_member"] = np.array([rng.random() < 0.8 for _ in batch["value"]])
             emitted, closers, late = stage.take(batch, 7000, "a=true")
-            got.append((emitted, closers.tolist(), late))
+            got.append((emitted, closers.tolist(), late.tolist()))
         results.append((got, stage.flush()))
     assert all(r == results[0] for r in results)
+
+
+def test_late_rows_once_after_a_stop_between_the_writes(spark, tmp_path, monkeypatch):
+    readings = random_readings(random.Random(5), 200)
+    (tmp_path / "in").mkdir()
+    timed = [(*r, i * 1000) for i, r in enumerate(readings)]
+    stream = idle_stream(spark, tmp_path / "in", timed, 5)
+    base, put, failed = str(tmp_path), side_output.put_batch, []
+
+    def stops(part, path, batch_id):
+        if path.endswith("late") and batch_id == 2 and not failed:
+            failed.append(batch_id)
+            raise RuntimeError("stopped between the writes")
+        put(part, path, batch_id)
+
+    monkeypatch.setattr(side_output, "put_batch", stops)
+    settings = VectorSettings.from_maps(spark)
+    for _ in range(2):
+        both = vector_stream_with_late_rows(stream, settings, timers=False)
+        query = side_output.write_both(both, "both", f"{base}/checkpoint", f"{base}/emitted", f"{base}/late", "bounded")
+        try:
+            query.awaitTermination()
+        except StreamingQueryException:
+            assert failed
+    assert failed == [2]
+    emitted = side_output.read_batches(spark, side_output.emitted_schema(both), f"{base}/emitted").collect()
+    late = side_output.read_batches(spark, side_output.late_schema(both), f"{base}/late").collect()
+    rows, counts = replay_vectors(readings)
+    got = [(r.key, r.bucket_ms, r.bucket_index, f, r["values"][f], v) for r in emitted for f, v in r.filled.items()]
+    assert sorted(got, key=repr) == sorted(rows, key=repr)
+    assert {k: sum(r.key == k for r in late) for k in counts} == counts and sum(counts.values()) > 10
+    for r in late:
+        name, _, value, ts_us = readings[r.tie]
+        assert (r.feature, r.value, r.ts_us) == (name, value, ts_us)
+    assert len({(r.key, r.tie) for r in late}) == len(late)

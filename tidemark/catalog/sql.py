@@ -253,6 +253,8 @@ SELECT e.key AS vector, e.epoch, e.bucket_ms, e.bucket_index, m.feature,
 FROM emitted e JOIN vector_feature m ON m.vector = e.key
 LEFT JOIN values_ v ON v.key = e.key AND v.epoch = e.epoch AND v.bucket_ms = e.bucket_ms AND v.feature = m.feature"""
 
+LATE_ROWS = f"{JUDGED_PEOPLE} SELECT key, event_id, bucket_ms, value FROM judged WHERE NOT accepted"
+
 SQL = {
     "s2_decode": "SELECT event_id, event_type AS key, props AS json_value FROM events",
     "s3_broker_time": f"""WITH {READINGS}
@@ -338,7 +340,8 @@ SELECT key AS vector, bucket_ms, feature, round(filled, 6) AS filled, emit_reaso
     "t11_late_counts": f"""WITH {VECTOR_ROWS}, {JUDGED}
 SELECT key AS vector, count(*) FILTER (accepted) AS n_accepted, count(*) FILTER (NOT accepted) AS n_late
 FROM judged GROUP BY key""",
-    "t11_late_rows": f"{JUDGED_PEOPLE} SELECT key, event_id, bucket_ms, value FROM judged WHERE NOT accepted",
+    "t11_late_rows": LATE_ROWS,
+    "t11_late_rows_stream": LATE_ROWS,
     "t11_late_stream": f"""WITH {VECTOR_ROWS}, {JUDGED}
 SELECT key AS vector, bucket_ms, count(*) AS n_late FROM judged WHERE NOT accepted GROUP BY key, bucket_ms""",
     "o3_open_buckets": f"""WITH {VECTOR_ROWS}, {JUDGED}

@@ -11,8 +11,9 @@ from tidemark.session import use_stream_settings
 from tidemark.operators.enrich import enrich_keyed
 from tidemark.sources.files import stream_table
 from tidemark.sources.messages import person_readings
-from tidemark.streaming.jobs import chained, fused, idle_vector_stream, keyed_stream, spread, vector_stream
+from tidemark.streaming.jobs import chained, fused, idle_vector_stream, keyed_stream, keyed_stream_with_late_rows, spread, vector_stream
 from tidemark.streaming.run import run_bounded, start_all, to_parquet, writer
+from tidemark.streaming.side_output import late_schema, read_batches, write_both
 from tidemark.streaming.watermark import windowed, windowed_union
 from tidemark.session import scratch_path
 
@@ -117,6 +118,16 @@ def timeout_stream(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def late_rows_stream(spark: SparkSession, folder: str) -> DataFrame:
+    """Late readings as rows, written beside the emitted buckets by the same stateful pass."""
+    readings = person_readings(feeds.person_columns(_events(spark, folder)))
+    both = keyed_stream_with_late_rows(readings, feeds.people_settings(spark), timers=False)
+    base = scratch_path(spark, "late-rows")
+    write_both(both, "late-rows", f"{base}/checkpoint", f"{base}/emitted", f"{base}/late", "bounded").awaitTermination()
+    late = read_batches(spark, late_schema(both), f"{base}/late")
+    return late.select("key", F.col("tie").alias("event_id"), "bucket_ms", "value")
+
+
 QUERIES = {
     "w1_key_watermarks_stream": key_watermarks,
     "u1_union_stream": union_watermark,
@@ -129,4 +140,5 @@ QUERIES = {
     "t8_spread_stream": spread_vectors,
     "t12_chained_stream": chained_vectors,
     "t11_late_stream": late_stream,
+    "t11_late_rows_stream": late_rows_stream,
 }

@@ -23,7 +23,7 @@ from pyspark.sql.streaming.stateful_processor import StatefulProcessor, Stateful
 
 from tidemark.operators.epochs import IdleClock
 from tidemark.streaming.processors import NUMBERED_ROWS
-from tidemark.streaming.stages import STAGED, Alarm, BucketStage, CarryStage, Values, in_arrival_order
+from tidemark.streaming.stages import STAGED, Alarm, BucketStage, CarryStage, Values, count_by_bucket, in_arrival_order
 
 IDLE_ROWS = f"{NUMBERED_ROWS}, epoch bigint, emitted_ms bigint"
 
@@ -61,9 +61,9 @@ class ArrivalClockProcessor(StatefulProcessor):
                 out += [(b, v, int(newest[start]) + timeout, "timeout", epoch) for b, v in self.buckets.flush()]
                 epoch += 1
             part = {name: arrays[name][start:stop] for name in STAGED}
-            closed, closers, n_late = self.buckets.take(part, watermark, layout)
+            closed, closers, is_late = self.buckets.take(part, watermark, layout)
             out += [(b, v, int(at[start + i]), "closed", epoch) for (b, v), i in zip(closed, closers)]
-            late += [(b, n, epoch) for b, n in n_late.items()]
+            late += [(b, n, epoch) for b, n in count_by_bucket(part["bucket_ms"][is_late]).items()]
         yield from self._emit(key[0], out, emitted_ms, int(newest[-1]), epoch)
         self.flush_alarm.set(int(newest[-1]) + timeout, {self.cleanup_alarm.at()} - {None})
         if late and self.report_late:

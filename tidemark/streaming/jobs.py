@@ -13,7 +13,8 @@ from tidemark.operators.epochs import IdleClock
 from tidemark.operators.lookup import lookup_join
 from tidemark.operators.vectors import to_messages
 from tidemark.streaming.arrival_clock import arrival_clock
-from tidemark.streaming.processors import chained, fused, inactive
+from tidemark.streaming.processors import CLEANUP_MS, chained, fused, inactive
+from tidemark.streaming.side_output import with_late_rows
 from tidemark.streaming.spread import spread
 
 __all__ = [
@@ -117,6 +118,20 @@ def idle_vector_stream(
     return arrival_clock(rows.where("is_member") if only_member_buckets else rows, clock, report_late)
 
 
+def keyed_stream_with_late_rows(
+    readings: DataFrame, settings: KeySettings, timers: bool = True, cleanup_ms: int = CLEANUP_MS
+) -> DataFrame:
+    """Emitted buckets and late readings of the one-value job in one stream; see ``write_both``."""
+    return with_late_rows(keyed_stream_rows(readings, settings), timers, cleanup_ms)
+
+
+def vector_stream_with_late_rows(
+    readings: DataFrame, settings: VectorSettings, timers: bool = True, cleanup_ms: int = CLEANUP_MS
+) -> DataFrame:
+    """Emitted buckets and late readings of the vector job in one stream; see ``write_both``."""
+    return with_late_rows(vector_stream_rows(readings, settings), timers, cleanup_ms)
+
+
 def vector_messages(emitted: DataFrame) -> DataFrame:
     """``(key, value)`` text messages of the emitted vectors."""
     return to_messages(

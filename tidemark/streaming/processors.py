@@ -94,17 +94,19 @@ class FusedProcessor(_Timed):
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
         batches = list(rows)
         emitted, late = self.buckets.update(batches)
-        if self.timers:
-            now = timerValues.getCurrentProcessingTimeInMs()
-            timeout = int(batches[-1]["timeout_ms"].iloc[-1])
-            self._arm(self.flush_alarm, self.cleanup_alarm, now + timeout)
-            if emitted:
-                self._arm(self.cleanup_alarm, self.flush_alarm, now + self.cleanup_ms)
+        self._rearm(timerValues, int(batches[-1]["timeout_ms"].iloc[-1]), bool(emitted))
         if emitted:
             yield _numbered_frame(key[0], emitted, self.carry, "closed")
         if late and self.report_late:
             yield _late_frame(key[0], late, numbered=True)
 
+    def _rearm(self, timerValues, timeout_ms: int, emitted: bool) -> None:
+        if self.timers:
+            now = timerValues.getCurrentProcessingTimeInMs()
+            self._arm(self.flush_alarm, self.cleanup_alarm, now + timeout_ms)
+            if emitted:
+                self._arm(self.cleanup_alarm, self.flush_alarm, now + self.cleanup_ms)
+
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         expired = expiredTimerInfo.getExpiryTimeInMs()
         flush_at, cleanup_at = self.flush_alarm.at(), self.cleanup_alarm.at()

@@ -38,6 +38,11 @@ def in_arrival_order(batches: list[pd.DataFrame], names: list[str]) -> dict[str,
     return {name: arrays[name][order] for name in names}
 
 
+def count_by_bucket(bucket: np.ndarray) -> dict[int, int]:
+    found, counts = np.unique(bucket, return_counts=True)
+    return dict(zip(found.tolist(), counts.tolist()))
+
+
 class PagedCells:
     """``(bucket, feature) -> numbers`` in state, by pages of neighbouring buckets.
 
@@ -98,12 +103,12 @@ class BucketStage:
         """Take in one batch; return closed buckets in order, and late rows per bucket."""
         rows = in_arrival_order(batches, STAGED)
         emitted, _, late = self.take(rows, int(batches[-1]["watermark_ms"].iat[-1]), batches[-1]["layout"].iat[-1])
-        return emitted, late
+        return emitted, count_by_bucket(rows["bucket_ms"][late])
 
     def take(
         self, rows: dict[str, np.ndarray], watermark: int, layout: str
-    ) -> tuple[list[tuple[int, Values]], np.ndarray, dict[int, int]]:
-        """Take in rows in arrival order. Beside :meth:`update`'s, the row that closed each bucket."""
+    ) -> tuple[list[tuple[int, Values]], np.ndarray, np.ndarray]:
+        """Take in rows in arrival order: closed buckets, the row that closed each, which rows are late."""
         newest, _, _, page_ms, listed = self.progress.get() or (0, 0, "", max(1, watermark // PAGES), [])
         bucket = rows["bucket_ms"]
         member = rows["is_member"].astype(bool)
@@ -135,8 +140,7 @@ class BucketStage:
             left = left | {p} if rest else left - {p}
         self.progress.update((newest, watermark, layout, page_ms, sorted(left)))
         closers = np.searchsorted(seen[1:], np.array(closed, np.int64) + watermark)
-        late, counts = np.unique(bucket[~accepted], return_counts=True)
-        return emitted, closers, dict(zip(late.tolist(), counts.tolist()))
+        return emitted, closers, ~accepted
 
     def flush(self) -> list[tuple[int, Values]]:
         """Emit every open bucket in order and forget the key."""
