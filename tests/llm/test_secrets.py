@@ -41,43 +41,117 @@ def test_patterns_against_python(spark, documents):
     assert found == {expected(*r) for r in rows}
 
 
-def random_string(rng, n):
-    return "".join(rng.choice(S.ALPHABET) for _ in range(n))
-
-
-def test_models_add_random_strings_and_leave_words(spark):
+TOKEN_CHARACTERS = S.ALPHABET + S.SEPARATORS
+LETTERS = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz"
+DIGITS = "0123456789"
+
+
+def random_string(rng, n, alphabet=TOKEN_CHARACTERS):
+    return "".join(rng.choice(alphabet) for _ in range(n))
+
+
+def key_kinds(rng):
+    """Nine kinds of keys that no pattern knows."""
+    mixed = LETTERS + DIGITS
+    return {
+        "mixed32": lambda: random_string(rng, 32, mixed), "ghp": lambda: "ghp_" + random_string(rng, 36, mixed),
+        "sk_live": lambda: "sk_live_" + random_string(rng, 24, mixed), "upper24": lambda: random_string(rng, 24, LETTERS[:26] + DIGITS),
+        "base64": lambda: random_string(rng, 44, mixed + "+/"), "mixed16": lambda: random_string(rng, 16, mixed),
+        "lower20": lambda: random_string(rng, 20, LETTERS[26:] + DIGITS),
+        "xoxb": lambda: "xoxb-" + "-".join([random_string(rng, 12, DIGITS), random_string(rng, 24, mixed)]),
+        "path": lambda: "releases/download/installation/packages/" + random_string(rng, 24, mixed),
+    }
+
+
+def plain_names(rng, words):
+    """Ordinary identifiers made of the table's own words, and UUIDs."""
+    w = lambda: rng.choice(words)
+    styles = [
+        lambda: f"{w()}_{w()}_{rng.randrange(100)}", lambda: w() + w().title() + w().title(), lambda: f"{w()}{rng.randrange(2030)}",
+        lambda: f"src/{w()}/{w()}_test", lambda: f"{w().upper()}_{w().upper()}_{rng.randrange(10)}",
+        lambda: f"{w()}-{w()}-v{rng.randrange(10)}", lambda: f"2024-{rng.randrange(10, 13)}-{rng.randrange(10, 29)}T{rng.randrange(10, 24)}",
+        lambda: "-".join(random_string(rng, n, "0123456789abcdef") for n in (8, 4, 4, 4, 12)),
+    ]
+    return [rng.choice(styles)() for _ in range(2000)]
+
+
+def test_planted_keys_are_found_however_many(spark):
+    """900 keys of nine kinds beside 10,000 documents, and 2000 ordinary identifiers."""
     rng = random.Random(4)
-    syllables = ["ing", "the", "ver", "ent", "tion", "al", "er", "in", "re", "con"]
-    words = lambda n: " ".join("".join(rng.choice(syllables) for _ in range(rng.randrange(1, 12))) for _ in range(n))
-    rows = [(i, f"{words(60)} token={random_string(rng, 30)} {words(5)}") for i in range(200)]
-    planted = {1000 + i: random_string(rng, 40) for i in range(30)}
-    rows += [(i, f"{words(30)} {s} {words(30)}") for i, s in planted.items()]
-    found = S.scan(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()
-    added = {(r.doc_id, s.value) for r in found for s in r.added}
-    clean = {(i, s) for i, s in added if planted.get(i) != s}
-    assert len(added - clean) >= 28 and not clean
-    for r in found:
-        text = dict(rows)[r.doc_id]
-        assert all(text[s.start : s.end] == s.value for s in r.added)
+    docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet").select("doc_id", "text")
+    words = sorted({w.lower() for r in docs.limit(200).collect() for w in re.findall("[A-Za-z]{3,9}", r.text or "")})
+    kinds = key_kinds(rng)
+    planted = {1_000_000 + i: (kind, make()) for i, (kind, make) in enumerate([k for k in kinds.items() for _ in range(100)])}
+    names = {2_000_000 + i: name for i, name in enumerate(plain_names(rng, words))}
+    rows = [(i, f"{rng.choice(words)} {key} {rng.choice(words)}") for i, (_, key) in planted.items()]
+    rows += [(i, f"{rng.choice(words)} {name} {rng.choice(words)}") for i, name in names.items()]
+    more = spark.createDataFrame(rows, "doc_id bigint, text string")
+    found = S.scan(docs.unionByName(more)).where("size(added) > 0").collect()
+    spans = {r.doc_id: r.added for r in found}
+    for kind in kinds:
+        ids = [i for i, (k, _) in planted.items() if k == kind]
+        secret = {i: planted[i][1].split("/")[-1] if kind == "path" else planted[i][1] for i in ids}
+        caught = sum(any(secret[i][-16:] in s.value for s in spans.get(i, ())) for i in ids)
+        assert caught >= 90, (kind, caught)
+    assert sum(i in spans for i in names) <= 20
+    assert sum(i < 1_000_000 for i in spans) <= 20
+    texts = dict(rows)
+    assert all(texts[i][s.start : s.end] == s.value for i, ss in spans.items() if i in texts for s in ss)
+
+
+def test_what_patterns_leave_of_a_run_is_judged(spark):
+    rng = random.Random(6)
+    key = lambda n: random_string(rng, n, LETTERS + DIGITS)
+    words = " ".join("".join(rng.choice(["the", "ing", "on", "er", "al"]) for _ in range(3)) for _ in range(400))
+    left, right = key(30), "G" + key(29)
+    rows = [(0, words), (1, f"a {left}/{'0f' * 20}/{right} b"), (2, f"x password={key(20)} y"), (3, f"Z{'0f' * 16}Z")]
+    found = {r.doc_id: r for r in S.scan(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
+    one = found[1]
+    assert [s.kind for s in one.base] == ["hex"]
+    assert {s.value.strip("/") for s in one.added} == {left, right}
+    assert not found[2].added and not found[3].added and not found[0].added
+    for s in one.added:
+        assert rows[1][1][s.start : s.end] == s.value
+        assert all(s.end <= b.start or b.end <= s.start for b in one.base)
+
+
+def test_left_over_pieces(spark):
+    """Against marking every position, for overlapping base matches too."""
+    rng = random.Random(8)
+    cases = []
+    for i in range(60):
+        start, size = rng.randrange(5), rng.randrange(8, 30)
+        base = sorted((a, a + rng.randrange(1, 9)) for a in (rng.randrange(40) for _ in range(rng.randrange(5))))
+        cases.append((i, (start, start + size, random_string(rng, size)), base))
+    schema = "i int, run struct<start:int,end:int,value:string>, base array<struct<start:int,end:int>>"
+    frame = spark.createDataFrame(cases, schema)
+    got = frame.select("i", S.left_over(F.col("run"), F.col("base")).alias("p")).collect()
+    for r in got:
+        _, (start, end, value), base = cases[r.i]
+        free = [not any(a <= k < b for a, b in base) for k in range(start, end)]
+        want = [(start + m.start(), value[m.start() : m.end()]) for m in re.finditer("1+", "".join("01"[f] for f in free))]
+        assert [tuple(p) for p in r.p] == want
 
 
 def test_ratio_against_plain_sums(spark):
     rng = random.Random(1)
-    n = len(S.ALPHABET) + 1
+    n = S.CODES
     table = [rng.uniform(-2, 2) for _ in range(n * n)]
     tokens = ["", "a", "ab", "Zx9-_/+", "é!a", random_string(rng, 500)]
     code = lambda c: S.ALPHABET.find(c) if c in S.ALPHABET else n - 1
     frame = spark.createDataFrame([(t,) for t in tokens], "t string")
     got = {r.t: r.v for r in frame.select("t", S.ratio(F.col("t"), table).alias("v")).collect()}
     for t in tokens:
-        want = sum(table[code(a) * n + code(b)] for a, b in zip(t, t[1:])) / max(1, len(t) - 1)
+        want = sum(table[code(a) * n + code(b)] for a, b in zip(t, t[1:]))
         assert math.isclose(got[t], want, abs_tol=1e-9)
 
 
 def test_ordinary_words_of_all_documents_and_whole_texts(spark):
-    rows = [(i, "ab cd token=Xy12Zw34Q") for i in range(2100)] + [(None, "of"), (5000, "word " * 5000 + "end")]
-    found = S.ordinary(spark.createDataFrame(rows, "doc_id bigint, text string")).groupBy("token").count()
-    assert dict(found.collect()) == {"ab": 2100, "cd": 2100, "of": 1, "word": 5000, "end": 1}
+    rows = [(i, "ab cdEf token=Xy12Zw34Q utf8") for i in range(2100)] + [(None, "of"), (5000, "word " * 5000 + "END"), (1, None)]
+    rows += [(6000, "4111111111111111 aB3dE6gH9 12ab x1y2z3w4 qwertzuiopqwertzuiopq")]
+    found = S.ordinary(spark.createDataFrame(rows, "doc_id bigint, text string"))
+    want = {"ab": 2100, "cdEf": 2100, "token": 2100, "utf8": 2100, "of": 1, "word": 5000, "END": 1, "4111111111111111": 1}
+    assert dict(found.collect()) == want
 
 
 @pytest.mark.parametrize("chunk", [1, 2, 256])

@@ -3,30 +3,39 @@
 *Patterns.* ``assign``, ``access`` and ``hex`` (below) are matched from the left without
 overlap, each by itself; matches that are too short are dropped.
 
-*Models.* Two first-order Markov chains over characters are trained from labelled samples:
-one on random strings - what the patterns matched in the table - and one on ordinary
-identifiers - the words of all documents outside all matches. Both are
-counts of transitions over the whole table, smoothed by how often the second character occurs at all. A run of ``TOKEN`` characters that no
-pattern touches is a secret (kind ``random``) if its log-likelihood ratio per transition
-is above ``RATIO``: with zero, if random is the likelier of the two.
-
-Everything is a Spark function over whole texts, read in one pass; the models have at most
-one number for each pair of characters, which is all that comes to the driver.
+*Models.* Two first-order Markov chains over letters and digits are trained from labelled
+samples. Random strings: what the patterns matched in the table, mixed half and half with
+uniform draws, so that kinds of keys that no pattern knows are not strange to it. Ordinary
+identifiers: the words of all documents that have the *form* of one (``ORDINARY``: words, camel
+case, capitals, numbers, each with a few digits behind at most). What could be a key has not,
+so leaked keys, however many, do not teach the model that they are ordinary.
+
+*Candidates.* Runs of 8 or more token characters with a letter and a digit, a capital within,
+or 20 characters and more; of a run that patterns touch, what they leave. A candidate is a
+secret (kind ``random``) if its log-likelihood ratio, summed over its transitions, exceeds the
+log odds of ordinary to random strings in the table plus ``CAUTION``, and ``SLOPE`` times what
+labelled random strings of its length have on average: a bound that grows with the length. If
+the whole run fails (a key at the end of a path), its parts between separators are judged.
+UUIDs are identifiers by convention and not added.
+
+Everything is a Spark function over whole texts; the models have at most one number for each
+pair of characters, which is all that comes to the driver.
 
 Positions are code points, ends exclusive. Defined cases: a null text is empty; without any
-pattern match in the table there is no model and nothing is added; rows that repeat are
-rows of their own; an empty table gives no rows. Other columns are not read.
+pattern match the random model is the uniform one; rows that repeat are rows of their own; an
+empty table gives no rows. Other columns are not read.
 """
 
 from __future__ import annotations
 
 import math
 from collections.abc import Callable
+from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import WORD, text_or_empty
+from tidemark.llm.common import text_or_empty
 from tidemark.session import materialise
 
 # Fixed patterns: expression, group whose length counts, least length.
@@ -36,10 +45,26 @@ KINDS = {
     "hex": (r"[0-9a-f]{32,}", 0, 32),  # a run of 32 or more is matched whole: the same as matching runs and dropping shorter
 }
 RANDOM = "random"
-TOKEN = r"[A-Za-z0-9+/_-]{20,}"
-RATIO = 0.0
 
-ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_-"
+LEAST = 8
+SEPARATORS = "+/_-"
+_T = "[A-Za-z0-9+/_-]"
+RUN = (
+    f"(?<!{_T})(?={_T}{{{LEAST}}})(?=[0-9+/_-]*[A-Za-z])"
+    f"(?=[A-Za-z+/_-]*[0-9]|{_T}*?[a-z][A-Z]|{_T}{{20}}){_T}+"
+)
+PART = f"[A-Za-z0-9]{{{LEAST},}}"
+UUID = "^[0-9a-fA-F]{8}-(?:[0-9a-fA-F]{4}-){3}[0-9a-fA-F]{12}$"
+ORDINARY = "^(?:[A-Z]?[a-z]{1,20}(?:[A-Z][a-z]{1,20}){0,5}[0-9]{0,4}|[A-Z]{1,20}[0-9]{0,4}|[0-9]{1,16})$"
+
+CAUTION = math.log(100)
+SLOPE = 0.3
+
+ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"
+CODES = len(ALPHABET) + 1  # other characters share the last one
+
+# In counts of transitions: the number of strings of at least LEAST characters.
+STRINGS = -1
 
 # Matches whose widths are summed together.
 CHUNK = 256
@@ -99,23 +124,42 @@ def matches(text: Column, pattern: str, group: int, least: int, kind: str, place
     return F.when(F.regexp_like(text, F.lit(pattern)), enough).otherwise(none)
 
 
+def left_over(run: Column, base: Column) -> Column:
+    """Pieces of a run outside all base matches, as (start, value). ``base`` is sorted by start."""
+    piece = lambda a, b: F.struct(
+        a.alias("start"), F.substring(run["value"], a - run["start"] + 1, b - a).alias("value")
+    )
+    none = F.array().cast("array<struct<start:int,value:string>>")
+    state = F.struct(none.alias("done"), run["start"].alias("at"))
+
+    def step(s: Column, b: Column) -> Column:
+        done = F.when(b["start"] > s["at"], F.array_append(s["done"], piece(s["at"], b["start"]))).otherwise(s["done"])
+        return F.struct(done.alias("done"), F.greatest(s["at"], b["end"]).alias("at"))
+
+    def finish(s: Column) -> Column:
+        return F.when(s["at"] < run["end"], F.array_append(s["done"], piece(s["at"], run["end"]))).otherwise(s["done"])
+
+    touched = F.filter(base, lambda b: (run["start"] < b["end"]) & (b["start"] < run["end"]))
+    return F.aggregate(touched, state, step, finish)
+
+
 def found_by_pattern(docs: DataFrame) -> DataFrame:
-    """doc_id, base (matches of the patterns) and tokens (runs that no pattern touches)."""
+    """doc_id, base (matches of the patterns) and pieces (start, value) of runs outside them."""
     text = F.col("text")
     base = F.concat(*[matches(text, p, g, n, kind, i) for i, (kind, (p, g, n)) in enumerate(KINDS.items())])
-    tokens = matches(text, TOKEN, 0, 1, RANDOM, len(KINDS))
+    runs = matches(text, RUN, 0, LEAST, RANDOM, len(KINDS))
     rows = docs.select("doc_id", text_or_empty().alias("text")).select(
-        "doc_id", F.array_sort(base).alias("base"), tokens.alias("tokens")
+        "doc_id", F.array_sort(base).alias("base"), runs.alias("runs")
     )
-    touched = lambda t, b: (t["start"] < b["end"]) & (b["start"] < t["end"])
-    free = F.filter("tokens", lambda t: ~F.exists("base", lambda b: touched(t, b)))
-    return rows.select("doc_id", "base", free.alias("tokens"))
+    pieces = F.flatten(F.transform("runs", lambda r: left_over(r, F.col("base"))))
+    fit = F.filter(pieces, lambda p: (F.char_length(p["value"]) >= LEAST) & ~F.regexp_like(p["value"], F.lit(UUID)))
+    return rows.select("doc_id", "base", fit.alias("pieces"))
 
 
 def codes(token: Column) -> Column:
     """Places of a token's characters in the alphabet, from 0; others count as one more."""
     at = lambda c: F.instr(F.lit(ALPHABET), c) - 1
-    return F.transform(F.split(token, ""), lambda c: F.pmod(at(c), F.lit(len(ALPHABET) + 1)))
+    return F.transform(F.split(token, ""), lambda c: F.pmod(at(c), F.lit(CODES)))
 
 
 def transitions(token: Column) -> Column:
@@ -123,57 +167,89 @@ def transitions(token: Column) -> Column:
 
     def pairs(c: Column) -> Column:
         rest = F.greatest(F.size(c) - 1, F.lit(0))
-        return F.zip_with(
-            F.slice(c, F.lit(1), rest), F.slice(c, F.lit(2), rest), lambda a, b: a * (len(ALPHABET) + 1) + b
-        )
+        return F.zip_with(F.slice(c, F.lit(1), rest), F.slice(c, F.lit(2), rest), lambda a, b: a * CODES + b)
 
     return let(codes(token), pairs)
 
 
 def ordinary(docs: DataFrame) -> DataFrame:
-    """token: words of all documents outside all matches, reduced to token characters."""
-    chosen = docs.select(text_or_empty().alias("text"))
-    for pattern, _, _ in KINDS.values():
-        chosen = chosen.select(F.regexp_replace("text", pattern, " ").alias("text"))
-    words = chosen.select(F.explode(F.regexp_extract_all("text", F.lit(WORD), F.lit(0))).alias("word"))
-    return words.select(F.regexp_replace("word", "[^A-Za-z0-9+/_-]", "").alias("token")).where("length(token) > 1")
-
-
-def train(found: DataFrame, docs: DataFrame) -> list[float] | None:
-    """Log-likelihood ratio of each transition; None without any labelled random string."""
-    n = len(ALPHABET) + 1
-    random = found.select(F.explode("base").alias("m")).select(F.col("m")["value"].alias("token"))
-    words = ordinary(docs)
-    counts = []
-    for tokens in (random, words):
-        each = tokens.groupBy("token").agg(F.count(F.lit(1)).alias("times"))
-        pairs = each.select("times", F.explode(transitions(F.col("token"))).alias("pair"))
-        counts.append(dict(pairs.groupBy("pair").agg(F.sum("times")).collect()))  # at most n * n rows
-    if not counts[0]:
-        return None
-    logs = []
-    for seen in counts:
-        into = [sum(seen.get(a * n + b, 0) for a in range(n)) + 1 for b in range(n)]
-        out_of = [sum(seen.get(a * n + b, 0) for b in range(n)) + n for a in range(n)]
-        share = [i / sum(into) for i in into]
-        logs.append([math.log((seen.get(i, 0) + n * share[i % n]) / out_of[i // n]) for i in range(n * n)])
-    table = [a - b for a, b in zip(*logs, strict=True)]
-    return table
+    """token, times: runs of letters and digits of all documents that have an ordinary form."""
+    tokens = docs.select(F.explode(F.split("text", "[^A-Za-z0-9]+")).alias("token")).where("token <> ''")
+    each = tokens.groupBy("token").agg(F.count(F.lit(1)).alias("times"))
+    return each.where(F.col("token").rlike(ORDINARY))
+
+
+def counted(each: DataFrame) -> dict[int, int]:
+    """How often each transition occurs in ``token, times``, and under ``STRINGS`` how many are of length.
+
+    At most one number for each pair of characters comes to the driver.
+    """
+    long = F.when(F.char_length("token") >= LEAST, F.array(F.lit(STRINGS))).otherwise(F.array().cast("array<int>"))
+    pairs = each.select("times", F.explode(F.concat(transitions(F.col("token")), long)).alias("pair"))
+    return dict(pairs.groupBy("pair").agg(F.sum("times")).collect())
+
+
+class Models(NamedTuple):
+    """Log-likelihood ratio of each transition, and the bound on their sum: least, and slope by length."""
+
+    table: list[float]
+    least: float
+    slope: float
+
+
+def _chain(seen: dict[int, int]) -> list[list[float]]:
+    """Probabilities of transitions, smoothed by how often the second character occurs at all."""
+    n = CODES
+    into = [sum(seen.get(a * n + b, 0) for a in range(n)) + 1 for b in range(n)]
+    share = [i / sum(into) for i in into]
+    out_of = [sum(seen.get(a * n + b, 0) for b in range(n)) + n for a in range(n)]
+    return [[(seen.get(a * n + b, 0) + n * share[b]) / out_of[a] for b in range(n)] for a in range(n)]
+
+
+def train(found: DataFrame, docs: DataFrame) -> Models:
+    labelled = found.select(F.explode("base").alias("m")).select(F.col("m")["value"].alias("token"))
+    random = counted(labelled.groupBy("token").agg(F.count(F.lit(1)).alias("times")))
+    usual = counted(ordinary(docs))
+    letters = range(len(ALPHABET))
+    keys, words = _chain(random), _chain(usual)
+    table = [0.0] * (CODES * CODES)  # separators tell nothing
+    for a in letters:
+        for b in letters:
+            table[a * CODES + b] = math.log((keys[a][b] + 1 / len(ALPHABET)) / 2 / words[a][b])
+    inside = [a * CODES + b for a in letters for b in letters]
+    weight = {p: random.get(p, 0) + 1 for p in inside}
+    usual_key = sum(w * table[p] for p, w in weight.items()) / sum(weight.values())
+    odds = (usual.get(STRINGS, 0) + 1) / (random.get(STRINGS, 0) + 1)
+    return Models(table, max(0.0, math.log(odds)) + CAUTION, SLOPE * max(0.0, usual_key))
 
 
 def ratio(token: Column, table: list[float]) -> Column:
-    """Log-likelihood ratio per transition."""
-    total = lambda p: F.aggregate(p, F.lit(0.0), lambda s, i: s + F.get(F.lit(table), i))
-    return let(transitions(token), lambda p: total(p) / F.greatest(F.size(p), F.lit(1)))
+    """Log-likelihood ratio, summed over the transitions."""
+    return F.aggregate(transitions(token), F.lit(0.0), lambda s, i: s + F.get(F.lit(table), i))
+
+
+def is_random(token: Column, models: Models) -> Column:
+    bound = F.greatest(F.lit(models.least), F.lit(models.slope) * (F.char_length(token) - 1))
+    return ratio(token, models.table) > bound
+
+
+def judged(piece: Column, models: Models) -> Column:
+    """Spans of a piece that are secrets: the whole of it, or else parts between separators."""
+    span = lambda start, value: F.struct(
+        start.alias("start"), F.lit(len(KINDS)).alias("place"), (start + F.char_length(value)).alias("end"),
+        F.lit(RANDOM).alias("kind"), value.alias("value"),
+    )
+    parts = F.filter(matches(piece["value"], PART, 0, LEAST, RANDOM, len(KINDS)), lambda m: is_random(m["value"], models))
+    return F.when(is_random(piece["value"], models), F.array(span(piece["start"], piece["value"]))).otherwise(
+        F.transform(parts, lambda m: span(piece["start"] + m["start"], m["value"]))
+    )
 
 
 def scan(docs: DataFrame) -> DataFrame:
     """doc_id, base and added: arrays of (start, place, end, kind, value) of every document."""
     found = materialise(found_by_pattern(docs), "matches")
-    table = train(found, docs)
-    if table is None:
-        return found.select("doc_id", "base", F.slice("tokens", 1, 0).alias("added"))
-    added = F.filter("tokens", lambda t: ratio(t["value"], table) > RATIO)
+    models = train(found, docs)
+    added = F.flatten(F.transform("pieces", lambda p: judged(p, models)))
     return found.select("doc_id", "base", added.alias("added"))
 
 
