@@ -3,6 +3,7 @@ import random
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from tests.llm.conftest import edge_rows
@@ -96,8 +97,49 @@ def test_longest_previous_factors_by_definition(seed):
 def test_prefix_ranks_order_by_bytes():
     rng = np.random.default_rng(1)
     data = np.concatenate((rng.integers(97, 99, 300, dtype=np.uint8), np.zeros(40, np.uint8)))
-    ranks = S.prefix_ranks(data, 40)[:300]
+    width, ranks = S.prefix_ranks(data, 40)[-1]
+    ranks = ranks[:300]
+    assert width == 40
     prefixes = [data[i : i + 40].tobytes() for i in range(300)]
     order = {p: k for k, p in enumerate(sorted(set(prefixes)))}
     dense = {r: k for k, r in enumerate(sorted(set(ranks.tolist())))}
     assert [dense[r] for r in ranks.tolist()] == [order[p] for p in prefixes]
+
+
+@pytest.mark.parametrize("seed", range(6))
+def test_factors_by_definition(seed):
+    """Longest earlier and later match of every window, over pieces of several texts."""
+    rng = random.Random(seed)
+    length = rng.choice([9, 20, 37, 64])
+    passages = [bytes(rng.choices(b"ab" if seed % 2 else b"abcdef", k=60)) for _ in range(3)]
+    contents = [bytes(rng.choices(b"ab", k=rng.randrange(30))) + rng.choice(passages)[rng.randrange(9) :] + b"#" * 13 for _ in range(7)]
+    piece, place, earlier, later = S.factors(contents, length)
+    windows = [(p, i, contents[p][i : i + length]) for p in range(len(contents)) for i in range(len(contents[p]) - length + 1)]
+    assert list(zip(piece.tolist(), place.tolist(), strict=True)) == [w[:2] for w in windows]
+    common = lambda x, y: next((k for k in range(length) if x[k] != y[k]), length)
+    for k, (_, _, w) in enumerate(windows):
+        assert earlier[k] == max((common(w, v) for *_, v in windows[:k]), default=0)
+        assert later[k] == max((common(w, v) for *_, v in windows[k + 1 :]), default=0)
+
+
+def test_the_arrays_decide(monkeypatch):
+    """A class that was counted twice loses nothing if the factor arrays know of no match."""
+    text = bytes(random.Random(7).choices(b"abcdef", k=450))
+    names = ["fp", "doc", "body", "a", "hash", "n", "content"]
+    leads = pa.RecordBatch.from_arrays([pa.array([v]) for v in (1, 5, 6, 0, 9, 2, text)], names=names)
+    ranges = lambda: [r for b in S._sort_suffixes(iter([leads]), 400, "none") for r in b.to_pylist()]
+    assert [(r["content"], r["later"], r["a"], r["b"]) for r in ranges()] == [(9, False, 0, 450), (9, True, 0, 450)]
+    factors = S.factors
+    monkeypatch.setattr(S, "factors", lambda c, n: tuple(x * (k < 2) for k, x in enumerate(factors(c, n))))
+    assert ranges() == []
+
+
+@pytest.mark.parametrize("crowd", [8192, 2])
+def test_first_of_repeated_rows_stays(spark, crowd):
+    passage = "".join(random.Random(3).choices("abcdef", k=900))
+    rows = [(1, passage), (1, passage), (1, passage), (2, "x" + passage), (None, "y" * 50), (None, "y" * 50), (3, "ab" * 400), (3, "ab" * 400)]
+    frame = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(4)
+    found = sorted((r.doc_id or 0, bytes(r.kept)) for r in S.cleaned(frame, keep="first", crowd=crowd).collect())
+    assert found == sorted(
+        [(1, passage.encode()), (1, b""), (1, b""), (2, b"x"), (0, b"y" * 50), (0, b"y" * 50), (3, b"ab"), (3, b"")]
+    )

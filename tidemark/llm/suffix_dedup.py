@@ -7,24 +7,28 @@ at another, in the same document or in any other. All such places are found exac
    the smallest hash in it (the leftmost on a tie). It depends on the window's content
    only, so equal windows have equal anchors at equal places. Consecutive windows with one
    anchor make a piece; pieces with different anchors share no window. Only hashes of
-   pieces (of the anchor and of the whole content) are shuffled, by anchor. Pieces of equal
-   content are repeated as a whole.
-2. *Suffix order.* Where pieces of different content share an anchor, the bytes of one
-   piece of each content are fetched. Tasks collect them to buffers of whole anchor groups
-   and sort all their suffixes by prefix doubling up to ``MIN_LENGTH`` bytes.
+   pieces (of the anchor and of the whole content) are shuffled, by anchor. Pieces that agree
+   in both are a class. Counting only tells which pieces can have a match: those of a class
+   with several, and those whose anchor has several classes.
+2. *Suffix order.* The bytes of one piece of each such class are fetched, and enter the order
+   twice if the class has several. Tasks collect them to buffers of whole anchor groups and
+   sort all their suffixes by prefix doubling; the ranks of all widths give the common prefix
+   of neighbours, up to ``MIN_LENGTH`` bytes.
 3. *Longest previous factors.* In suffix order, the previous and the next suffix with a
    smaller position give the longest earlier match of each window (and those with a larger
    position the longest later one). Windows whose earlier match has the full length are
    later copies; ``keep="first"`` removes these and keeps the first occurrence,
-   ``keep="none"`` also removes windows with a later match, so that no copy stays.
+   ``keep="none"`` also removes windows with a later match, so that no copy stays. What the
+   arrays say of a class's first copy holds for its first piece, what they say of the
+   second for all its others.
 
-An anchor with more than ``CROWD`` pieces (a common passage) is not gathered: its pieces
-are cut into narrow ranges of windows, with the hash of all bytes that the range's windows
-have in common as the new anchor, and judged again. In the last such round a range is one
-window, whose anchor is its whole content, so that counting alone decides.
+An anchor with more than ``CROWD`` pieces (a common passage) is not gathered: if its pieces are
+one class, that is fetched; else they are cut into narrow ranges of windows, with the hash of
+all bytes that the range's windows have in common as the new anchor, and judged again. In the
+last such round a range is one window, whose anchor is its whole content.
 
-Defined cases: a null text is empty; texts shorter than ``MIN_LENGTH`` lose nothing; rows
-that repeat both id and text are copies of each other; a null ``doc_id`` comes before all
+Defined cases: a null text is empty; texts shorter than ``MIN_LENGTH`` lose nothing; of rows
+that repeat both id and text the first is the earlier copy; a null ``doc_id`` comes before all
 others; an empty table gives no rows. Other columns are not read.
 """
 
@@ -34,7 +38,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm.common import BROADCAST_BYTES, settings, text_or_empty
@@ -55,7 +59,10 @@ PLACE_BITS = 20
 NO_ID = -(2**63)
 
 PIECE = "fp bigint, content bigint, doc bigint, body bigint, start bigint, size bigint, step bigint, times bigint"
-SPAN = "doc bigint, body bigint, a bigint, b bigint"
+# Pieces that can have a match; ``lead`` is the first one of its class, which has ``n`` in all.
+MEMBER = f"{PIECE}, n bigint, lead boolean"
+# Ranges of a class's bytes to go: in its first piece, or (``later``) in the others.
+RANGE = "fp bigint, content bigint, later boolean, a bigint, b bigint"
 
 _M = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9)]
 
@@ -216,20 +223,41 @@ def longest_previous_factor(order: np.ndarray, lcp: np.ndarray) -> np.ndarray:
     return np.maximum(left, right[::-1])
 
 
-def prefix_ranks(data: np.ndarray, length: int) -> np.ndarray:
-    """Rank of the ``length`` bytes from each place on, by prefix doubling; equal bytes have equal ranks.
+def prefix_ranks(data: np.ndarray, length: int) -> list[tuple[int, np.ndarray]]:
+    """Widths up to ``length``, each with the rank of that many bytes from each place on; equal bytes have equal ranks.
 
-    ``data`` ends with at least ``length`` bytes that belong to no window.
+    Prefix doubling. ``data`` ends with at least ``length`` bytes that belong to no window.
     """
     big = np.zeros(len(data) - 7, np.uint64)
     for i in range(8):
         big = (big << np.uint64(8)) | data[i : len(data) - 7 + i]
-    rank, width = _dense(big), 8
-    while width < length:
+    out = [(8, _dense(big))]
+    while out[-1][0] < length:
+        width, rank = out[-1]
         step = min(width, length - width)
         key = (rank[: len(rank) - step].astype(np.uint64) << np.uint64(32)) | rank[step:].astype(np.uint64)
-        rank, width = _dense(key), width + step
-    return rank
+        out.append((width + step, _dense(key)))
+    return out
+
+
+def common_prefixes(order: np.ndarray, data: np.ndarray, ranks: list[tuple[int, np.ndarray]]) -> np.ndarray:
+    """Common prefix of each place of ``order`` with the one before it, at most the widest of ``ranks``."""
+    if not len(order):
+        return np.zeros(0, np.int64)
+    most = ranks[-1][0]
+    i, j = order[:-1], order[1:]
+    found = np.zeros(len(i), np.int64)
+    for width, rank in reversed(ranks):
+        try_ = np.flatnonzero(found + width <= most)
+        same = rank[i[try_] + found[try_]] == rank[j[try_] + found[try_]]
+        found[try_[same]] += width
+    # What is left is shorter than the narrowest width.
+    rest = np.flatnonzero(found < most)
+    while len(rest):
+        rest = rest[data[i[rest] + found[rest]] == data[j[rest] + found[rest]]]
+        found[rest] += 1
+        rest = rest[found[rest] < most]
+    return np.concatenate(([0], found))
 
 
 def _dense(key: np.ndarray) -> np.ndarray:
@@ -240,29 +268,35 @@ def _dense(key: np.ndarray) -> np.ndarray:
     return rank
 
 
-def repeated_windows(contents: list[bytes], length: int, keep: str) -> tuple[np.ndarray, np.ndarray]:
-    """Which windows of the pieces (given in text order) are to go: piece numbers and places in them."""
+def factors(contents: list[bytes], length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """For each window of the pieces (in text order): piece, place, longest earlier and later match (``length`` at most)."""
     sizes = np.fromiter(map(len, contents), np.int64, len(contents))
     starts = np.cumsum(sizes) - sizes
     data = np.frombuffer(b"".join(contents) + b"\0" * length, np.uint8)
     n_windows = sizes - length + 1
     piece = np.repeat(np.arange(len(contents)), n_windows)
     place = np.arange(len(piece)) - np.repeat(np.cumsum(n_windows) - n_windows, n_windows)
-    rank = prefix_ranks(data, length)[starts[piece] + place]
-    # Suffixes alone with their first bytes match nothing; the others, in suffix order.
-    some = np.nonzero(np.bincount(rank)[rank] > 1)[0]
-    order = some[np.argsort(rank[some], kind="stable")]
-    ranked = rank[order]
-    lcp = np.concatenate(([0], np.where(ranked[1:] == ranked[:-1], length, 0))) if len(order) else ranked
-    out = longest_previous_factor(order, lcp) >= length
+    ranks = prefix_ranks(data, length)
+    at = starts[piece] + place
+    order = np.argsort(ranks[-1][1][at], kind="stable")
+    lcp = common_prefixes(at[order], data, ranks)
+    earlier, later = np.zeros(len(piece), np.int64), np.zeros(len(piece), np.int64)
+    earlier[order] = longest_previous_factor(order, lcp)
+    later[order] = longest_previous_factor(order.max(initial=0) - order, lcp)
+    return piece, place, earlier, later
+
+
+def repeated_windows(contents: list[bytes], length: int, keep: str) -> tuple[np.ndarray, np.ndarray]:
+    """Which windows of the pieces (given in text order) are to go: piece numbers and places in them."""
+    piece, place, earlier, later = factors(contents, length)
+    gone = earlier >= length
     if keep == "none":
-        out |= longest_previous_factor(order.max(initial=0) - order, lcp) >= length
-    gone = np.sort(order[out])
+        gone |= later >= length
     return piece[gone], place[gone]
 
 
 def _judge(batches: Iterator[pa.RecordBatch], keep: str) -> Iterator[pa.RecordBatch]:
-    """From pieces sorted by anchor, content and place: spans to go (anchor null), and pieces to fetch."""
+    """From pieces sorted by anchor, content and place: those that can have a match."""
     rest: pa.Table | None = None
     schema = pa.schema([(c.split()[0], pa.int64()) for c in PIECE.split(", ")])
     for batch in _with_end(batches):
@@ -285,26 +319,19 @@ def _with_end(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch | No
 
 
 def _judge_groups(rows: pa.Table, keep: str) -> Iterator[pa.RecordBatch]:
-    fp, content, doc, body, start, size, step, times = (c.to_numpy() for c in rows.columns)
+    columns = [c.to_numpy() for c in rows.columns]
+    if keep == "first":  # rows of the table that repeat come in where all rows do
+        new = np.ones(len(rows), bool)
+        new[1:] = np.any([np.diff(c) != 0 for c in columns], axis=0)
+        columns = [c[new] for c in columns]
+    fp, content, times = columns[0], columns[1], columns[-1]
     new_fp = np.concatenate(([True], np.diff(fp) != 0))
-    new_class = new_fp | np.concatenate(([True], np.diff(content) != 0))
-    class_of = np.cumsum(new_class) - 1
-    total = np.bincount(class_of, times)[class_of]
-    stop = start + size + step * (times - 1)
-    gone = total > 1
-    begin = start.copy()
-    if keep == "first":  # the first row of a class is sorted by place: its first occurrence stays
-        begin = np.where(new_class, start + step, start)
-        gone &= ~new_class | (times > 1)
-    group = np.cumsum(new_fp) - 1
-    n_classes = np.bincount(group, new_class)
-    fetch = new_class & (n_classes[group] > 1)
-    none = pa.nulls(int(gone.sum()), pa.int64())
-    yield _table(FOUND, [none, doc[gone], body[gone], begin[gone], stop[gone]])
-    yield _table(FOUND, [fp[fetch], doc[fetch], body[fetch], start[fetch], (start + size)[fetch]])
-
-
-FOUND = "fp bigint, doc bigint, body bigint, a bigint, b bigint"
+    lead = new_fp | np.concatenate(([True], np.diff(content) != 0))
+    class_of = np.cumsum(lead) - 1
+    total = np.bincount(class_of, times).astype(np.int64)[class_of]
+    n_classes = np.bincount(np.cumsum(new_fp) - 1, lead)[np.cumsum(new_fp) - 1]
+    can = (total > 1) | (n_classes > 1)
+    yield _table(MEMBER, [*(c[can] for c in columns), total[can], lead[can]])
 
 
 def with_content(docs: DataFrame, rows: DataFrame) -> DataFrame:
@@ -327,35 +354,38 @@ BLOOM = {
 
 
 def _sort_suffixes(batches: Iterator[pa.RecordBatch], length: int, keep: str) -> Iterator[pa.RecordBatch]:
-    """Spans to go, from fetched pieces sorted by anchor and place."""
-    rows: list[tuple[int, int, int, int, bytes]] = []
+    """Ranges of classes to go, from fp, doc, body, a, hash (of the class), n, bytes of their leads, sorted by anchor."""
+    rows: list[tuple] = []
     size = 0
 
     def flush() -> Iterator[pa.RecordBatch]:
         nonlocal rows, size
         rows.sort(key=lambda r: r[1:4])
-        piece, place = repeated_windows([r[4] for r in rows], length, keep)
+        # A class of several enters twice; what matters of its second copy is that the first one comes before.
+        number = np.repeat(np.arange(len(rows)), [1 + (r[5] > 1) for r in rows])
+        second = np.diff(number, prepend=-1) == 0
+        piece, place = repeated_windows([rows[i][6] for i in number.tolist()], length, keep)
         if len(piece):
             cut = np.concatenate(([True], (np.diff(piece) != 0) | (np.diff(place) != 1)))
             first = np.nonzero(cut)[0]
             last = np.append(first[1:], len(piece)) - 1
             at = piece[first]
-            doc, body, a = (np.array([r[k] for r in rows], np.int64)[at] for k in (1, 2, 3))
-            yield _table(SPAN, [doc, body, a + place[first], a + place[last] + length])
+            fp, content = (np.array([r[k] for r in rows], np.int64)[number[at]] for k in (0, 4))
+            yield _table(RANGE, [fp, content, second[at], place[first], place[last] + length])
         rows, size = [], 0
 
     seen: set = set()
     for batch in batches:
-        for row in zip(*(batch.column(i).to_pylist() for i in range(5)), strict=True):
+        for row in zip(*(batch.column(i).to_pylist() for i in range(7)), strict=True):
             if rows and row[0] != rows[-1][0]:
                 seen = set()
                 if size >= BUFFER:
                     yield from flush()
-            if row[1:4] in seen:  # a row of the table that repeats
+            if row[4] in seen:  # a row of the table that repeats
                 continue
-            seen.add(row[1:4])
+            seen.add(row[4])
             rows.append(row)
-            size += len(row[4])
+            size += len(row[6]) * (1 + (row[5] > 1))
     if rows:
         yield from flush()
 
@@ -384,18 +414,47 @@ def _narrow(batches: Iterator[pa.RecordBatch], width: int, length: int) -> Itera
         yield _table(PIECE, [*signed, *rest, np.zeros(len(doc), np.int64), np.ones(len(doc), np.int64)])
 
 
+def of_members(members: DataFrame, ranges: DataFrame) -> DataFrame:
+    """doc, body, a, b: the ranges of classes, moved to each piece of the class.
+
+    A piece with ``times`` > 1 stands for copies of one content that overlap at equal steps.
+    Of a class's lead only the first of these is the first copy.
+    """
+    both = members.join(ranges, ["fp", "content"])
+
+    def moved(rows: DataFrame, i: Column, j: Column) -> DataFrame:
+        at = lambda k: F.col("start") + F.col("step") * k
+        return rows.select("doc", "body", (at(i) + F.col("a")).alias("a"), (at(j) + F.col("b")).alias("b"))
+
+    zero, i, last = F.lit(0).cast("bigint"), F.col("lead").cast("bigint"), F.col("times") - 1
+    others = both.where("later AND (NOT lead OR times > 1)")
+    parts = others.where("NOT (a = 0 AND b = size)").withColumn("i", F.explode(F.sequence(i, last)))
+    return (
+        moved(both.where("lead AND NOT later"), zero, zero)
+        .unionByName(moved(others.where("a = 0 AND b = size"), i, last))
+        .unionByName(moved(parts, F.col("i"), F.col("i")))
+    )
+
+
 def spans(docs: DataFrame, length: int = MIN_LENGTH, keep: str = "first", crowd: int = CROWD) -> DataFrame:
     """doc, body, a, b: ranges of bytes to remove (they may overlap) of :func:`keyed` documents."""
     if keep not in ("first", "none"):
         raise ValueError("keep: first or none")
-    spark = docs.sparkSession
+
+    def class_ranges(leads: DataFrame) -> DataFrame:
+        named = ["fp", "doc", "body", F.col("start").alias("a"), F.expr("start + size").alias("b"), F.col("content").alias("hash"), "n"]
+        with settings(docs.sparkSession, BLOOM):
+            contents = with_content(docs, leads.select(*named)).select("fp", "doc", "body", "a", "hash", "n", "content")
+            ordered = contents.repartition("fp").sortWithinPartitions("fp", "doc", "body", "a")
+            return materialise(ordered.mapInArrow(lambda b: _sort_suffixes(b, length, keep), RANGE), "ranges")
+
     rows = materialise(pieces(docs, length), "pieces")
     found: list[DataFrame] = []
     for width in (*ROUNDS, None):
         sums = rows.groupBy("fp").agg(
-            F.count(F.lit(1)).alias("n"), F.min("content").alias("one"), F.max("content").alias("other")
-        )
-        crowds = materialise(sums.where(F.col("n") > crowd), "crowds")
+            F.count(F.lit(1)).alias("rows"), F.min("content").alias("content"), F.max("content").alias("other"),
+        )
+        crowds = materialise(sums.where(F.col("rows") > crowd), "crowds")
         n_crowds = crowds.count()
         light = rows
         if n_crowds:
@@ -403,24 +462,27 @@ def spans(docs: DataFrame, length: int = MIN_LENGTH, keep: str = "first", crowd:
             crowds = F.broadcast(crowds) if few else crowds
             light = rows.join(crowds, "fp", "left_anti")
         order = ["fp", "content", "doc", "body", "start"]
-        judged = light.repartition("fp").sortWithinPartitions(*order).mapInArrow(lambda b: _judge(b, keep), FOUND)
-        judged = materialise(judged, "judged")
-        found.append(judged.where("fp IS NULL").select("doc", "body", "a", "b"))
-        wanted = judged.where("fp IS NOT NULL")
-        with settings(spark, BLOOM):
-            contents = with_content(docs, wanted).select("fp", "doc", "body", "a", "content")
-            ordered = contents.repartition("fp").sortWithinPartitions("fp", "doc", "body", "a")
-            found.append(materialise(ordered.mapInArrow(lambda b: _sort_suffixes(b, length, keep), SPAN), "spans"))
+        members = light.repartition("fp").sortWithinPartitions(*order).mapInArrow(lambda b: _judge(b, keep), MEMBER)
+        members = materialise(members, "members")
+        found.append(of_members(members, class_ranges(members.where("lead"))))
         if not n_crowds:
             break
-        crowded = rows.join(crowds, "fp")
-        found.append(_alike(crowded.where("one = other"), keep))
+        crowded = rows.join(crowds.select("fp", F.col("content").alias("one"), "other"), "fp")
+        alike = crowded.where("one = other")
+        at = F.struct("doc", "body", "start", "size")
+        leads = alike.groupBy("fp", "content").agg(F.min(at).alias("at"), F.sum("times").alias("n"))
+        leads = materialise(leads.select("fp", "content", "at.*", "n", "at"), "leads")
+        ranges, at_lead = class_ranges(leads), leads.select("fp", "at")
+        if few:
+            ranges, at_lead = F.broadcast(ranges), F.broadcast(at_lead)
+        marked = alike.join(at_lead, "fp").withColumn("lead", at == F.col("at"))
+        found.append(of_members(marked, ranges))
         mixed = crowded.where("one <> other")
         if width is None:
             break
         every = F.explode(F.expr("transform(sequence(0L, times - 1), i -> start + i * step)"))
         single = mixed.select("fp", "doc", "body", every.alias("a"), "size").withColumn("b", F.expr("a + size"))
-        with settings(spark, BLOOM):
+        with settings(docs.sparkSession, BLOOM):
             contents = with_content(docs, single).select("fp", "doc", "body", "a", "content")
             cut = width
             rows = materialise(contents.mapInArrow(lambda b: _narrow(b, cut, length), PIECE), "pieces")
@@ -430,17 +492,6 @@ def spans(docs: DataFrame, length: int = MIN_LENGTH, keep: str = "first", crowd:
     return out
 
 
-def _alike(rows: DataFrame, keep: str) -> DataFrame:
-    """Spans of crowded pieces whose contents are all equal."""
-    stop = F.expr("start + size + step * (times - 1)")
-    if keep == "none":
-        return rows.select("doc", "body", F.col("start").alias("a"), stop.alias("b"))
-    first = rows.groupBy("fp").agg(F.min(F.struct("doc", "body", "start")).alias("first"))
-    here = F.struct("doc", "body", "start") == F.col("first")
-    kept = rows.join(first, "fp").withColumn("here", here).where("NOT here OR times > 1")
-    return kept.select("doc", "body", F.expr("if(here, start + step, start)").alias("a"), stop.alias("b"))
-
-
 def merged(ranges: list[tuple[int, int]]) -> list[tuple[int, int]]:
     out: list[tuple[int, int]] = []
     for a, b in sorted(ranges):
@@ -456,7 +507,15 @@ def cleaned(docs: DataFrame, length: int = MIN_LENGTH, keep: str = "first", crow
     rows = keyed(docs)
     gone = spans(rows, length, keep, crowd)
     by_doc = gone.groupBy("doc", "body").agg(F.sort_array(F.collect_set(F.struct("a", "b"))).alias("ranges"))
-    both = rows.join(by_doc, ["doc", "body"], "left").select("doc_id", "text", "ranges")
+    if keep == "first":  # of rows that repeat, which are all alike, all but one lose what is long enough
+        one = rows.groupBy("doc", "body").agg(F.first("doc_id").alias("doc_id"), F.first("text").alias("text"), F.count(F.lit(1)).alias("n"))
+        size = F.octet_length("text").cast("bigint")
+        whole = F.array(F.struct(F.lit(0).cast("bigint").alias("a"), size.alias("b")))
+        both = one.join(by_doc, ["doc", "body"], "left")
+        both = both.select("doc_id", "text", "ranges", F.explode(F.sequence(F.lit(1).cast("bigint"), F.col("n"))).alias("copy"))
+        both = both.select("doc_id", "text", F.when((F.col("copy") > 1) & (size >= length), whole).otherwise(F.col("ranges")).alias("ranges"))
+    else:
+        both = rows.join(by_doc, ["doc", "body"], "left").select("doc_id", "text", "ranges")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kind = pa.list_(pa.struct([("a", pa.int64()), ("b", pa.int64())]))
