@@ -1,3 +1,4 @@
+import re
 import zlib
 
 import numpy as np
@@ -109,3 +110,97 @@ def test_accepted_keeps_columns(spark, edge, empty):
     assert kept.columns == edge.columns and kept.count() == len(edge_rows())
     assert quality.accepted(edge, {"constant": np.float64(0.1)}).count() == 0
     assert quality.accepted(empty, {"constant": np.float64(1.0)}).count() == 0
+
+
+def small_toxicity(rng):
+    model = {k: v.astype(np.float64) for k, v in toxicity.new_model(rng).items()}
+    model["table"] = rng.standard_normal(model["table"].shape)
+    model["table"][0] = 0
+    for w in toxicity.WIDTHS:  # not where the rectifier bends
+        model[f"bias{w}"] = rng.uniform(0.1, 0.5, toxicity.FILTERS)
+    return model
+
+
+WORDS = [b"", b"one", b"One two-THREE four", "größe über x1 é".encode(), b"a b a b a b c", b"... ---"]
+
+
+def test_toxicity_forward_against_loops():
+    rng = np.random.default_rng(3)
+    model = small_toxicity(rng)
+    for text, got in zip(WORDS, toxicity.score(model, WORDS), strict=True):
+        words = re.findall(rb"[a-z0-9\x80-\xff]+", text.lower())
+        zero = np.zeros(toxicity.DIM)
+        embedded = [model["table"][toxicity.word_rows([w])[0][0]].sum(axis=0) for w in words]
+        embedded += [zero] * (2 * toxicity.PAD)
+        seen = []
+        for w in toxicity.WIDTHS:
+            for f in range(toxicity.FILTERS):
+                sums = [
+                    sum(embedded[i + j] @ model[f"filters{w}"][j * toxicity.DIM : (j + 1) * toxicity.DIM, f] for j in range(w))
+                    for i in range(max(1, len(words)))
+                ]
+                seen.append(max(0.0, max(sums) + model[f"bias{w}"][f]))
+        logit = np.array(seen) @ model["out"] + model["bias"]
+        assert np.isclose(got, 1 / (1 + np.exp(-logit)), atol=1e-6)
+
+
+def test_toxicity_scores_do_not_depend_on_neighbours():
+    model = small_toxicity(np.random.default_rng(4))
+    alone = np.concatenate([toxicity.score(model, [t]) for t in WORDS])
+    assert np.allclose(toxicity.score(model, WORDS), alone) and np.allclose(toxicity.score(model, WORDS[::-1]), alone[::-1])
+
+
+def test_toxicity_gradients_match_differences():
+    rng = np.random.default_rng(1)
+    model = small_toxicity(rng)
+    y = np.array([0.0, 1.0, 1.0, 0.0, 1.0, 0.0])
+
+    def loss(m):
+        p = np.clip(toxicity.score(m, WORDS), 1e-12, 1 - 1e-12)
+        return -(y * np.log(p) + (1 - y) * np.log(1 - p)).mean()
+
+    found, rows, grads = toxicity._step(model, WORDS, y)
+    table = np.zeros_like(model["table"])
+    np.add.at(table, rows, grads)
+    table[0] = 0
+    for name, gradient in {**found, "table": table}.items():
+        at = np.unravel_index(int(np.abs(gradient).argmax()), np.shape(gradient))
+        slopes = []
+        for step in (1e-5, -1e-5):
+            moved = {k: v.copy() for k, v in model.items()}
+            moved[name][at] += step
+            slopes.append(loss(moved))
+        assert np.isclose((slopes[0] - slopes[1]) / 2e-5, np.asarray(gradient)[at], rtol=0.02, atol=1e-5), name
+
+
+def test_quality_forward_against_loops():
+    rng = np.random.default_rng(5)
+    model = {k: v.astype(np.float64) for k, v in quality.new_model(rng).items()}
+    model["length"] = rng.standard_normal(quality.HIDDEN)
+    texts = [bytes(rng.integers(1, 255, n, dtype=np.uint8)) for n in (0, 1, 11, 12, 513, 1300)]
+    for text, got in zip(texts, quality.score(model, texts), strict=True):
+        padded = text + bytes(-len(text) % quality.STRIDE)
+        data = padded + bytes(2 * quality.WIDTH)
+        chunks = []
+        for a in range(0, max(1, len(padded)), quality.CHUNK):
+            starts = range(a, max(1, min(a + quality.CHUNK, len(padded))), quality.STRIDE)
+            outs = [model["embedding"][list(data[i : i + quality.WIDTH])].ravel() @ model["filters"] for i in starts]
+            chunks.append(np.maximum(np.max(outs, axis=0) + model["filter_bias"], 0))
+        both = np.concatenate((np.max(chunks, axis=0), np.mean(chunks, axis=0)))
+        size = np.log2(1 + len(text)) / 10
+        hidden = np.maximum(both @ model["hidden"] + size * model["length"] + model["hidden_bias"], 0)
+        assert np.isclose(got, 1 / (1 + np.exp(-(hidden @ model["out"] + model["out_bias"]))), atol=1e-5)
+
+
+def test_sample_fills_up_past_missing_and_long_documents(spark):
+    """Ids without a document and texts that are too long leave room for others."""
+    labels = spark.createDataFrame([(i, i % 2) for i in range(2000)], "doc_id bigint, quality int")
+    texts = [(i, "x" * (50 if i % 10 == 0 else 5000)) for i in range(1000)] + [(10, "y"), (10, "y"), (20, "z" * 9)]
+    docs = spark.createDataFrame(texts, "doc_id bigint, text string")
+    short = docs.withColumn("text", F.when(F.col("doc_id") % 10 == 1, "one").otherwise(F.col("text")))
+    first = sample(short, labels, "quality", rows=60, most_bytes=100)
+    fit = [i for i in range(1000) if i % 10 in (0, 1) and not aside(i)]
+    assert first.groupby("y").size().to_dict() == {0: 60, 1: 60} and set(first.doc_id) <= set(fit)
+    assert first.equals(sample(short.repartition(7), labels, "quality", rows=60, most_bytes=100))
+    everything = sample(short, labels, "quality", rows=900, most_bytes=100)
+    assert sorted(everything.doc_id) == fit

@@ -22,28 +22,29 @@ SCORE_CHARS = 2_000_000
 def sample(
     docs: DataFrame, labels: DataFrame, label: str, rows: int = ROWS_PER_LABEL, most_bytes: int = MOST_BYTES
 ) -> pd.DataFrame:
-    """doc_id, label, lang, text of at most ``rows`` documents of each label.
+    """doc_id, y (label), lang, text of at most ``rows`` documents of each label.
 
-    Rows whose crc32 of the id is divisible by five are never taken. Those with the
-    smallest hash of the id are, so that reruns agree; longer texts than ``most_bytes``
-    are left out of the sample (whole texts only). Labels other than 0 and 1 don't count;
-    a document with labels of both kinds doesn't either.
+    Rows whose crc32 of the id is divisible by five are never taken, and neither are texts of
+    more than ``most_bytes`` (whole texts only). Of what is left those with the smallest hash
+    of the id are, so that reruns agree and a label that has ``rows`` such documents fills its
+    part. Labels other than 0 and 1 don't count; a document with labels of both kinds doesn't
+    either, nor do null ids. Of rows that share an id one is taken, the same in every run.
     """
     known = labels.where(F.col(label).isin(0, 1) & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")))
     known = known.groupBy("doc_id").agg(F.min(label).alias("y"), F.max(label).alias("most"))
     known = known.where("y = most").select("doc_id", "y", F.xxhash64("doc_id").alias("order"))
+    lang = F.col("lang") if "lang" in docs.columns else F.lit(None).cast("string")
+    found = docs.select("doc_id", lang.alias("lang"), text_or_empty().alias("text"))
+    short = found.where(F.octet_length("text") <= most_bytes)
+    there = known.join(short.select("doc_id").distinct(), "doc_id")
     chosen = None
     for y in (0, 1):
-        few = known.where(F.col("y") == y).orderBy("order", "doc_id").limit(2 * rows)
+        few = there.where(F.col("y") == y).orderBy("order", "doc_id").limit(rows)
         chosen = few if chosen is None else chosen.unionByName(few)
-    # At most 4 * rows ids: small enough to broadcast whatever the size of the tables.
-    lang = F.col("lang") if "lang" in docs.columns else F.lit(None).cast("string")
-    found = docs.select("doc_id", lang.alias("lang"), text_or_empty().alias("text")).join(
-        F.broadcast(chosen), "doc_id"
-    )
-    found = found.where(F.octet_length("text") <= most_bytes).dropDuplicates(["doc_id"])
-    parts = [found.where(F.col("y") == y).orderBy("order", "doc_id").limit(rows).toPandas() for y in (0, 1)]
-    return pd.concat(parts, ignore_index=True)
+    # At most 2 * rows ids: small enough to broadcast whatever the size of the tables.
+    taken = short.join(F.broadcast(chosen), "doc_id").groupBy("doc_id", "y", "order")
+    one = taken.agg(F.min(F.struct(F.xxhash64("text", "lang").alias("h"), "lang", "text")).alias("one"))
+    return one.select("doc_id", "y", "one.lang", "one.text").orderBy("y", "order", "doc_id").toPandas()
 
 
 def batches(y: np.ndarray, size: int, n: int, seed: int) -> Iterator[np.ndarray]:

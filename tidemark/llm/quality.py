@@ -11,9 +11,14 @@ The network is trained on a bounded sample of labelled documents (:mod:`labelled
 Adam, from a fixed seed; scoring reads every byte of every document. Labels, language,
 source and id are no inputs.
 
-Defined cases: null and empty texts get the score of a text without any byte; a table
-without labels of both kinds gives every document the share of label 1 (0.5 without any);
-an empty table gives no rows.
+Filters look at every ``STRIDE``-th byte only, so a pattern meets them at one of ``STRIDE``
+alignments, and very short texts have few windows.
+
+Defined cases: null and empty texts get the score of a text without any byte; very long
+texts are scored whole; a score at the threshold counts as label 1; rows that repeat get one
+score each, a null ``doc_id`` is never held out; a table without labels of both kinds gives
+every document the share of label 1 (0.5 without any); an empty table gives no rows. Columns
+other than ``doc_id`` and ``text`` are not read, whatever their names.
 """
 
 from __future__ import annotations
