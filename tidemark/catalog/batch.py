@@ -106,20 +106,24 @@ def parsed_people(spark: SparkSession, folder: str) -> DataFrame:
     return typed.select("event_id", "key", "value", event_ms(F.col("timestamp")).alias("ts_ms"))
 
 
-def rejected(spark: SparkSession, folder: str) -> DataFrame:
-    """Messages damaged in four ways; each is reported with its reason."""
+def damaged(frame: DataFrame) -> DataFrame:
+    """Parsed messages of events, damaged in four ways, with their ``event_id`` as ``offset``."""
     n = F.col("offset")
     text = F.col("json_value")
-    damaged = (
+    spoilt = (
         F.when(n % 13 == 0, F.lit("garbage"))
         .when(n % 19 == 0, F.regexp_replace(text, '"device":"d[0-9]"', '"device":"d9"'))
         .when(n % 23 == 0, F.regexp_replace(text, '"name":"f[0-9]"', '"name":"f9"'))
         .when(n % 29 == 0, F.regexp_replace(text, '"value":[^,]*,', ""))
         .otherwise(text)
     )
-    whole = with_arrival(decode(records(feeds.events(spark, folder))))
-    parsed = parse(whole.withColumn("json_value", damaged), READING, "offset", "arrival")
-    tagged = tag_vectors(parsed, feeds.vector_settings(spark))
+    whole = with_arrival(decode(records(frame)))
+    return parse(whole.withColumn("json_value", spoilt), READING, "offset", "arrival")
+
+
+def rejected(spark: SparkSession, folder: str) -> DataFrame:
+    """Messages damaged in four ways; each is reported with its reason."""
+    tagged = tag_vectors(damaged(feeds.events(spark, folder)), feeds.vector_settings(spark))
     return unfit(tagged).select(F.col("offset").alias("event_id"), REJECT)
 
 

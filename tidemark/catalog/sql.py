@@ -253,6 +253,26 @@ SELECT e.key AS vector, e.epoch, e.bucket_ms, e.bucket_index, m.feature,
 FROM emitted e JOIN vector_feature m ON m.vector = e.key
 LEFT JOIN values_ v ON v.key = e.key AND v.epoch = e.epoch AND v.bucket_ms = e.bucket_ms AND v.feature = m.feature"""
 
+REJECTED = f"""WITH {READINGS}, {VECTOR_SETTINGS}
+SELECT event_id, reject_reason FROM (
+  SELECT event_id, device,
+    CASE WHEN event_id % 13 = 0 THEN 'bad_json' WHEN event_id % 19 = 0 THEN 'unknown_device'
+         WHEN event_id % 23 = 0 THEN 'unknown_feature' WHEN event_id % 29 = 0 THEN 'null_field'
+    END AS reject_reason FROM readings) r
+LEFT JOIN device_vector d ON d.device = r.device AND reject_reason NOT IN ('bad_json', 'unknown_device')
+WHERE reject_reason IS NOT NULL"""
+
+OPEN_BUCKETS = f"""WITH {VECTOR_ROWS}, {JUDGED}
+SELECT key AS vector, bucket_ms FROM opened WHERE emit_reason = 'timeout'"""
+
+# Every reading is either fit for one or two vectors, or rejected with a reason.
+PROGRESS = f"""WITH rejected AS ({REJECTED}), {VECTOR_ROWS}, {JUDGED}
+SELECT 'rejects' AS query, reject_reason AS metric, count(*) AS n FROM rejected GROUP BY ALL
+UNION ALL SELECT 'rejects', 'fit', count(*) FROM rows_ WHERE event_id NOT IN (SELECT event_id FROM rejected)
+UNION ALL SELECT 'rejects', 'rows_read', count(*) FROM events
+UNION ALL SELECT 'vectors', 'late', count(*) FROM judged WHERE NOT accepted
+UNION ALL SELECT 'vectors', 'closed', count(*) FROM opened WHERE emit_reason = 'closed'"""
+
 LATE_ROWS = f"{JUDGED_PEOPLE} SELECT key, event_id, bucket_ms, value FROM judged WHERE NOT accepted"
 
 SQL = {
@@ -265,14 +285,7 @@ FROM events""",
 SELECT event_id, feature AS name, device, value, ts_us, false AS bad_json FROM readings""",
     "s6_typed_people": f"""WITH {READINGS}
 SELECT event_id, sex AS key, floor(value) AS value, ts_ms // 1000 * 1000 AS ts_ms FROM readings""",
-    "q1_rejected": f"""WITH {READINGS}, {VECTOR_SETTINGS}
-SELECT event_id, reject_reason FROM (
-  SELECT event_id, device,
-    CASE WHEN event_id % 13 = 0 THEN 'bad_json' WHEN event_id % 19 = 0 THEN 'unknown_device'
-         WHEN event_id % 23 = 0 THEN 'unknown_feature' WHEN event_id % 29 = 0 THEN 'null_field'
-    END AS reject_reason FROM readings) r
-LEFT JOIN device_vector d ON d.device = r.device AND reject_reason NOT IN ('bad_json', 'unknown_device')
-WHERE reject_reason IS NOT NULL""",
+    "q1_rejected": REJECTED,
     "p1_rename": f"WITH {READINGS} SELECT event_id, feature, device, value FROM readings",
     "p2_struct": "SELECT event_id, event_type AS kind, value AS amount FROM events",
     "p3_cast": "SELECT event_id, floor(value) AS age FROM events",
@@ -344,6 +357,7 @@ FROM judged GROUP BY key""",
     "t11_late_rows_stream": LATE_ROWS,
     "t11_late_stream": f"""WITH {VECTOR_ROWS}, {JUDGED}
 SELECT key AS vector, bucket_ms, count(*) AS n_late FROM judged WHERE NOT accepted GROUP BY key, bucket_ms""",
-    "o3_open_buckets": f"""WITH {VECTOR_ROWS}, {JUDGED}
-SELECT key AS vector, bucket_ms FROM opened WHERE emit_reason = 'timeout'""",
+    "o3_open_buckets": OPEN_BUCKETS,
+    "o3_open_buckets_stream": OPEN_BUCKETS,
+    "s13_progress_stream": PROGRESS,
 }

@@ -6,14 +6,16 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.catalog import feeds
-from tidemark.catalog.batch import rounded
+from tidemark.catalog.batch import damaged, rounded
 from tidemark.session import use_stream_settings
-from tidemark.operators.enrich import enrich_keyed
+from tidemark.operators.enrich import REJECT, enrich_keyed, tag_vectors, unfit
 from tidemark.sources.files import stream_table
 from tidemark.sources.messages import person_readings
 from tidemark.streaming.jobs import chained, fused, idle_vector_stream, keyed_stream, keyed_stream_with_late_rows, spread, vector_stream
-from tidemark.streaming.run import run_bounded, start_all, to_parquet, writer
+from tidemark.streaming.progress import ProgressLog, observe_emitted, observe_rejects
+from tidemark.streaming.run import run_bounded, start_all, start_bounded, to_parquet, writer
 from tidemark.streaming.side_output import late_schema, read_batches, write_both
+from tidemark.streaming.state import open_buckets
 from tidemark.streaming.watermark import windowed, windowed_union
 from tidemark.session import scratch_path
 
@@ -128,6 +130,34 @@ def late_rows_stream(spark: SparkSession, folder: str) -> DataFrame:
     return late.select("key", F.col("tie").alias("event_id"), "bucket_ms", "value")
 
 
+def open_buckets_stream(spark: SparkSession, folder: str) -> DataFrame:
+    """Buckets still open after all input, from the stream's own state."""
+    readings = feeds.device_readings(_events(spark, folder))
+    out = vector_stream(readings, feeds.vector_settings(spark), timers=False)
+    base = scratch_path(spark, "open-buckets")
+    start_bounded(out, "open-buckets", base).awaitTermination()
+    return open_buckets(spark, f"{base}/checkpoint").select(F.col("key").alias("vector"), "bucket_ms")
+
+
+def progress_stream(spark: SparkSession, folder: str) -> DataFrame:
+    """Counts of rejected, late and emitted rows as two running streams have reported them."""
+    settings = feeds.vector_settings(spark)
+    tagged = observe_rejects(tag_vectors(damaged(_events(spark, folder)), settings))
+    emitted = vector_stream(feeds.device_readings(_events(spark, folder)), settings, timers=False, report_late=True)
+    log = ProgressLog()
+    spark.streams.addListener(log)
+    try:
+        frames = {"rejects": unfit(tagged).select("offset", REJECT), "vectors": observe_emitted(emitted)}
+        runs = [start_bounded(frame, name, scratch_path(spark, name)) for name, frame in frames.items()]
+        for query in runs:
+            query.awaitTermination()
+            log.wait(query.runId)
+    finally:
+        spark.streams.removeListener(log)
+    found = log.table(spark).groupBy("query", "metric").agg(F.sum("value").alias("n"))
+    return found.where("n > 0 AND NOT (query = 'vectors' AND metric = 'rows_read')")
+
+
 QUERIES = {
     "w1_key_watermarks_stream": key_watermarks,
     "u1_union_stream": union_watermark,
@@ -139,6 +169,8 @@ QUERIES = {
     "t8_members_spread_stream": member_spread,
     "t8_spread_stream": spread_vectors,
     "t12_chained_stream": chained_vectors,
+    "o3_open_buckets_stream": open_buckets_stream,
+    "s13_progress_stream": progress_stream,
     "t11_late_stream": late_stream,
     "t11_late_rows_stream": late_rows_stream,
 }

@@ -24,6 +24,11 @@ from tidemark.operators.lookup import lookup_join
 
 REJECT = "reject_reason"
 
+# All reasons, in no order that matters.
+REASONS = (
+    "bad_json", "no_arrival", "null_field", "non_finite", "unknown_key", "unknown_device", "unknown_feature",
+)
+
 
 def _first_reason(*cases: tuple[Column, str]) -> Column:
     """Name of the first condition that holds, else null."""

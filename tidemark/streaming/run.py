@@ -38,12 +38,16 @@ def to_parquet(out: DataStreamWriter, path: str, *partition_by: str) -> DataStre
     return shaped.partitionBy(*partition_by) if partition_by else shaped
 
 
+def start_bounded(frame: DataFrame, name: str, base: str) -> StreamingQuery:
+    """Start a stream over the input present now, with its checkpoint and output below ``base``."""
+    return to_parquet(writer(frame, name, f"{base}/checkpoint", "bounded"), f"{base}/out").start()
+
+
 def run_bounded(frame: DataFrame, name: str) -> DataFrame:
     """Run a stream over the input present now and return what it wrote."""
     spark = frame.sparkSession
     base = scratch_path(spark, name)
-    query = to_parquet(writer(frame, name, f"{base}/checkpoint", "bounded"), f"{base}/out").start()
-    query.awaitTermination()
+    start_bounded(frame, name, base).awaitTermination()
     return spark.read.schema(frame.schema).parquet(f"{base}/out")
 
 
