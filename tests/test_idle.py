@@ -1,15 +1,31 @@
 import os
 import random
+from types import SimpleNamespace
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.parquet as pq
 import pytest
 from pyspark.errors import StreamingQueryException
+from pyspark.sql import Row
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from tests.replay import idle_frame, idle_readings, key_frame, random_readings, replay_idle, replay_vectors, shaped_idle
+from tests.replay import (
+    LAYOUTS,
+    ROUTES,
+    STEPS,
+    WATERMARKS,
+    Replay,
+    idle_frame,
+    idle_readings,
+    key_frame,
+    random_readings,
+    replay_idle,
+    replay_vectors,
+    shaped_idle,
+    truncated,
+)
 from tidemark.config import KeySettings, VectorSettings
 from tidemark.functions.timegrain import arrival
 from tidemark.operators.epochs import IdleClock, find_epochs
@@ -17,9 +33,11 @@ from tidemark.plans.idle import IdleKeyedJob, IdleVectorJob
 from tidemark.plans.keyed import KeyedJob
 from tidemark.sources.files import stream_folder
 from tidemark.streaming import side_output, stages
-from tidemark.streaming.jobs import idle_vector_stream, vector_stream_with_late_rows
-from tidemark.streaming.run import run_bounded
+from tidemark.streaming.jobs import chained, idle_vector_stream, vector_stream, vector_stream_with_late_rows
+from tidemark.streaming.progress import ProgressLog
+from tidemark.streaming.run import run_bounded, start_bounded, to_parquet, writer
 from tidemark.streaming.stages import PAGES, BucketStage
+from tidemark.streaming.state import carried, key_progress, open_buckets, open_cells
 
 TIMEOUT, CLEANUP = 5000, 9000
 
@@ -264,3 +282,90 @@ def test_late_rows_once_after_a_stop_between_the_writes(spark, tmp_path, monkeyp
         name, _, value, ts_us = readings[r.tie]
         assert (r.feature, r.value, r.ts_us) == (name, value, ts_us)
     assert len({(r.key, r.tie) for r in late}) == len(late)
+
+
+def test_open_buckets_of_a_running_and_a_stopped_stream(spark, tmp_path):
+    readings = random_readings(random.Random(8), 120)
+    (tmp_path / "in").mkdir()
+    stream = idle_stream(spark, tmp_path / "in", [(*r, i) for i, r in enumerate(readings)], 3)
+    out = vector_stream(stream, VectorSettings.from_maps(spark), timers=False)
+    keys = {v: Replay(WATERMARKS[v], LAYOUTS[v]) for v in WATERMARKS}
+    for name, device, value, ts_us in readings:
+        for vector in ROUTES[device]:
+            keys[vector].feed(name, truncated(ts_us // 1000, STEPS[name]), ts_us, value)
+    for key in keys.values():
+        key.emit()
+    want = sorted((v, b) for v, key in keys.items() for b in key.pools)
+    checkpoint = str(tmp_path / "checkpoint")
+    query = to_parquet(writer(out, "open", checkpoint, trigger=None), str(tmp_path / "out")).start()
+    try:
+        query.processAllAvailable()
+        assert sorted(map(tuple, open_buckets(spark, checkpoint).collect())) == want
+    finally:
+        query.stop()
+        query.awaitTermination()
+    assert sorted(map(tuple, open_buckets(spark, checkpoint).collect())) == want
+    progress = {r.key: (r.newest_ms, r.watermark_ms) for r in key_progress(spark, checkpoint).collect()}
+    assert progress == {v: (key.newest, key.watermark_ms) for v, key in keys.items()}
+    early = open_buckets(spark, checkpoint, batch_id=0).count()
+    assert early > 0
+    cells = {(r.key, r.bucket_ms, r.feature): (r.n, r.total) for r in open_cells(spark, checkpoint).where("feature <> ''").collect()}
+    assert cells == {
+        (v, b, f): (len(seen), sum(x for _, x in seen)) for v, key in keys.items() for b, pool in key.pools.items() for f, seen in pool.items()
+    }
+
+
+def test_progress_table(spark, tmp_path):
+    log = ProgressLog()
+    event = SimpleNamespace(
+        progress=SimpleNamespace(
+            name="q", id="i", batchId=4, timestamp="2024-01-01T00:00:00.000Z",
+            sources=[SimpleNamespace(endOffset='{"in": {"0": 7, "1": 9}, "more": {"0": 1}}', numInputRows=5), SimpleNamespace(endOffset="3", numInputRows=2)],
+            observedMetrics={"rejected": Row(bad_json=3, fit=None)},
+        )
+    )
+    log.onQueryProgress(event)
+    rows = {tuple(r)[3:] for r in log.table(spark).collect()}
+    assert rows == {
+        (0, "in", 0, "offset", 7), (0, "in", 1, "offset", 9), (0, "more", 0, "offset", 1), (0, None, None, "rows_read", 5),
+        (1, None, None, "rows_read", 2), (None, "rejected", None, "bad_json", 3),
+    }
+    for _ in range(2):
+        log.write(spark, str(tmp_path / "progress"))
+    assert spark.read.parquet(str(tmp_path / "progress")).count() == 6 and log.table(spark).count() == 0
+    with pytest.raises(TimeoutError):
+        log.wait("no such run", seconds=0.1)
+
+
+def test_changed_settings_go_on_from_the_old_state(spark, tmp_path):
+    """Other allowances, and a vector with one more feature; the same as a replay with that change."""
+    readings = random_readings(random.Random(13), 200)
+    old = VectorSettings.from_maps(spark)
+    new_watermarks, new_layouts = {"v1": 25, "v2": 5, "v3": 30}, {**LAYOUTS, "v2": {"f3": True, "f4": True}}
+    new = VectorSettings.from_maps(
+        spark, watermarks_s=new_watermarks, vector_features={"v1": "f1,f2", "v2": "f3,f4", "v3": "f4"}
+    )
+    keys = {v: Replay(WATERMARKS[v], LAYOUTS[v]) for v in WATERMARKS}
+    want = []
+    for part, change in ((readings[:100], False), (readings[100:], True)):
+        if change:
+            for v, key in keys.items():
+                key.watermark_ms, key.layout = new_watermarks[v] * 1000, new_layouts[v]
+        for name, device, value, ts_us in part:
+            for vector in ROUTES[device]:
+                keys[vector].feed(name, truncated(ts_us // 1000, STEPS[name]), ts_us, value)
+        want += [(v, *row) for v, key in keys.items() for row in key.emit()]
+    got, initial = [], None
+    for i, (part, settings) in enumerate(((readings[:100], old), (readings[100:], new))):
+        folder = tmp_path / f"in{i}"
+        folder.mkdir()
+        timed = [(*r, 1000 * (100 * i + k)) for k, r in enumerate(part)]
+        out = vector_stream(idle_stream(spark, folder, timed, 2), settings, timers=False, initial=initial)
+        base = str(tmp_path / f"run{i}")
+        start_bounded(out, f"run{i}", base).awaitTermination()
+        rows = spark.read.schema(out.schema).parquet(f"{base}/out").collect()
+        got += [(r.key, r.bucket_ms, r.bucket_index, f, r["values"][f], v) for r in rows for f, v in r.filled.items()]
+        initial = carried(spark, f"{base}/checkpoint")
+    assert sorted(got, key=repr) == sorted(want, key=repr)
+    with pytest.raises(ValueError):
+        vector_stream(idle_stream(spark, folder, timed, 2), new, form=chained, initial=initial)

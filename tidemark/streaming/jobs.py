@@ -50,7 +50,18 @@ def vector_stream_rows(readings: DataFrame, settings: VectorSettings) -> DataFra
     return _flat(lookup_join(rows, Lookup(layouts, settings.members.size), ["key"]))
 
 
-def _run(form: Callable[..., DataFrame], rows: DataFrame, timers: bool, report_late: bool, salts: int | None):
+def _run(
+    form: Callable[..., DataFrame],
+    rows: DataFrame,
+    timers: bool,
+    report_late: bool,
+    salts: int | None,
+    initial: DataFrame | None = None,
+) -> DataFrame:
+    if initial is not None:
+        if form is not fused:
+            raise ValueError("only the fused form takes over the state of another query")
+        return fused(rows, timers, report_late, initial=initial)
     if form is not spread:
         return form(rows, timers, report_late)
     partitions = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
@@ -64,9 +75,10 @@ def keyed_stream(
     report_late: bool = False,
     form: Callable[..., DataFrame] = fused,
     salts: int | None = None,
+    initial: DataFrame | None = None,
 ) -> DataFrame:
-    """``(key, bucket_ms, bucket_index, value, emit_reason, n_late)``; forms as below."""
-    out = _run(form, keyed_stream_rows(readings, settings), timers, report_late, salts)
+    """``(key, bucket_ms, bucket_index, value, emit_reason, n_late)``; forms and ``initial`` as below."""
+    out = _run(form, keyed_stream_rows(readings, settings), timers, report_late, salts, initial)
     return out.select(
         "key",
         "bucket_ms",
@@ -85,17 +97,19 @@ def vector_stream(
     form: Callable[..., DataFrame] = fused,
     salts: int | None = None,
     only_member_buckets: bool = False,
+    initial: DataFrame | None = None,
 ) -> DataFrame:
     """``(key, bucket_ms, bucket_index, values, filled, emit_reason, n_late)``.
 
     ``form`` is :func:`fused`, :func:`chained` or, for very busy keys, :func:`spread`,
     which works on a key in ``salts`` tasks (default: as many as shuffle partitions).
     With ``only_member_buckets`` foreign features open no buckets, and are not reported
-    as late.
+    as late. ``initial`` takes over the state of a query that had other settings
+    (:func:`tidemark.streaming.state.carried`); fused form only.
     """
     rows = vector_stream_rows(readings, settings)
     rows = rows.where("is_member") if only_member_buckets else rows
-    return _run(form, rows, timers, report_late, salts)
+    return _run(form, rows, timers, report_late, salts, initial)
 
 
 def idle_keyed_stream(

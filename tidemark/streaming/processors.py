@@ -19,6 +19,8 @@ NUMBERED_ROWS = (
     f"key string, bucket_ms bigint, bucket_index int, values {VALUES}, filled {VALUES}, "
     "emit_reason string, n_late bigint"
 )
+# Kinds of rows that carry a key's state over: a cell of an open bucket, a last value, or neither.
+CELL, LAST, KEY = "cell", "last", "key"
 INACTIVE_ROWS = "key string, bucket_ms bigint, value double"
 
 
@@ -107,6 +109,26 @@ class FusedProcessor(_Timed):
             if emitted:
                 self._arm(self.cleanup_alarm, self.flush_alarm, now + self.cleanup_ms)
 
+    def handleInitialState(self, key, initialState, timerValues) -> None:
+        """Take over what :func:`tidemark.streaming.state.carried` has read of another query."""
+        cells = initialState[initialState["kind"] == CELL]
+        names = ["total", "n", "latest_us", "latest"]
+        entries = zip(cells["bucket_ms"].astype("int64"), cells["feature"], *(cells[n] for n in names))
+        known = initialState["newest_ms"].notna()
+        if known.any():
+            row = initialState[known].iloc[0]
+            self.buckets.restore(
+                int(row["newest_ms"]), int(row["watermark_ms"]), row["layout"],
+                {(int(b), f): (float(total), int(n), int(us), float(v)) for b, f, total, n, us, v in entries},
+            )
+        last = initialState[initialState["kind"] == LAST]
+        index = initialState["next_index"].dropna()
+        self.carry.restore(int(index.iloc[0]) if len(index) else None, dict(zip(last["feature"], last["latest"])))
+        if self.timers and known.any():
+            now = timerValues.getCurrentProcessingTimeInMs()
+            self._arm(self.flush_alarm, self.cleanup_alarm, now + int(row["watermark_ms"]))
+            self._arm(self.cleanup_alarm, self.flush_alarm, now + self.cleanup_ms)
+
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         expired = expiredTimerInfo.getExpiryTimeInMs()
         flush_at, cleanup_at = self.flush_alarm.at(), self.cleanup_alarm.at()
@@ -251,12 +273,22 @@ def _mode(timers: bool) -> str:
 
 
 def fused(
-    rows: DataFrame, timers: bool = True, report_late: bool = False, cleanup_ms: int = CLEANUP_MS
+    rows: DataFrame,
+    timers: bool = True,
+    report_late: bool = False,
+    cleanup_ms: int = CLEANUP_MS,
+    initial: DataFrame | None = None,
 ) -> DataFrame:
-    """Emitted buckets, numbered and filled, from stream rows with a ``layout``."""
+    """Emitted buckets, numbered and filled, from stream rows with a ``layout``.
+
+    ``initial`` is what :func:`tidemark.streaming.state.carried` has read of an earlier query,
+    which may have had other allowances and features. A restored key times out after its old
+    watermark, unless rows come before.
+    """
     return rows.groupBy("key").transformWithStateInPandas(
-        FusedProcessor(timers, report_late, cleanup_ms), NUMBERED_ROWS, "append", _mode(timers)
-    )
+        FusedProcessor(timers, report_late, cleanup_ms), NUMBERED_ROWS, "append", _mode(timers),
+        initialState=None if initial is None else initial.groupBy("key"),
+    )
 
 
 def chained(

@@ -142,6 +142,17 @@ class BucketStage:
         closers = np.searchsorted(seen[1:], np.array(closed, np.int64) + watermark)
         return emitted, closers, ~accepted
 
+    def restore(self, newest: int, watermark: int, layout: str, cells: dict[Cell, tuple]) -> None:
+        """Add open cells that another query has left."""
+        _, _, _, page_ms, listed = self.progress.get() or (0, 0, "", max(1, watermark // PAGES), [])
+        pages: dict[int, dict[Cell, tuple]] = {}
+        for cell, entry in cells.items():
+            pages.setdefault(cell[0] // page_ms, {})[cell] = entry
+        for page, new in pages.items():
+            known = self.open.read(page)
+            self.open.write(page, known, known | new)
+        self.progress.update((newest, watermark, layout, page_ms, sorted({*listed, *pages})))
+
     def flush(self) -> list[tuple[int, Values]]:
         """Emit every open bucket in order and forget the key."""
         progress = self.progress.get()
@@ -210,6 +221,13 @@ class CarryStage:
                 self.last.updateValue((feature,), (value,))
         return out
 
+    def restore(self, next_index: int | None, last: dict[str, float]) -> None:
+        """Go on where another query has stopped."""
+        if next_index is not None:
+            self.next_index.update((next_index,))
+        for feature, value in last.items():
+            self.last.updateValue((feature,), (value,))
+
     def clear(self) -> None:
         self.next_index.clear()
         self.last.clear()

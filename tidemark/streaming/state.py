@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidemark.streaming.processors import CELL, KEY, LAST
 from tidemark.streaming.stages import OPENED
 
 
@@ -40,3 +41,23 @@ def key_progress(spark: SparkSession, checkpoint: str, operator: int = 0, batch_
     """``key, newest_ms, watermark_ms, layout`` of every key that has open buckets or had rows since its last flush."""
     rows = _variable(spark, checkpoint, "progress", operator, batch_id)
     return rows.select(F.col("key.key").alias("key"), "value.newest_ms", "value.watermark_ms", "value.layout")
+
+
+def carried(spark: SparkSession, checkpoint: str, operator: int = 0) -> DataFrame:
+    """All that a stopped fused query knows, as the ``initial`` state of a new one.
+
+    A stream cannot change its settings and keep its checkpoint: the new query gets a checkpoint
+    of its own and goes on from these rows. Read them (or write them to a folder) once the old
+    query has stopped. One row per open cell and last value, each with the key's progress.
+    """
+    progress = key_progress(spark, checkpoint, operator)
+    index = _variable(spark, checkpoint, "next_index", operator, None)
+    index = index.select(F.col("key.key").alias("key"), "value.next_index")
+    last = _variable(spark, checkpoint, "last", operator, None)
+    last = last.select(
+        F.col("key.key").alias("key"), F.col("user_map_key.feature").alias("feature"), F.col("user_map_value.value").alias("latest")
+    )
+    keys = progress.select("key").union(index.select("key")).distinct().withColumn("kind", F.lit(KEY))
+    rows = keys.unionByName(open_cells(spark, checkpoint, operator).withColumn("kind", F.lit(CELL)), allowMissingColumns=True)
+    rows = rows.unionByName(last.withColumn("kind", F.lit(LAST)), allowMissingColumns=True)
+    return rows.join(progress, "key", "left").join(index, "key", "left")
