@@ -113,6 +113,9 @@ def test_factors_by_definition(seed):
     length = rng.choice([9, 20, 37, 64])
     passages = [bytes(rng.choices(b"ab" if seed % 2 else b"abcdef", k=60)) for _ in range(3)]
     contents = [bytes(rng.choices(b"ab", k=rng.randrange(30))) + rng.choice(passages)[rng.randrange(9) :] + b"#" * 13 for _ in range(7)]
+    entries = np.array(sorted(rng.choices(range(7), k=4) + list(range(7))))
+    alone = S.factors([contents[i] for i in entries], length)
+    assert all(np.array_equal(x, y) for x, y in zip(alone, S.factors(contents, length, entries), strict=True))
     piece, place, earlier, later = S.factors(contents, length)
     windows = [(p, i, contents[p][i : i + length]) for p in range(len(contents)) for i in range(len(contents[p]) - length + 1)]
     assert list(zip(piece.tolist(), place.tolist(), strict=True)) == [w[:2] for w in windows]
@@ -130,7 +133,7 @@ def test_the_arrays_decide(monkeypatch):
     ranges = lambda: [r for b in S._sort_suffixes(iter([leads]), 400, "none") for r in b.to_pylist()]
     assert [(r["content"], r["later"], r["a"], r["b"]) for r in ranges()] == [(9, False, 0, 450), (9, True, 0, 450)]
     factors = S.factors
-    monkeypatch.setattr(S, "factors", lambda c, n: tuple(x * (k < 2) for k, x in enumerate(factors(c, n))))
+    monkeypatch.setattr(S, "factors", lambda *a: tuple(x * (k < 2) for k, x in enumerate(factors(*a))))
     assert ranges() == []
 
 

@@ -268,16 +268,22 @@ def _dense(key: np.ndarray) -> np.ndarray:
     return rank
 
 
-def factors(contents: list[bytes], length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """For each window of the pieces (in text order): piece, place, longest earlier and later match (``length`` at most)."""
+def factors(contents: list[bytes], length: int, entries: np.ndarray | None = None) -> tuple[np.ndarray, ...]:
+    """For each window of the pieces (in text order): piece, place, longest earlier and later match (``length`` at most).
+
+    ``entries`` lists the pieces' contents by number, where one content is that of several pieces.
+    Its bytes are ranked once; each of its pieces has its own places in the order.
+    """
+    if entries is None:
+        entries = np.arange(len(contents))
     sizes = np.fromiter(map(len, contents), np.int64, len(contents))
     starts = np.cumsum(sizes) - sizes
     data = np.frombuffer(b"".join(contents) + b"\0" * length, np.uint8)
-    n_windows = sizes - length + 1
-    piece = np.repeat(np.arange(len(contents)), n_windows)
+    n_windows = (sizes - length + 1)[entries]
+    piece = np.repeat(np.arange(len(entries)), n_windows)
     place = np.arange(len(piece)) - np.repeat(np.cumsum(n_windows) - n_windows, n_windows)
     ranks = prefix_ranks(data, length)
-    at = starts[piece] + place
+    at = starts[entries[piece]] + place
     order = np.argsort(ranks[-1][1][at], kind="stable")
     lcp = common_prefixes(at[order], data, ranks)
     earlier, later = np.zeros(len(piece), np.int64), np.zeros(len(piece), np.int64)
@@ -286,9 +292,11 @@ def factors(contents: list[bytes], length: int) -> tuple[np.ndarray, np.ndarray,
     return piece, place, earlier, later
 
 
-def repeated_windows(contents: list[bytes], length: int, keep: str) -> tuple[np.ndarray, np.ndarray]:
-    """Which windows of the pieces (given in text order) are to go: piece numbers and places in them."""
-    piece, place, earlier, later = factors(contents, length)
+def repeated_windows(
+    contents: list[bytes], length: int, keep: str, entries: np.ndarray | None = None
+) -> tuple[np.ndarray, np.ndarray]:
+    """Which windows of the pieces (in text order) are to go: piece numbers and places in them."""
+    piece, place, earlier, later = factors(contents, length, entries)
     gone = earlier >= length
     if keep == "none":
         gone |= later >= length
@@ -364,7 +372,7 @@ def _sort_suffixes(batches: Iterator[pa.RecordBatch], length: int, keep: str) ->
         # A class of several enters twice; what matters of its second copy is that the first one comes before.
         number = np.repeat(np.arange(len(rows)), [1 + (r[5] > 1) for r in rows])
         second = np.diff(number, prepend=-1) == 0
-        piece, place = repeated_windows([rows[i][6] for i in number.tolist()], length, keep)
+        piece, place = repeated_windows([r[6] for r in rows], length, keep, number)
         if len(piece):
             cut = np.concatenate(([True], (np.diff(piece) != 0) | (np.diff(place) != 1)))
             first = np.nonzero(cut)[0]
@@ -385,7 +393,7 @@ def _sort_suffixes(batches: Iterator[pa.RecordBatch], length: int, keep: str) ->
                 continue
             seen.add(row[4])
             rows.append(row)
-            size += len(row[6]) * (1 + (row[5] > 1))
+            size += len(row[6])
     if rows:
         yield from flush()
 
