@@ -23,12 +23,10 @@ def ids_of(tokenizer, texts, end):
 
 
 @pytest.mark.parametrize("name, end, blanks", KINDS)
-def test_ids_equal_those_of_whole_texts(documents, monkeypatch, name, end, blanks):
-    monkeypatch.setattr(W, "MOST_PIECES", 3000)
+def test_ids_equal_those_of_whole_texts(documents, name, end, blanks):
     texts = ODD + [t for _, t in documents]
     random.Random(1).shuffle(texts)
-    monkeypatch.setattr(W, "MOST_WORDS", 2000)
-    coder, plain = W.WordIds(vocabulary(name), end, blanks), Tokenizer.from_file(vocabulary(name))
+    coder, plain = W.WordIds(vocabulary(name), end, blanks, most_pieces=2000), Tokenizer.from_file(vocabulary(name))
     for at in range(0, len(texts), 40):
         ids, counts = coder.encode(texts[at : at + 40])
         parts = np.split(ids, np.cumsum(counts)[:-1])

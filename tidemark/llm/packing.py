@@ -33,7 +33,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
 from tidemark.llm.common import slices, text_or_empty
-from tidemark.llm.word_ids import word_ids
+from tidemark.llm.word_ids import MOST_PIECES, word_ids
 
 TIERS = (256, 512, 1024, 2048)
 STEP_TOKENS = 16_384
@@ -135,12 +135,20 @@ def steps(sequences: list[tuple[int, list[tuple[int, int, int]]]], step_tokens:
 
 
 def packed(
-    docs: DataFrame, tokenizer: str, end_id: int = END_ID, tiers: tuple[int, ...] = TIERS, step_tokens: int = STEP_TOKENS
+    docs: DataFrame,
+    tokenizer: str,
+    end_id: int = END_ID,
+    tiers: tuple[int, ...] = TIERS,
+    step_tokens: int = STEP_TOKENS,
+    most_pieces: int = MOST_PIECES,
 ) -> DataFrame:
-    """One row per piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset, tier, step_id."""
+    """One row per piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset, tier, step_id.
+
+    ``most_pieces`` bounds what a worker remembers of words it has met: less memory, more time.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coder = word_ids(tokenizer, end_id, blanks=False)
+        coder = word_ids(tokenizer, end_id, False, most_pieces)
         next_sequence = next_step = TaskContext.get().partitionId() << 36
         for batch in batches:
             doc_ids, texts = batch.column(0), batch.column(1)

@@ -14,10 +14,9 @@ import re
 
 import numpy as np
 
-# Pieces, and words without their punctuation, that a worker remembers; beyond, it forgets
-# those and starts anew. Known words make new pieces cheap.
-MOST_PIECES = 400_000
-MOST_WORDS = 600_000
+# Pieces that a worker remembers, and as many words without their punctuation; beyond, it forgets
+# those and starts anew. Known words make new pieces cheap. A million of both take some 400 MB.
+MOST_PIECES = 1_000_000
 
 # Letters up to Latin Extended-B with a tail of ASCII punctuation (but apostrophes, which start
 # words such as 's): the library sees them as two words.
@@ -56,7 +55,8 @@ class WordIds:
     otherwise white space separates words and is dropped.
     """
 
-    def __init__(self, path: str, end_id: int, blanks: bool):
+    def __init__(self, path: str, end_id: int, blanks: bool, most_pieces: int = MOST_PIECES):
+        self.most_pieces = most_pieces
         self.tokenizer, self.end_id, self.blanks = load(path), end_id, blanks
         self.mark = "\n" if blanks else " 0 "
         self.feed = self._library(["\n"])[0]
@@ -148,9 +148,9 @@ class WordIds:
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts one after another (16 bits each), and how many each text has."""
-        if len(self.pieces) > MOST_PIECES:
+        if len(self.pieces) > self.most_pieces:
             self._forget()
-        if len(self.words) > MOST_WORDS:
+        if len(self.words) > self.most_pieces:
             self.words = {"": b""}
         known = self.pieces.__getitem__
         numbers, ends, whole = [], [], []
@@ -195,9 +195,9 @@ class WordIds:
 _LOADED: dict[tuple, WordIds] = {}
 
 
-def word_ids(path: str, end_id: int, blanks: bool) -> WordIds:
+def word_ids(path: str, end_id: int, blanks: bool, most_pieces: int = MOST_PIECES) -> WordIds:
     """One per worker and tokenizer, so that what it remembers serves later tasks too."""
-    key = (path, end_id, blanks)
+    key = (path, end_id, blanks, most_pieces)
     if key not in _LOADED:
         _LOADED[key] = WordIds(*key)
     return _LOADED[key]
