@@ -42,7 +42,8 @@ def mix_sources(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
-    return packing.packed(docs, vocabulary("word_bpe_49k.json"))
+    # Workers of this stage share the executors' memory with what earlier stages have left.
+    return packing.packed(docs, vocabulary("word_bpe_49k.json"), most_pieces=400_000)
 
 
 STAGES = [
