@@ -81,8 +81,11 @@ class WordIds:
             return text.replace("\n", " ").split(" ")
         return ("\n" + text).replace("\n", " \n").split(" ")[1:]
 
-    def _library(self, texts: list[str]) -> list[bytes]:
+    def _library(self, texts: list[str], whole: bool = False) -> list[bytes]:
+        # Only whole texts can hold special strings; the library need not look for them in pieces.
+        self.tokenizer.encode_special_tokens = not whole
         found = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
+        self.tokenizer.encode_special_tokens = True
         return [np.array(x.ids, np.uint16).tobytes() for x in found]
 
     def _library_words(self, words: list[str]) -> list[bytes]:
@@ -169,7 +172,7 @@ class WordIds:
         if whole:  # beside the table: these are not remembered
             base = len(self.pieces) + 1
             used = self.used
-            self._store(self._library([text for _, text in whole]), base)
+            self._store(self._library([text for _, text in whole], whole=True), base)
             numbers[[at for at, _ in whole]] = np.arange(base, base + len(whole))
         sizes = self.length[numbers].astype(np.int64)
         upto = np.cumsum(sizes)
