@@ -204,3 +204,18 @@ def test_sample_fills_up_past_missing_and_long_documents(spark):
     assert first.equals(sample(short.repartition(7), labels, "quality", rows=60, most_bytes=100))
     everything = sample(short, labels, "quality", rows=900, most_bytes=100)
     assert sorted(everything.doc_id) == fit
+
+
+def test_leading_blanks_hardly_change_quality():
+    folder = "/root/testdata/sf0.01"
+    docs = pd.read_parquet(f"{folder}/documents.parquet").merge(pd.read_parquet(f"{folder}/labels.parquet"), on="doc_id")
+    texts = [t.encode() for t in docs.text.fillna("")]
+    learned = [i for i, d in enumerate(docs.doc_id) if not aside(d) and len(texts[i]) <= 16_384]
+    model = quality.train([texts[i] for i in learned], docs.quality.to_numpy(np.int64)[learned], n_steps=300)
+    length = np.array([len(t) for t in texts])
+    before = quality.score(model, texts) >= quality.THRESHOLD
+    for n in (1, 2, 3):
+        changed = before != (quality.score(model, [b" " * n + t for t in texts]) >= quality.THRESHOLD)
+        assert changed[length >= 200].mean() < 0.01
+        # Few texts are this short: one of them may change.
+        assert changed[length < 200].sum() <= max(1, 0.01 * (length < 200).sum())

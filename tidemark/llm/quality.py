@@ -1,7 +1,7 @@
 """Quality of documents by a convolutional network over their bytes, in numpy.
 
-A text is read as bytes. Every ``STRIDE`` bytes a set of learned filters looks at ``WIDTH``
-embedded bytes; positions are pooled by maximum within chunks of ``CHUNK`` bytes, where a
+A text is read as bytes. At every ``STRIDE``-th byte (each one, as set here) a set of learned
+filters looks at ``WIDTH`` embedded bytes; positions are pooled by maximum within chunks of ``CHUNK`` bytes, where a
 chunk also sees the first ``WIDTH - STRIDE`` bytes of the next one, so that chunks overlap
 and every window of the document lies in one. The chunks of a document are combined by
 their maximum and their mean; from these and the logarithm of the length two dense layers
@@ -11,8 +11,8 @@ The network is trained on a bounded sample of labelled documents (:mod:`labelled
 Adam, from a fixed seed; scoring reads every byte of every document. Labels, language,
 source and id are no inputs.
 
-Filters look at every ``STRIDE``-th byte only, so a pattern meets them at one of ``STRIDE``
-alignments, and very short texts have few windows.
+With a stride of one a pattern is seen wherever it stands: bytes put in front of a text change
+the windows at its start and where chunks are cut, nothing else.
 
 Defined cases: null and empty texts get the score of a text without any byte; very long
 texts are scored whole; a score at the threshold counts as label 1; rows that repeat get one
@@ -33,7 +33,7 @@ from tidemark.llm.labelled import batches, sample, scored
 
 EMBEDDING = 6
 WIDTH = 12
-STRIDE = 4
+STRIDE = 1
 FILTERS = 24
 HIDDEN = 16
 CHUNK = 512
@@ -88,7 +88,8 @@ def _activations(model: dict, data: np.ndarray, a: int, b: int) -> np.ndarray:
     flat = np.lib.stride_tricks.as_strided(
         rows, (b - a, WIDTH * EMBEDDING), (STRIDE * rows.strides[0], rows.strides[1]), writeable=False
     )
-    return flat @ model["filters"]
+    # Overlapping rows are copied: the product is a plain one then.
+    return np.ascontiguousarray(flat) @ model["filters"]
 
 
 def _maxima(outputs: np.ndarray, first: np.ndarray, end: np.ndarray) -> np.ndarray:
