@@ -11,6 +11,9 @@ shuffle key into buckets of some thousand rows; a bucket's start is the sum of t
 buckets before it. The cut at the budget is found the same way from a histogram of finish
 times, and only the slice that holds the cut is put in exact order.
 
+Rows with the same ``doc_id`` are told apart by an ordinal; those without an id count as one
+such group and are numbered together, so a table should have ids in nearly all rows.
+
 Defined cases: a null text has size 0, a null source is a source of its own that comes
 last, a source without words gets target 0 and a document without words takes 0; rows
 that repeat are documents of their own; an empty table gives no rows. Other columns are
@@ -32,6 +35,9 @@ CAP = 3
 # Rows a bucket (or a slice of finish times) has on average.
 BUCKET_ROWS = 4096
 
+# Slices of finish times in a block.
+BLOCK_SLICES = 4096
+
 KEY_BITS = 60
 
 
@@ -113,17 +119,25 @@ def queue(sizes: DataFrame, shares: DataFrame, n_rows: int, cap: int = CAP) -> D
     )
 
 
+def _crossing(sums: DataFrame, by: str, budget: int, before: int):
+    """First row of ``sums``, in order, whose running total passes the budget, and the total before it."""
+    upto = Window.orderBy(by).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    totals = sums.withColumn("total", F.sum("n").over(upto) + F.lit(before))
+    return totals.where(F.col("total") > budget).orderBy(by).limit(1).select(by, F.expr("total - n")).head()
+
+
 def taken(entries: DataFrame, budget: int) -> DataFrame:
     """The entries, in order of finish time, that the budget covers."""
     n_slices = max(1, -(-entries.count() // BUCKET_ROWS))
     # Finish times reach at most cap / (least target per size); those beyond 2 share a slice.
     part = F.least(F.floor(F.col("finish") * n_slices), F.lit(2 * n_slices))
     dealt = entries.withColumn("part", part)
-    upto = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    sums = dealt.groupBy("part").agg(F.sum("size").alias("n")).withColumn("total", F.sum("n").over(upto))
-    cut = sums.where(F.col("total") > budget).orderBy("part").limit(1).select("part", F.expr("total - n")).head()
+    sums = materialise(dealt.groupBy("part").agg(F.sum("size").alias("n")), "slices")
+    block = F.floor(F.col("part") / BLOCK_SLICES).alias("block")
+    cut = _crossing(sums.groupBy(block).agg(F.sum("n").alias("n")), "block", budget, 0)
     if cut is None:
         return dealt.drop("part")
+    cut = _crossing(sums.where(block == cut[0]), "part", budget, cut[1])
     order = (
         Window.partitionBy("part")
         .orderBy("finish", F.col("source").asc_nulls_last(), "h", "doc_id", "nth", "turn")
