@@ -1,8 +1,11 @@
 import os
 import random
+import weakref
+from collections import Counter
 from types import SimpleNamespace
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import pyarrow.parquet as pq
 import pytest
@@ -369,3 +372,59 @@ def test_changed_settings_go_on_from_the_old_state(spark, tmp_path):
     assert sorted(got, key=repr) == sorted(want, key=repr)
     with pytest.raises(ValueError):
         vector_stream(idle_stream(spark, folder, timed, 2), new, form=chained, initial=initial)
+
+
+def late_key(seed, n, lost=False):
+    """Readings of one key in any order, as a micro-batch gives them: frames of up to 50 rows."""
+    rng = random.Random(seed)
+    rows = []
+    for i in range(n):
+        at = rng.randrange(n // 2) * 1000  # several readings arrive at once, a few twice
+        bucket = (at // 1000 - rng.choice([0, 0, 0, 5, 30])) * 500
+        rows.append((bucket, rng.choice("abz"), bucket * 1000 + rng.randrange(9), rng.random(), at, rng.choice([i, i, i // 2])))
+    frame = pd.DataFrame(rows, columns=["bucket_ms", "feature", "ts_us", "value", "arrival_us", "tie"])
+    if lost:
+        frame.loc[frame["tie"] % 7 == 0, "tie"] = np.nan
+    frame["is_member"] = frame["feature"] != "z"
+    frame = frame.assign(watermark_ms=7000, timeout_ms=40, layout="a=true,b=false")
+    return [frame[at : at + 50] for at in range(0, n, 50)]
+
+
+@pytest.mark.parametrize("lost", [False, True])
+@pytest.mark.parametrize("seed", range(4))
+def test_a_large_batch_is_taken_in_by_parts(seed, lost):
+    """Sorted by parts of bounded size: the arrivals in order, the same buckets and late counts."""
+    batches = late_key(seed, 4000, lost)
+    names = [*stages.STAGED, *stages.ARRIVAL]
+    found, parts = [], []
+    for run_rows, block_rows in ((10**6, 10**6), (300, 20), (50, 1), (1000, 7)):
+        batch = stages.InArrivalOrder(iter(batches), names, run_rows, block_rows)
+        chunks = list(batch.chunks())
+        parts.append(max(len(c["tie"]) for c in chunks))
+        at = np.concatenate([np.array([c["arrival_us"], np.nan_to_num(c["tie"].astype(float), nan=np.inf)]).T for c in chunks])
+        assert (batch.watermark, batch.timeout, batch.layout) == (7000, 40, "a=true,b=false")
+        stage, closed, late = BucketStage(Handle()), [], Counter()
+        for emitted, more in stage.update(stages.InArrivalOrder(iter(batches), stages.STAGED, run_rows, block_rows)):
+            closed += [(b, {f: v and round(v, 9) for f, v in values.items()}) for b, values in emitted]
+            late.update(more)
+        rest = [(b, {f: v and round(v, 9) for f, v in values.items()}) for b, values in stage.flush()]
+        found.append((at.tolist(), sorted(late.items()), [b for b, _ in closed], [v["b"] for _, v in closed], [b for b, _ in rest]))
+    assert all(f == found[0] for f in found)
+    assert parts[0] == 4000 and parts[1] < 800 and parts[2] < 300 and found[0][1]
+
+
+def test_a_large_batch_is_not_held_whole():
+    """Frames of a batch go as they are read; what is held does not grow with the batch."""
+    held, most = [], 0
+
+    def frames():
+        nonlocal most
+        for frame in late_key(1, 20_000):
+            copy = frame.copy()
+            held.append(weakref.ref(copy))
+            yield copy
+            del copy
+            most = max(most, sum(ref() is not None for ref in held))
+
+    batch = stages.InArrivalOrder(frames(), stages.STAGED, 1000, 50)
+    assert most <= 1000 // 50 + 2 and sum(len(c["value"]) for c in batch.chunks()) == 20_000

@@ -13,6 +13,7 @@ are dropped by Spark, and counted by it.
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -23,7 +24,7 @@ from pyspark.sql.streaming.stateful_processor import StatefulProcessor, Stateful
 
 from tidemark.operators.epochs import IdleClock
 from tidemark.streaming.processors import NUMBERED_ROWS
-from tidemark.streaming.stages import STAGED, Alarm, BucketStage, CarryStage, Values, count_by_bucket, in_arrival_order
+from tidemark.streaming.stages import STAGED, Alarm, BucketStage, CarryStage, InArrivalOrder, Values, count_by_bucket
 
 IDLE_ROWS = f"{NUMBERED_ROWS}, epoch bigint, emitted_ms bigint"
 
@@ -44,30 +45,35 @@ class ArrivalClockProcessor(StatefulProcessor):
         self.cleanup_alarm = Alarm(handle, "cleanup_at")
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        batches = list(rows)
-        watermark, timeout = (int(batches[-1][n].iat[-1]) for n in ("watermark_ms", "timeout_ms"))
-        layout = batches[-1]["layout"].iat[-1]
-        arrays = in_arrival_order(batches, [*STAGED, "arrival_us"])
+        batch = InArrivalOrder(rows, [*STAGED, "arrival_us"])
+        late: list[tuple[int, int, int]] = []
+        for arrays in batch.chunks():
+            yield from self._take(key[0], arrays, batch, late)
+        self.flush_alarm.set(self.clock.get()[0] + batch.timeout, {self.cleanup_alarm.at()} - {None})
+        if late and self.report_late:
+            yield _late_rows(key[0], _added(late))
+
+    def _take(
+        self, key: str, arrays: dict[str, np.ndarray], batch: InArrivalOrder, late: list[tuple[int, int, int]]
+    ) -> Iterator[pd.DataFrame]:
+        """Take in a part of a batch; ``late`` gets bucket, late rows and epoch."""
+        timeout = batch.timeout
         at = arrays["arrival_us"] // 1000
         last, emitted_ms, epoch = self.clock.get() or (None, None, 0)
         newest = np.maximum.accumulate(np.r_[at[0] if last is None else last, at])
         pauses = np.flatnonzero(at - newest[:-1] > timeout).tolist()
 
         out: list[Emission] = []
-        late: list[tuple[int, int, int]] = []
         starts = sorted({0, *pauses})
         for start, stop in zip(starts, [*starts[1:], len(at)]):
             if start in pauses:
                 out += [(b, v, int(newest[start]) + timeout, "timeout", epoch) for b, v in self.buckets.flush()]
                 epoch += 1
             part = {name: arrays[name][start:stop] for name in STAGED}
-            closed, closers, is_late = self.buckets.take(part, watermark, layout)
+            closed, closers, is_late = self.buckets.take(part, batch.watermark, batch.layout)
             out += [(b, v, int(at[start + i]), "closed", epoch) for (b, v), i in zip(closed, closers)]
             late += [(b, n, epoch) for b, n in count_by_bucket(part["bucket_ms"][is_late]).items()]
-        yield from self._emit(key[0], out, emitted_ms, int(newest[-1]), epoch)
-        self.flush_alarm.set(int(newest[-1]) + timeout, {self.cleanup_alarm.at()} - {None})
-        if late and self.report_late:
-            yield _late_rows(key[0], late)
+        yield from self._emit(key, out, emitted_ms, int(newest[-1]), epoch)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         now = expiredTimerInfo.getExpiryTimeInMs()
@@ -123,6 +129,14 @@ class ArrivalClockProcessor(StatefulProcessor):
         pass
 
 
+def _added(late: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
+    """One row per bucket and epoch."""
+    found: Counter[tuple[int, int]] = Counter()
+    for bucket, n, epoch in late:
+        found[epoch, bucket] += n
+    return [(bucket, n, epoch) for (epoch, bucket), n in sorted(found.items())]
+
+
 def _late_rows(key: str, late: list[tuple[int, int, int]]) -> pd.DataFrame:
     nothing = [None] * len(late)
     return pd.DataFrame(

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
 
 import pandas as pd
@@ -9,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
-from tidemark.streaming.stages import ARRIVAL, Alarm, BucketStage, CarryStage, Values
+from tidemark.streaming.stages import ARRIVAL, STAGED, Alarm, BucketStage, CarryStage, InArrivalOrder, Values
 
 CLEANUP_MS = 5 * 60 * 1000
 
@@ -94,13 +95,17 @@ class FusedProcessor(_Timed):
         alarm.set(at_ms, {other.at()} - {None})
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        batches = list(rows)
-        emitted, late = self.buckets.update(batches)
-        self._rearm(timerValues, int(batches[-1]["timeout_ms"].iloc[-1]), bool(emitted))
-        if emitted:
-            yield _numbered_frame(key[0], emitted, self.carry, "closed")
+        batch = InArrivalOrder(rows, STAGED)
+        late: Counter[int] = Counter()
+        closed = False
+        for emitted, more in self.buckets.update(batch):
+            late.update(more)
+            if emitted:
+                closed = True
+                yield _numbered_frame(key[0], emitted, self.carry, "closed")
+        self._rearm(timerValues, batch.timeout, closed)
         if late and self.report_late:
-            yield _late_frame(key[0], late, numbered=True)
+            yield _late_frame(key[0], dict(sorted(late.items())), numbered=True)
 
     def _rearm(self, timerValues, timeout_ms: int, emitted: bool) -> None:
         if self.timers:
@@ -155,15 +160,17 @@ class BucketProcessor(_Timed):
         self.flush_alarm = Alarm(handle, "flush_at")
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        batches = list(rows)
-        emitted, late = self.buckets.update(batches)
+        batch = InArrivalOrder(rows, STAGED)
+        late: Counter[int] = Counter()
+        for emitted, more in self.buckets.update(batch):
+            late.update(more)
+            if emitted:
+                yield _bucket_frame(key[0], emitted, "closed")
         if self.timers:
             now = timerValues.getCurrentProcessingTimeInMs()
-            self.flush_alarm.set(now + int(batches[-1]["timeout_ms"].iloc[-1]), set())
-        if emitted:
-            yield _bucket_frame(key[0], emitted, "closed")
+            self.flush_alarm.set(now + batch.timeout, set())
         if late and self.report_late:
-            yield _late_frame(key[0], late, numbered=False)
+            yield _late_frame(key[0], dict(sorted(late.items())), numbered=False)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         self.flush_alarm.clear()

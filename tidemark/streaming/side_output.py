@@ -18,7 +18,7 @@ from pyspark.sql.types import StructType
 
 from tidemark.streaming.processors import CLEANUP_MS, NUMBERED_ROWS, FusedProcessor, _mode, _numbered_frame
 from tidemark.streaming.run import TRIGGER, writer
-from tidemark.streaming.stages import ARRIVAL, STAGED, in_arrival_order
+from tidemark.streaming.stages import ARRIVAL, STAGED, InArrivalOrder
 
 LATE = "late"
 READING = ["feature", "ts_us", "value", *ARRIVAL]
@@ -36,27 +36,28 @@ class LateRowsProcessor(FusedProcessor):
     """The fused form; each late reading is a row with reason ``late`` and its own columns."""
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        batches = list(rows)
-        arrays = in_arrival_order(batches, [*STAGED, *ARRIVAL])
-        watermark, timeout = (int(batches[-1][n].iat[-1]) for n in ("watermark_ms", "timeout_ms"))
-        emitted, _, late = self.buckets.take(arrays, watermark, batches[-1]["layout"].iat[-1])
-        self._rearm(timerValues, timeout, bool(emitted))
-        if emitted:
-            yield _whole(_numbered_frame(key[0], emitted, self.carry, "closed"))
-        if late.any():
-            n = int(late.sum())
-            yield pd.DataFrame(
-                {
-                    "key": key[0],
-                    "bucket_ms": arrays["bucket_ms"][late],
-                    "bucket_index": pd.array([None] * n, dtype="Int32"),
-                    "values": [None] * n,
-                    "filled": [None] * n,
-                    "emit_reason": LATE,
-                    "n_late": pd.array([1] * n, dtype="Int64"),
-                    **{name: arrays[name][late] for name in READING},
-                }
-            )
+        batch = InArrivalOrder(rows, [*STAGED, *ARRIVAL])
+        closed = False
+        for arrays in batch.chunks():
+            emitted, _, late = self.buckets.take(arrays, batch.watermark, batch.layout)
+            if emitted:
+                closed = True
+                yield _whole(_numbered_frame(key[0], emitted, self.carry, "closed"))
+            if late.any():
+                n = int(late.sum())
+                yield pd.DataFrame(
+                    {
+                        "key": key[0],
+                        "bucket_ms": arrays["bucket_ms"][late],
+                        "bucket_index": pd.array([None] * n, dtype="Int32"),
+                        "values": [None] * n,
+                        "filled": [None] * n,
+                        "emit_reason": LATE,
+                        "n_late": pd.array([1] * n, dtype="Int64"),
+                        **{name: arrays[name][late] for name in READING},
+                    }
+                )
+        self._rearm(timerValues, batch.timeout, closed)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         for frame in super().handleExpiredTimer(key, timerValues, expiredTimerInfo):

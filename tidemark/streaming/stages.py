@@ -6,8 +6,12 @@ Python loops run over buckets and features only.
 
 from __future__ import annotations
 
+import tempfile
+from collections.abc import Iterable, Iterator
+
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql.streaming.stateful_processor import StatefulProcessorHandle
 
 Values = dict[str, float | None]
@@ -20,6 +24,13 @@ NOTHING = (0.0, 0, 0, 0.0)
 # Pages of open buckets to a watermark.
 PAGES = 128
 
+# Rows of a key that are sorted and taken in at once, and those read at once from a sorted run.
+RUN_ROWS = 1 << 18
+BLOCK_ROWS = 1 << 12
+
+KINDS = {"feature": pa.string(), "value": pa.float64(), "is_member": pa.bool_()}
+SETTINGS = ("watermark_ms", "timeout_ms", "layout")
+
 
 def parse_layout(layout: str) -> dict[str, bool]:
     """Feature -> whether it takes the latest value, from ``"f1=false,f2=true"``."""
@@ -38,6 +49,73 @@ def in_arrival_order(batches: list[pd.DataFrame], names: list[str]) -> dict[str,
     return {name: arrays[name][order] for name in names}
 
 
+class InArrivalOrder:
+    """One micro-batch of a key: its settings, as its last row has them, and its rows in arrival order.
+
+    A batch of more than ``run_rows`` rows is never held whole: its sorted runs wait in a file of the
+    task's, and their blocks come back in the order of their first arrivals.
+    """
+
+    def __init__(self, batches: Iterable[pd.DataFrame], names: list[str], run_rows: int = RUN_ROWS, block_rows: int = BLOCK_ROWS):
+        self.names, self.run_rows, self.block_rows = names, run_rows, block_rows
+        self.file = None
+        # Of each block in the file: its first arrival and its number.
+        self.starts: list[tuple[float, float, int]] = []
+        held: list[pd.DataFrame] = []
+        n_held = 0
+        for batch in batches:
+            last = batch
+            held.append(batch)
+            n_held += len(batch)
+            if n_held >= run_rows:
+                self._write(held)
+                held, n_held = [], 0
+        self.watermark, self.timeout = (int(last[n].iat[-1]) for n in SETTINGS[:2])
+        self.layout = last[SETTINGS[2]].iat[-1]
+        if held and self.file is not None:
+            self._write(held)
+            held = []
+        self.held = held
+
+    def _write(self, batches: list[pd.DataFrame]) -> None:
+        rows = in_arrival_order(batches, list(dict.fromkeys([*self.names, *ARRIVAL])))
+        run = pa.table({n: pa.array(x, KINDS.get(n, pa.int64()), from_pandas=True) for n, x in rows.items()})
+        if self.file is None:
+            self.file = tempfile.TemporaryFile()
+            self.out = pa.ipc.new_file(self.file, run.schema)
+        for at in range(0, len(run), self.block_rows):
+            first = (run[n][at].as_py() for n in ARRIVAL)
+            self.starts.append((*(np.inf if x is None else x for x in first), len(self.starts)))
+        self.out.write_table(run.combine_chunks(), max_chunksize=self.block_rows)
+
+    def chunks(self) -> Iterator[dict[str, np.ndarray]]:
+        """The columns as arrays, in parts that follow each other in arrival order."""
+        if self.file is None:
+            yield in_arrival_order(self.held, self.names)
+            return
+        self.out.close()
+        blocks = pa.ipc.open_file(self.file)
+        self.starts.sort()
+        waiting: list[pd.DataFrame] = []
+        n_new = 0
+        for i, (*_, number) in enumerate(self.starts, 1):
+            block = blocks.get_batch(number)
+            waiting.append(pd.DataFrame({n: block[n].to_numpy(zero_copy_only=False) for n in block.schema.names}))
+            n_new += len(block)
+            if i < len(self.starts) and n_new < self.run_rows:
+                continue
+            rows = in_arrival_order(waiting, waiting[0].columns.to_list())
+            done = len(rows[ARRIVAL[0]])
+            if i < len(self.starts):  # rows from there on may have others before them
+                at, tie = (rows[n] for n in ARRIVAL)
+                us, then, _ = self.starts[i]
+                done = int(np.count_nonzero((at < us) | ((at == us) & (tie < then))))
+            waiting, n_new = [pd.DataFrame({n: x[done:] for n, x in rows.items()})], 0
+            if done:
+                yield {n: rows[n][:done] for n in self.names}
+        self.file.close()
+
+
 def count_by_bucket(bucket: np.ndarray) -> dict[int, int]:
     found, counts = np.unique(bucket, return_counts=True)
     return dict(zip(found.tolist(), counts.tolist()))
@@ -99,11 +177,11 @@ class BucketStage:
         )
         self.open = PagedCells(handle, "open", "total double, n bigint, latest_us bigint, latest double")
 
-    def update(self, batches: list[pd.DataFrame]) -> tuple[list[tuple[int, Values]], dict[int, int]]:
-        """Take in one batch; return closed buckets in order, and late rows per bucket."""
-        rows = in_arrival_order(batches, STAGED)
-        emitted, _, late = self.take(rows, int(batches[-1]["watermark_ms"].iat[-1]), batches[-1]["layout"].iat[-1])
-        return emitted, count_by_bucket(rows["bucket_ms"][late])
+    def update(self, batch: InArrivalOrder) -> Iterator[tuple[list[tuple[int, Values]], dict[int, int]]]:
+        """Take in one batch; for each part of it closed buckets in order, and late rows per bucket."""
+        for rows in batch.chunks():
+            emitted, _, late = self.take(rows, batch.watermark, batch.layout)
+            yield emitted, count_by_bucket(rows["bucket_ms"][late])
 
     def take(
         self, rows: dict[str, np.ndarray], watermark: int, layout: str
