@@ -31,7 +31,8 @@ from tests.replay import (
 )
 from tidemark.config import KeySettings, VectorSettings
 from tidemark.functions.timegrain import arrival
-from tidemark.operators.epochs import IdleClock, find_epochs
+from tidemark.operators import lateness
+from tidemark.operators.epochs import IdleClock, by_epoch, find_epochs
 from tidemark.plans.idle import IdleKeyedJob, IdleVectorJob
 from tidemark.plans.keyed import KeyedJob
 from tidemark.sources.files import stream_folder
@@ -428,3 +429,22 @@ def test_a_large_batch_is_not_held_whole():
 
     batch = stages.InArrivalOrder(frames(), stages.STAGED, 1000, 50)
     assert most <= 1000 // 50 + 2 and sum(len(c["value"]) for c in batch.chunks()) == 20_000
+
+
+def test_many_slots_are_joined_without_copies(spark, monkeypatch):
+    """Shuffled, the slots are not copied, but for those with many readings. The rows are the same."""
+    rng = random.Random(4)
+    rows = [(rng.choice("abcd"), (rng.randrange(400) if rng.random() < 0.5 else 7) * 1_000_000, i) for i in range(3000)]
+    frame = spark.createDataFrame(rows, "key string, us bigint, tie bigint").select(
+        "key", arrival(F.col("us"), F.col("tie")).alias("arrival"), F.lit(2000).cast("bigint").alias("timeout_ms")
+    ).repartition(3)
+    epochs = find_epochs(frame, IdleClock())
+    assert epochs.total_rows == 3000
+    want = sorted(by_epoch(frame, epochs).collect(), key=repr)
+    assert len(want) == 3000
+    for hot_rows in (1_000_000, 50):
+        monkeypatch.setattr(lateness, "HOT_ROWS", hot_rows)
+        joined = by_epoch(frame, epochs, broadcast_bytes=0)
+        assert sorted(joined.collect(), key=repr) == want
+        plan = joined._jdf.queryExecution().optimizedPlan().toString()
+        assert "explode([0,1,2" not in plan and "_salts" in plan  # as many copies as the slot's rows need

@@ -7,7 +7,8 @@ is judged by itself, so a bucket that was emitted can come again in a later epoc
 A pause cannot lie within a *slot* of one timeout's width, so readings are first reduced to
 the first and last arrival per (key, slot), which combines map-side. Pauses are found between
 neighbouring slots of that small table by running aggregates in bounded segments; no key is
-gathered. All readings of a slot have the same epoch, which they get by a join on (key, slot).
+gathered. All readings of a slot have the same epoch, which they get by a join on (key, slot);
+if that shuffles, only slots with very many readings are split.
 
 A pause is longer than the timeout in whole milliseconds of arrival; a reading that arrives
 just when the timeout ends is in time.
@@ -22,8 +23,8 @@ from pyspark.sql import functions as F
 
 from tidemark.config import ROW_OVERHEAD_BYTES, Lookup
 from tidemark.functions.timegrain import arrival_of
-from tidemark.operators.lateness import Closings
-from tidemark.operators.lookup import lookup_join
+from tidemark.operators.lateness import Closings, sized_join
+from tidemark.operators.lookup import BROADCAST_BYTES
 from tidemark.operators.scan import SEGMENT_BUCKETS, Segments, highest, row_index, running, total_of
 from tidemark.session import materialise
 
@@ -44,11 +45,12 @@ class IdleClock:
 
 @dataclass(frozen=True)
 class Epochs:
-    """``slots``: ``key, slot, epoch``; ``ends``: ``key, epoch, expires_ms, ended`` for each epoch."""
+    """``slots``: ``key, slot, epoch, n_rows``; ``ends``: ``key, epoch, expires_ms, ended`` for each epoch."""
 
     slots: Lookup
     ends: DataFrame
     segments: Segments
+    total_rows: int
 
 
 def arrival_ms() -> Column:
@@ -66,11 +68,13 @@ def find_epochs(rows: DataFrame, clock: IdleClock, segment_buckets: int = SEGMEN
         F.min(arrival_ms()).alias("first_ms"),
         F.max(arrival_ms()).alias("last_ms"),
         F.max("timeout_ms").alias("timeout_ms"),
+        F.count("*").alias("n_rows"),
     )
     table = materialise(
         slots.observe(
             seen,
             F.count("*").alias("slots"),
+            F.sum("n_rows").alias("rows"),
             F.min("first_ms").alias("base"),
             F.max("last_ms").alias("top"),
             F.max(F.col("last_ms") + F.col("timeout_ms")).alias("end"),
@@ -88,19 +92,25 @@ def find_epochs(rows: DataFrame, clock: IdleClock, segment_buckets: int = SEGMEN
     if segments.count > 1:
         quiet = materialise(quiet, "pauses")
     numbered = running(quiet, ["key"], "first_ms", segments, total_of("begins"), "epoch")
-    numbered = materialise(numbered.select("key", "slot", "epoch", "last_ms", "timeout_ms"), "epochs")
+    numbered = materialise(numbered.select("key", "slot", "epoch", "last_ms", "timeout_ms", "n_rows"), "epochs")
     ends = numbered.groupBy("key", "epoch").agg((F.max("last_ms") + F.max("timeout_ms")).alias("expires_ms"))
     newest = numbered.groupBy("key").agg(F.max("epoch").alias("newest"))
     stands = F.lit((totals["top"] or 0) - clock.delay_ms)
     ended = (F.col("epoch") < F.col("newest")) | (F.col("expires_ms") < stands)
     ends = ends.join(newest, "key").select("key", "epoch", "expires_ms", ended.alias("ended"))
     size = (totals["slots"] or 0) * (ROW_OVERHEAD_BYTES * 2) + (totals["key_bytes"] or 0)
-    return Epochs(Lookup(numbered.select("key", "slot", "epoch"), size), ends, segments)
+    slots = Lookup(numbered.select("key", "slot", "epoch", "n_rows"), size)
+    return Epochs(slots, ends, segments, totals["rows"] or 0)
 
 
-def by_epoch(rows: DataFrame, epochs: Epochs) -> DataFrame:
+def by_epoch(rows: DataFrame, epochs: Epochs, broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
     """The rows with ``key`` made a pair of key and epoch, so that every epoch is a key of its own."""
-    joined = lookup_join(rows.withColumn("slot", slot()), epochs.slots, ["key", "slot"])
+    slots, on = epochs.slots.frame, ["key", "slot"]
+    rows = rows.withColumn("slot", slot())
+    if epochs.slots.size <= broadcast_bytes:
+        joined = rows.join(F.broadcast(slots.drop("n_rows")), on)
+    else:
+        joined = sized_join(rows, slots, on, epochs.total_rows)
     return joined.withColumn("key", F.struct("key", "epoch")).drop("slot", "epoch")
 
 

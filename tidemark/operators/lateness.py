@@ -169,7 +169,7 @@ def judge(rows: DataFrame, closings: Closings, broadcast_bytes: int = BROADCAST_
     if size <= broadcast_bytes:
         joined = rows.join(F.broadcast(dirty.drop("n_rows")), ["key", "bucket_ms"], "left")
     else:
-        joined = _salted_join(rows, dirty, closings.total_rows)
+        joined = sized_join(rows, dirty, ["key", "bucket_ms"], closings.total_rows, "left")
     closed_by = F.col("closed_by")
     in_time = closed_by.isNull() | arrived_before(F.col("arrival"), closed_by)
     return joined.withColumn(
@@ -177,25 +177,26 @@ def judge(rows: DataFrame, closings: Closings, broadcast_bytes: int = BROADCAST_
     ).drop("closed_by")
 
 
-def _salted_join(rows: DataFrame, dirty: DataFrame, total_rows: int) -> DataFrame:
-    """Left join on (key, bucket) with hot buckets split into pieces of similar size.
+def sized_join(rows: DataFrame, table: DataFrame, on: list[str], total_rows: int, how: str = "inner") -> DataFrame:
+    """Join with a table that has the number of rows of each of its groups, ``n_rows``.
 
-    A hot bucket holds more than ``total_rows / HOT_BUCKETS`` rows, so there are
-    at most ``HOT_BUCKETS`` of them and the list can be broadcast.
+    Hot groups are split into pieces of similar size, the others are copied nowhere. A hot
+    group holds more than ``total_rows / HOT_BUCKETS`` rows, so there are at most
+    ``HOT_BUCKETS`` of them and the list can be broadcast.
     """
     piece = max(HOT_ROWS, total_rows // HOT_BUCKETS)
     salts = F.ceil(F.col("n_rows") / F.lit(piece)).cast("int")
-    sized = dirty.withColumn("_salts", F.greatest(salts, F.lit(1))).drop("n_rows")
-    hot = sized.where("_salts > 1").select("key", "bucket_ms", "_salts")
+    sized = table.withColumn("_salts", F.greatest(salts, F.lit(1))).drop("n_rows")
+    hot = sized.where("_salts > 1").select(*on, "_salts")
     copies = sized.withColumn(
         "_salt", F.explode(F.sequence(F.lit(0), F.col("_salts") - F.lit(1)))
     ).drop("_salts")
     salt = F.pmod(F.xxhash64("arrival"), F.coalesce(F.col("_salts"), F.lit(1))).cast("int")
     return (
-        rows.join(F.broadcast(hot), ["key", "bucket_ms"], "left")
+        rows.join(F.broadcast(hot), on, "left")
         .withColumn("_salt", salt)
         .drop("_salts")
-        .join(copies, ["key", "bucket_ms", "_salt"], "left")
+        .join(copies, [*on, "_salt"], how)
         .drop("_salt")
     )
 
