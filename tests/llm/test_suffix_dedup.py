@@ -146,3 +146,15 @@ def test_first_of_repeated_rows_stays(spark, crowd):
     assert found == sorted(
         [(1, passage.encode()), (1, b""), (1, b""), (2, b"x"), (0, b"y" * 50), (0, b"y" * 50), (3, b"ab"), (3, b"")]
     )
+
+
+@pytest.mark.parametrize("top", [1, 3, 1000, 2**40, 2**52, 2**63])
+def test_keys_sorted_with_their_places(top):
+    """The same order whether a key fits beside its place in 64 bits or not."""
+    rng = np.random.default_rng(top % 97)
+    key = np.r_[rng.integers(0, top, 4000, np.uint64), np.uint64(top - 1), np.uint64(0)]
+    order, ranked = S._sorted(key, "stable")
+    want = np.argsort(key, kind="stable")
+    assert (order == want).all() and (ranked == key[want]).all()
+    assert (S._dense(key) == np.unique(key, return_inverse=True)[1]).all()
+    assert [len(x) for x in S._sorted(key[:0])] == [0, 0] and len(S._dense(key[:0])) == 0
