@@ -43,6 +43,24 @@ def test_groups_of_edge_cases(spark, edge, tmp_path, files_per_batch):
     assert Counter(map(tuple, found.collect())) == expected_groups(edge_rows())
 
 
+def test_stores_are_opened_for_one_read_only(spark, edge, tmp_path, monkeypatch):
+    """The state is read once into a table; neither the checks for hits nor the result read it again."""
+    opened, read = spark.sparkContext.accumulator(0), exact_dedup.entries
+
+    def counted(part):
+        opened.add(1)
+        return part
+
+    def entries(spark, state):
+        known = read(spark, state)
+        return known.mapInArrow(counted, known.schema)
+
+    monkeypatch.setattr(exact_dedup, "entries", entries)
+    found = exact_dedup.decisions(spark, written(edge, tmp_path))
+    assert Counter(map(tuple, found.collect())) == expected_groups(edge_rows())
+    assert opened.value == int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
 def test_digest_collisions_are_found_by_full_bytes(spark, edge, tmp_path):
     def weak(text):
         return F.unhex(F.substring(F.sha2(text, 256), 1, 1))

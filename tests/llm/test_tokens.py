@@ -129,6 +129,13 @@ def test_packing_of_edge_cases(spark, edge, empty):
     assert packing.packed(empty, path).count() == 0
 
 
+def test_packing_does_not_depend_on_what_is_encoded_at_once(spark, folder, monkeypatch):
+    docs, path = spark.read.parquet(f"{folder}/documents.parquet"), vocabulary("word_bpe_49k.json")
+    whole = packing.packed(docs, path).collect()
+    monkeypatch.setattr(packing, "ENCODE_CHARS", 1000)
+    assert packing.packed(docs, path).collect() == whole
+
+
 @pytest.mark.parametrize("seed", range(5))
 def test_pack_fills_every_tier(seed):
     rng = random.Random(seed)

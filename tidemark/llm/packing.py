@@ -38,6 +38,8 @@ from tidemark.llm.word_ids import MOST_PIECES, word_ids
 TIERS = (256, 512, 1024, 2048)
 STEP_TOKENS = 16_384
 CHUNK_CHARS = 4_000_000
+# Characters encoded at once: what that takes beside the ids is many times as large as they are.
+ENCODE_CHARS = 500_000
 END_ID = 1
 
 SCHEMA = (
@@ -152,8 +154,13 @@ def packed(
         next_sequence = next_step = TaskContext.get().partitionId() << 36
         for batch in batches:
             doc_ids, texts = batch.column(0), batch.column(1)
-            for a, b in slices(pc.utf8_length(texts).to_pylist(), CHUNK_CHARS):
-                ids, counts = coder.encode(texts.slice(a, b - a).to_pylist())
+            lengths = pc.utf8_length(texts).to_pylist()
+            for a, b in slices(lengths, CHUNK_CHARS):
+                parts = [
+                    coder.encode(texts.slice(a + c, d - c).to_pylist()) for c, d in slices(lengths[a:b], ENCODE_CHARS)
+                ]
+                ids, counts = (np.concatenate(x) for x in zip(*parts))
+                del parts
                 sequences = pack(counts.tolist(), tiers)
                 step_of = steps(sequences, step_tokens)
                 raw = memoryview(ids.astype("<u4").tobytes())

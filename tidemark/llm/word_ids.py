@@ -118,7 +118,11 @@ class WordIds:
             else:
                 led, word, tail = match.groups()
                 # A word behind a line feed has no blank; the line feed counts with it.
-                head = (word if led else " " + word) if blanks else word.lower()
+                if blanks:
+                    head = word if led else " " + word
+                else:
+                    head = word.lower()
+                    head = piece if head == piece else head  # one string in both tables
                 if head not in words:
                     new_words[head] = None
                 if tail and tail not in words:
