@@ -33,6 +33,44 @@ def test_ids_equal_those_of_whole_texts(documents, name, end, blanks):
         assert [p.tolist() for p in parts] == ids_of(plain, texts[at : at + 40], end)
 
 
+@pytest.mark.parametrize("name, end, blanks", KINDS)
+def test_ids_around_every_kind_of_white_space(name, end, blanks):
+    rare = ["\0", "\x7f", "\u180e", "\u200b", "\ufeff", "\u024f", "\u0250", "×", "÷", "ŉ", "İ", "'", "’", "_", "9"]
+    marks = [*(chr(c) for c in range(0x11000) if chr(c).isspace()), *rare]
+    texts = [t for m in marks for t in (m, f"ab{m}Cd", f"ab {m}cd,", f"ab{m} cd", f"{m}ab.\ncd{m}", f"ab\n{m}cd\n", f"Ab!{m}\nx")]
+    coder, plain = W.WordIds(vocabulary(name), end, blanks), Tokenizer.from_file(vocabulary(name))
+    for _ in range(2):  # the second time all pieces are known
+        ids, counts = coder.encode(texts)
+        assert [p.tolist() for p in np.split(ids, np.cumsum(counts)[:-1])] == ids_of(plain, texts, end)
+    ids, counts = coder.encode([])
+    assert len(ids) == len(counts) == 0
+
+
+@pytest.mark.parametrize("name, end, blanks", KINDS)
+def test_library_gets_each_new_word_once_and_nothing_else(name, end, blanks):
+    coder, got = W.WordIds(vocabulary(name), end, blanks), []
+
+    class Listening:
+        def __init__(self, tokenizer):
+            self.tokenizer = tokenizer
+
+        def encode_batch_fast(self, texts, **options):
+            found = self.tokenizer.encode_batch_fast(texts, **options)
+            got.extend(n for x in found for n in x.ids)
+            return found
+
+    coder.tokenizer = Listening(coder.tokenizer)
+    words = [a + b for a in ("ab", "zor", "quen", "éta") for b in ("lim", "xo", "rasch", "þing")]
+    plain = Tokenizer.from_file(vocabulary(name))
+    texts = [" " + " ".join(words), " ".join(["", *words[::-1], words[0]])]
+    coder.encode(texts)
+    once = [" " + w for w in words] + ["\n"] * blanks  # a text that begins with a blank: its first piece is a line feed
+    assert sorted(got) == sorted(n for x in plain.encode_batch(once, add_special_tokens=False) for n in x.ids)
+    got.clear()
+    coder.encode(texts)
+    assert not got
+
+
 @pytest.mark.parametrize("percentile", [0, 50, 90, 100])
 def test_blocks_round_trip(percentile):
     rng = np.random.default_rng(2)

@@ -46,8 +46,11 @@ FOOTER = struct.Struct("<QQQQ8s")
 HEAD = struct.Struct("<IBBH")
 NO_ID = -(2**63)
 
+# Blocks whose bits are laid out at once, four bytes for each bit.
+BLOCKS_AT_ONCE = 128
+
 # Characters encoded at once.
-SLICE_CHARS = 4_000_000
+SLICE_CHARS = 1_000_000
 
 
 def _widths(values: np.ndarray) -> np.ndarray:
@@ -57,7 +60,10 @@ def _widths(values: np.ndarray) -> np.ndarray:
 def pack_blocks(ids: np.ndarray, percentile: int = PERCENTILE) -> list[bytes]:
     """Blocks of ``BLOCK`` ids (a last one may be shorter)."""
     full = len(ids) // BLOCK * BLOCK
-    packed = _pack(ids[:full].reshape(-1, BLOCK).astype(np.int64), percentile)
+    rows = ids[:full].reshape(-1, BLOCK)
+    packed: list[bytes] = []
+    for at in range(0, len(rows), BLOCKS_AT_ONCE):
+        packed += _pack(rows[at : at + BLOCKS_AT_ONCE].astype(np.int64), percentile)
     if full < len(ids):
         packed += _pack(ids[full:].reshape(1, -1).astype(np.int64), percentile)
     return packed

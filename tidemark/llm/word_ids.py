@@ -10,9 +10,11 @@ Texts for which a border is in doubt, and those that hold the string of a specia
 from __future__ import annotations
 
 import os
-import re
+from itertools import compress, repeat
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
 # Pieces that a worker remembers, and as many words without their punctuation; beyond, it forgets
 # those and starts anew. Known words make new pieces cheap. A million of both take some 400 MB.
@@ -20,13 +22,15 @@ MOST_PIECES = 1_000_000
 
 # Letters up to Latin Extended-B with a tail of ASCII punctuation (but apostrophes, which start
 # words such as 's): the library sees them as two words.
-WORD_AND_TAIL = re.compile("(\n?)([A-Za-zÀ-ÖØ-öø-ɏ]+)([!-&(-/:-@\\[-`{-~]*)")
+WORD = "^\n?[A-Za-zÀ-ÖØ-öø-ɏ]+$"
+TAIL = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
 
 # Words that the library gets in one text.
 WORDS_AT_ONCE = 1000
 
-# White space other than single blanks and line feeds, where cutting at blanks is not safe.
-DOUBTFUL = re.compile(r"\s\s|[^\S \n]")
+# White space other than single blanks and line feeds, where cutting at blanks is not safe. The class
+# lists what Python's \s matches, for a regular expression engine that knows ASCII only.
+DOUBTFUL = r"[ \n][ \n]|[\t\x0b-\r\x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
 
 
 def load(path: str):
@@ -36,18 +40,6 @@ def load(path: str):
     return Tokenizer.from_file(path)
 
 
-class _Pieces(dict):
-    """Piece to number; unknown pieces get the next number and are noted."""
-
-    def __init__(self):
-        self.unknown: list[str] = []
-
-    def __missing__(self, piece: str) -> int:
-        number = self[piece] = len(self) + 1  # 0 is the end id
-        self.unknown.append(piece)
-        return number
-
-
 class WordIds:
     """Ids of texts, with ``end_id`` after each.
 
@@ -58,16 +50,21 @@ class WordIds:
     def __init__(self, path: str, end_id: int, blanks: bool, most_pieces: int = MOST_PIECES):
         self.most_pieces = most_pieces
         self.tokenizer, self.end_id, self.blanks = load(path), end_id, blanks
-        self.mark = "\n" if blanks else " 0 "
         self.feed = self._library(["\n"])[0]
-        (self.mark_id,) = self.tokenizer.encode(self.mark, add_special_tokens=False).ids
+        # A token of a byte-level vocabulary has a character for each byte of the text.
+        self.n_bytes = np.zeros(1 << 16, np.int64)
+        self.ends_word = np.zeros(1 << 16, bool)
+        for token, number in self.tokenizer.get_vocab().items():
+            self.n_bytes[number] = len(token)
+            self.ends_word[number] = token.endswith("</w>")
         added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
-        self.special = re.compile("|".join(map(re.escape, added)) or "(?!)")
+        literal = ["".join(f"\\x{{{ord(c):x}}}" for c in token) for token in added]
+        self.to_library = "|".join([*literal, *([DOUBTFUL] if blanks else [])])
         self.words = {"": b""}
         self._forget()
 
     def _forget(self) -> None:
-        self.pieces = _Pieces()
+        self.pieces: dict[str, int] = {}  # numbers from 1; 0 is the end id
         self.pool = np.zeros(1 << 16, np.uint16)
         self.pool[0] = self.end_id
         self.used = 1
@@ -75,11 +72,13 @@ class WordIds:
         self.length = np.zeros(1 << 14, np.int32)
         self.length[0] = 1
 
-    def _cut(self, text: str) -> list[str]:
-        """Pieces of a text. With ``blanks`` each piece but those led by a line feed has lost its blank."""
+    def _cut(self, texts: pa.Array) -> pa.ListArray:
+        """Pieces of texts. With ``blanks`` each piece but those led by a line feed has lost its blank."""
         if not self.blanks:
-            return text.replace("\n", " ").split(" ")
-        return ("\n" + text).replace("\n", " \n").split(" ")[1:]
+            return pc.split_pattern(pc.replace_substring(texts, "\n", " "), " ")
+        feed, nothing = pa.scalar("\n", texts.type), pa.scalar("", texts.type)
+        led = pc.binary_join_element_wise(feed, pc.replace_substring(texts, "\n", " \n"), nothing)
+        return pc.split_pattern(led, " ")
 
     def _library(self, texts: list[str], whole: bool = False) -> list[bytes]:
         # Only whole texts can hold special strings; the library need not look for them in pieces.
@@ -89,55 +88,60 @@ class WordIds:
         return [np.array(x.ids, np.uint16).tobytes() for x in found]
 
     def _library_words(self, words: list[str]) -> list[bytes]:
-        """Ids of plain words, many in one text: a mark that is a word of its own, and one id, parts them."""
+        """Ids of plain words, many in one text, that the library parts at their white space."""
         out: list[bytes] = []
         for at in range(0, len(words), WORDS_AT_ONCE):
             some = words[at : at + WORDS_AT_ONCE]
-            ids = self.tokenizer.encode_batch_fast([self.mark.join(some)], add_special_tokens=False)[0].ids
+            if self.blanks:  # a word without blank comes behind a line feed, which is one id
+                led = [w if w[0] == " " else "\n" + w for w in some]
+            else:
+                led = [" " + w for w in some]
+            ids = self.tokenizer.encode_batch_fast(["".join(led)], add_special_tokens=False)[0].ids
             ids = np.array(ids, np.uint16)
-            ends = np.append(np.nonzero(ids == self.mark_id)[0], len(ids))
-            if len(ends) != len(some):
+            begins = np.zeros(len(some), np.int64)
+            if self.blanks:
+                upto = np.cumsum(self.n_bytes[ids])
+                sizes = np.cumsum(np.fromiter((len(w.encode()) for w in led), np.int64, len(led)))
+                ends = np.searchsorted(upto, sizes) + 1
+                parted = upto[-1] == sizes[-1] and np.array_equal(upto[ends - 1], sizes)
+                begins += np.fromiter((w[0] == "\n" for w in led), np.int64, len(led))
+            else:
+                ends = np.flatnonzero(self.ends_word[ids]) + 1
+                parted = len(ends) == len(some) and ends[-1] == len(ids)
+            if not parted:
                 out += self._library(some)
                 continue
+            begins[1:] += ends[:-1]
             raw = ids.tobytes()
-            begins = np.concatenate(([0], ends[:-1] + 1))
             out += [raw[2 * a : 2 * b] for a, b in zip(begins.tolist(), ends.tolist(), strict=True)]
         return out
 
     def _of_unknown(self, pieces: list[str]) -> list[bytes]:
         """Ids of new pieces: those of their words where these are plain, else of the whole piece."""
-        words, blanks, plain = self.words, self.blanks, WORD_AND_TAIL.fullmatch
-        heads, tails, new_words, new_others = [], [], {}, {}
-        for piece in pieces:
-            match = plain(piece)
-            if match is None:
-                head = piece if piece[:1] == "\n" or not blanks else " " + piece
-                tail = ""
-                if head not in words:
-                    new_others[head] = None
-            else:
-                led, word, tail = match.groups()
-                # A word behind a line feed has no blank; the line feed counts with it.
-                if blanks:
-                    head = word if led else " " + word
-                else:
-                    head = word.lower()
-                    head = piece if head == piece else head  # one string in both tables
-                if head not in words:
-                    new_words[head] = None
-                if tail and tail not in words:
-                    new_others[tail] = None
-                if led and blanks:
-                    tail = "\n" + tail
-            heads.append(head)
-            tails.append(tail)
-        words.update(zip(new_words, self._library_words(list(new_words)), strict=True))
-        words.update(zip(new_others, self._library(list(new_others)), strict=True))
-        feed = self.feed
-        return [
-            words[h] + words[t] if t[:1] != "\n" else feed + words[h] + words[t[1:]]
-            for h, t in zip(heads, tails, strict=True)
-        ]
+        words = self.words
+        column = pa.array(pieces, pa.large_string())
+        core = pc.utf8_rtrim(column, characters=TAIL)
+        is_plain = pc.match_substring_regex(core, WORD)
+        core = pc.if_else(is_plain, core, column)
+        is_led = pc.and_(is_plain, pc.starts_with(core, "\n"))
+        core = pc.if_else(is_led, pc.utf8_slice_codeunits(core, 1), core)
+        cores = core.to_numpy(zero_copy_only=False).tolist()
+        plain, led = (x.to_numpy(zero_copy_only=False) for x in (is_plain, is_led))
+        tails = [p[len(c) + f :] for p, c, f in zip(pieces, cores, led.tolist(), strict=True)]
+        if self.blanks:  # a word behind a line feed has no blank; the line feed counts with it
+            heads = [c if f or c[:1] == "\n" else " " + c for c, f in zip(cores, led.tolist(), strict=True)]
+        else:
+            heads = [c.lower() if p else c for c, p in zip(cores, plain.tolist(), strict=True)]
+            heads = [p if p == h else h for p, h in zip(pieces, heads, strict=True)]  # one string in both tables
+        new_words = [h for h in dict.fromkeys(compress(heads, plain)) if h not in words]
+        words.update(zip(new_words, self._library_words(new_words), strict=True))
+        others = [x for x in dict.fromkeys([*compress(heads, ~plain), *tails]) if x not in words]
+        words.update(zip(others, self._library(others), strict=True))
+        found = [words[h] + words[t] for h, t in zip(heads, tails, strict=True)]
+        if self.blanks:
+            for i in np.flatnonzero(led).tolist():
+                found[i] = self.feed + found[i]
+        return found
 
     def _store(self, found: list[bytes], first: int) -> None:
         sizes = np.fromiter(map(len, found), np.int64, len(found)) // 2
@@ -159,43 +163,50 @@ class WordIds:
             self._forget()
         if len(self.words) > self.most_pieces:
             self.words = {"": b""}
-        known = self.pieces.__getitem__
-        numbers, ends, whole = [], [], []
-        for text in texts:
-            if (self.blanks and DOUBTFUL.search(text)) or self.special.search(text):
-                whole.append((len(numbers), text))
-                numbers.append(0)
-            else:
-                numbers.extend(map(known, self._cut(text)))
-            numbers.append(0)
-            ends.append(len(numbers))
-        unknown, self.pieces.unknown = self.pieces.unknown, []
+        column = pa.array(texts, pa.large_string())
+        is_whole = np.zeros(len(texts), bool)
+        if self.to_library:
+            is_whole = pc.match_substring_regex(column, self.to_library).to_numpy(zero_copy_only=False)
+        whole = np.flatnonzero(is_whole)
+        if len(whole):  # one piece stands for the text
+            column = pc.if_else(pa.array(is_whole), pa.scalar("", column.type), column)
+        cut = self._cut(column)
+        n_pieces = np.diff(cut.offsets.to_numpy())
+        coded = cut.flatten().dictionary_encode()
+        distinct = coded.dictionary.to_numpy(zero_copy_only=False).tolist()
+        number = np.fromiter(map(self.pieces.get, distinct, repeat(0)), np.int64, len(distinct))
+        new = number == 0
+        unknown = list(compress(distinct, new))
         if unknown:
-            self._store(self._of_unknown(unknown), len(self.pieces) + 1 - len(unknown))
-        numbers = np.array(numbers, np.int64)
-        if whole:  # beside the table: these are not remembered
+            first = len(self.pieces) + 1
+            number[new] = np.arange(first, first + len(unknown))
+            self._store(self._of_unknown(unknown), first)
+            self.pieces.update(zip(unknown, number[new].tolist(), strict=True))
+        ends = np.cumsum(n_pieces + 1)
+        begins = ends - n_pieces - 1
+        numbers = np.zeros(int(ends[-1]) if len(ends) else 0, np.int64)
+        numbers[np.arange(len(coded)) + np.repeat(np.arange(len(texts)), n_pieces)] = number[coded.indices.to_numpy()]
+        if len(whole):  # beside the table: these are not remembered
             base = len(self.pieces) + 1
             used = self.used
-            self._store(self._library([text for _, text in whole], whole=True), base)
-            numbers[[at for at, _ in whole]] = np.arange(base, base + len(whole))
+            self._store(self._library([texts[i] for i in whole], whole=True), base)
+            numbers[begins[whole]] = np.arange(base, base + len(whole))
         sizes = self.length[numbers].astype(np.int64)
         upto = np.cumsum(sizes)
         total = int(upto[-1]) if len(upto) else 0
-        ids = self.pool[np.repeat(self.where[numbers] - (upto - sizes), sizes) + np.arange(total)]
-        if whole:
+        at = np.repeat(self.where[numbers] - (upto - sizes), sizes)
+        at += np.arange(total)
+        ids = self.pool[at]
+        if len(whole):
             self.used = used
-        stops = upto[np.array(ends, np.int64) - 1] if ends else np.zeros(0, np.int64)
+        stops = upto[ends - 1]
         counts = np.diff(stops, prepend=0)
         # With blanks the first piece was led by a line feed that the text does not have.
         if self.blanks and len(texts):
+            led = ~is_whole
             drop = np.ones(total, bool)
-            cut = np.ones(len(texts), bool)
-            at = {i for i, _ in whole}
-            begins = [0, *ends[:-1]]
-            if at:
-                cut = np.array([b not in at for b in begins])
-            drop[(stops - counts)[cut]] = False
-            ids, counts = ids[drop], counts - cut
+            drop[(stops - counts)[led]] = False
+            ids, counts = ids[drop], counts - led
         return ids, counts
 
 
