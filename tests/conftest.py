@@ -20,3 +20,10 @@ def spark(tmp_path_factory):
     session.sparkContext.setLogLevel("ERROR")
     yield session
     session.stop()
+
+
+@pytest.fixture(autouse=True)
+def forget_ended_queries(request):
+    """``awaitAnyTermination`` raises what any earlier query of the session ended with, also one that a test makes fail."""
+    if "spark" in request.fixturenames:
+        request.getfixturevalue("spark").streams.resetTerminated()
